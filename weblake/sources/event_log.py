@@ -1,0 +1,78 @@
+"""An events table seen as an access log, and written out as raw log files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weblake.operators.numbering import CHUNK_BITS, chunk_of, number_rows
+from weblake.schema import CDN_FIELDS, FIELDS_MARK, NO_VALUE, RAW_COLUMNS
+from weblake.sources.logfiles import masked_rows
+
+# Events per raw log file when the view is written out.
+FILE_ROWS = 5_000
+
+
+def log_view(events: DataFrame) -> DataFrame:
+    """One raw log row per event, all fields as text, with its source name and position.
+
+    Fields the events have nothing for hold the no-value mark.
+    """
+    text = {
+        "date": "date_format(ts, 'yyyy-MM-dd')",
+        "time": "date_format(ts, 'HH:mm:ss')",
+        "edge_location": "'EDG' || user_id % 12",
+        "sc_bytes": "cast(cast(floor(value * 100) as bigint) as string)",
+        "c_ip": """case when event_id % 50 = 0 then '-'
+            when event_id % 10 = 1 then '2001:db8:' || (1000 + user_id) || '::' || event_id % 10
+            else (1 + user_id % 223) || '.' || event_id % 256 || '.' || user_id % 256 || '.' || (1 + event_id % 250) end""",
+        "cs_method": "case when event_type = 'purchase' then 'POST' else 'GET' end",
+        "cs_uri_stem": "'/' || event_type || '/' || regexp_extract(props, '([0-9]+)', 1)",
+        "status": "case when event_type = 'error' then '500' when event_id % 20 = 0 then '304' else '200' end",
+        "referer": "case when event_id % 3 = 0 then '-' else 'https://ref' || user_id % 40 || '.example.com/' end",
+        "user_agent": "case when event_id % 11 = 0 then '-' else 'agent/' || user_id % 60 end",
+        "cs_protocol": "'https'",
+        "cs_bytes": "cast(100 + event_id % 900 as string)",
+        "time_taken": "cast(value / 1000 as string)",
+        "edge_response_result_type": """case when event_type = 'error' then 'Error'
+            when event_id % 2 = 0 then 'Hit' else 'Miss' end""",
+        "time_to_first_byte": "cast(value / 2000 as string)",
+    }
+    fields = [F.expr(text.get(c, f"'{NO_VALUE}'")).alias(c) for c in RAW_COLUMNS]
+    source = F.expr("'E' || lpad(cast(user_id % 7 as string), 2, '0') || '.gz'").alias("src_file")
+    return events.select(source, F.col("event_id").alias("pos"), *fields)
+
+
+def masked_view(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """The view masked and numbered per (source, record date), in the order of its positions."""
+    view = log_view(events).withColumn("block_start", F.lit(0).cast("long"))
+    rows = masked_rows(view, {c: F.col(c) for c in RAW_COLUMNS}, F.lit(True), F.lit(True))
+    rows = rows.withColumn("chunk", chunk_of(F.col("pos"), chunk_bits)).drop("block_start")
+    return number_rows(rows, ["src_file", "log_date"], ["chunk"], ["pos"]).drop("chunk")
+
+
+def write_log_files(events: DataFrame, path: str) -> None:
+    """Write the view as gzip log files with headers, one file per source and run of events.
+
+    The folder ``src=<source>-<run>`` names the file; a run bounds what one task sorts.
+    """
+    view = log_view(events)
+    source = F.concat_ws("-", F.substring_index("src_file", ".", 1), F.floor(F.col("pos") / FILE_ROWS))
+    data = view.select(source.alias("src"), "pos", F.concat_ws("\t", *RAW_COLUMNS).alias("value"))
+    header = F.array(
+        F.struct(F.lit(-2).cast("long").alias("pos"), F.lit("#Version: 1.0").alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(f"{FIELDS_MARK} {' '.join(CDN_FIELDS)}").alias("value")),
+    )
+    heads = data.select("src").distinct().select("src", F.inline(header))
+    (
+        data.unionByName(heads)
+        .repartition("src")
+        .sortWithinPartitions("src", "pos")
+        .select("src", "value")
+        .write.partitionBy("src")
+        .text(path, compression="gzip")
+    )
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
