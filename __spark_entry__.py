@@ -26,7 +26,7 @@ from weblake.plans.mask import mask_files
 from weblake.plans.reports import daily_page_views, decode_star, result_mix
 from weblake.schema import DIMENSIONS, FACT_NOT_NULL
 from weblake.session import scratch_path
-from weblake.sources.event_log import events_of, log_view, masked_view, write_log_files
+from weblake.sources.event_log import events_of, masked_view, write_log_files
 from weblake.sources.logfiles import read_lines
 from weblake.sources.masked import read_masked, read_rejects, write_masked
 from weblake.sources.notices import created_keys, finished_sources
@@ -51,10 +51,17 @@ def _no_dims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "dim string, key string, id bigint")
 
 
+def _masked_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view masked, numbered and written as one batch of the masked layer."""
+    path = scratch_path(spark, "masked")
+    write_masked(masked_view(events_of(spark, sf_dir)), path, 0)
+    return read_masked(spark, path)
+
+
 def _loaded(spark: SparkSession, sf_dir: str) -> Warehouse:
     """A warehouse that holds every day of the view."""
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
-    load_days(warehouse, masked_view(events_of(spark, sf_dir)))
+    load_days(warehouse, _masked_layer(spark, sf_dir))
     return warehouse
 
 
@@ -136,7 +143,7 @@ def retire_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = stage_rows(masked_view(events_of(spark, sf_dir)), "quarantine")
-    return _comparable(staged.where("problem is null").drop("problem", "log_date"))
+    return _comparable(staged.drop("log_date"))
 
 
 def _new(name: str) -> Query:
@@ -163,7 +170,7 @@ def encode_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_two_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions after two loads: the first day alone, then all the others."""
-    masked = masked_view(events_of(spark, sf_dir))
+    masked = _masked_layer(spark, sf_dir)
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     load_previous_day(warehouse, masked, "2024-01-02T02:00:00Z")
     load_days(warehouse, masked.where(F.col("log_date") > F.lit(datetime.date(2024, 1, 1))))
@@ -221,7 +228,7 @@ def not_null_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On a broken copy: long paths, and referers that exceed their limit in bytes only."""
-    view = log_view(events_of(spark, sf_dir))
+    view = masked_view(events_of(spark, sf_dir))
     broken = view.withColumns(
         {
             "cs_uri_stem": F.expr("repeat(cs_uri_stem, 200)"),

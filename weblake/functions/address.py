@@ -26,34 +26,23 @@ def _v6_pattern() -> str:
 _V4 = f"^{_QUAD}\\z"
 _V6 = _v6_pattern()
 
-
-def _group(text: Column, n: int) -> Column:
-    """The n-th hexadecimal group without leading zeros; an empty or all-zero group becomes ''."""
-    return F.ltrim(F.substring_index(F.substring_index(text, ":", n), ":", -1), F.lit("0"))
+# '::' before seven groups (a dotted quad is two) stands for a single zero group.
+_ONE_GROUP_GAP = "^::(?=(?:[^:.%]+:){6}[^:.%]+(?:%|\\z)|(?:[^:.%]+:){5}[^:.%]+[.])"
+_FIRST_TWO = "^0*([0-9a-f]*):0*([0-9a-f]*):.*\\z"
 
 
 def _mask_v6(address: Column) -> Column:
-    text = F.lower(F.substring_index(address, "%", 1))
-    # '::' followed by seven groups stands for one zero group, so the next one is the second.
-    # Seven groups after it make eight colons; a dotted quad is two groups with one colon less.
-    colons = F.length(text) - F.length(F.replace(text, F.lit(":")))
-    seven = colons + F.contains(text, F.lit(".")).cast("int") == 8
-    leading = F.startswith(text, F.lit("::"))
-    first = _group(text, 1)
-    second = F.when(~leading, _group(text, 2)).when(seven, _group(text, 3)).otherwise(F.lit(""))
-    return (
-        F.when((first == "") & (second == ""), F.lit("::"))
-        .when(second == "", F.concat(first, F.lit("::")))
-        .otherwise(
-            F.concat(F.when(first == "", F.lit("0")).otherwise(first), F.lit(":"), second, F.lit("::"))
-        )
-    )
+    """Keep the first two groups of a valid address; each step feeds the next one only."""
+    text = F.regexp_replace(F.lower(address), _ONE_GROUP_GAP, "0:")
+    text = F.regexp_replace(text, _FIRST_TWO, "$1:$2::")
+    text = F.replace(text, F.lit(":::"), F.lit("::"))
+    return F.regexp_replace(text, "^:(?=[^:])", "0:")
 
 
 def mask_address(address: Column) -> Column:
     """The truncated address, or null if ``address`` is no IP address."""
     return F.when(address.rlike(_V4), F.concat(F.substring_index(address, ".", 1), F.lit(".0.0.0"))).when(
-        F.contains(address, F.lit(":")) & address.rlike(_V6), _mask_v6(address)
+        address.rlike(_V6), _mask_v6(address)
     )
 
 

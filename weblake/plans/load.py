@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from weblake.schema import (
     FACT_COLUMNS,
     FACT_SORT,
     FACT_TABLE,
+    NO_VALUE,
     RAW_COLUMNS,
     STAGE_COLUMNS,
     STAGE_NOT_NULL,
@@ -26,64 +28,70 @@ from weblake.schema import (
 from weblake.sources.masked import affected_days, has_day, last_batch, value_of
 from weblake.warehouse import Warehouse
 
-_ORIGIN = ["src_file", "log_date"]
 # The raw columns a stage row is made of.
-USED_COLUMNS = ["date", "time"] + [c for c in STAGE_COLUMNS if c in RAW_COLUMNS]
+USED_COLUMNS = ["date", "time"] + [c for c in STAGE_COLUMNS if c in COLUMN_TYPE]
 
 
 def typed(column: str) -> Column:
-    """A masked text field as its staged type; null for the no-value mark and for misfits."""
+    """A masked text field as its staged type; null for the no-value mark (no number or date is '-')."""
     kind = COLUMN_TYPE[column]
-    return value_of(column) if kind == "string" else value_of(column).try_cast(kind)
+    return value_of(column) if kind == "string" else F.col(column).try_cast(kind)
 
 
-def load_problem(columns: Sequence[str]) -> Column:
-    """Why a masked row cannot be loaded, or null: a misfit value, an over-long text, a missing one."""
-    reason = F
+def _datetime() -> Column:
+    return log_datetime(typed("date"), F.col("time"))
+
+
+def _checks(columns: Sequence[str]) -> list[tuple[Column, str]]:
+    """What must hold for a masked row to be loaded, and what is wrong where it does not."""
+    checks = [(_datetime().isNotNull(), "no valid datetime")]
     for c in columns:
-        value = value_of(c)
+        text = F.col(c)
+        required = c in STAGE_NOT_NULL
         if COLUMN_TYPE[c] != "string":
-            reason = reason.when(value.isNotNull() & typed(c).isNull(), f"bad value in {c}")
+            fits = typed(c).isNotNull()
+            checks.append((fits if required else fits | text.isNull() | (text == NO_VALUE), f"bad value in {c}"))
         elif c in BYTE_LIMIT:
-            reason = reason.when(too_long(c, BYTE_LIMIT[c]), f"{c} is too long")
-    reason = reason.when(
-        value_of("time").isNotNull() & log_datetime(typed("date"), value_of("time")).isNull(), "bad value in time"
-    )
-    for c in STAGE_NOT_NULL:
-        present = log_datetime(typed("date"), value_of("time")) if c == "datetime" else _present(c)
-        reason = reason.when(present.isNull(), f"no {c}")
-    return reason
+            if required:
+                checks.append((text.isNotNull() & (text != NO_VALUE), f"no {c}"))
+            checks.append((text.isNull() | ~too_long(c, BYTE_LIMIT[c]), f"{c} is too long"))
+    return checks
 
 
-def _present(column: str) -> Column:
-    return F.col("row_num") if column == "seq_num" else value_of(column)
+def load_rejects(masked: DataFrame) -> DataFrame:
+    """Rows whose used fields do not fit the stage, with the first reason found."""
+    reason = F
+    for holds, message in _checks(USED_COLUMNS):
+        reason = reason.when(~holds, message)
+    rows = masked.select("src_file", F.col("row_num").alias("seq_num"), reason.alias("reason"), "log_date")
+    return rows.where("reason is not null")
 
 
 def stage_rows(masked: DataFrame, on_error: str = "fail") -> DataFrame:
-    """The 14 stage columns of masked rows, typed, with (src_file, log_date) and ``problem``.
+    """The 14 stage columns of masked rows, typed, with (src_file, log_date).
 
     "fail" checks every field of a row and raises on the first misfit, as a bulk load does;
-    "quarantine" checks the fields it uses and marks misfits in ``problem``; "trust" checks nothing,
-    for rows that have been checked, and so reads no more columns than it returns.
+    "quarantine" checks the fields it uses and drops misfits (see :func:`load_rejects`); "trust"
+    checks nothing, for rows that have been checked, and so reads no more columns than it returns.
+    The checks are plain conditions, so that they and the conversions compile into one small method.
     """
-    if on_error not in ("fail", "quarantine", "trust"):
-        raise ValueError(f"on_error must be 'quarantine', 'fail' or 'trust', not {on_error!r}")
-    problem = {
-        "fail": load_problem(RAW_COLUMNS),
-        "quarantine": load_problem(USED_COLUMNS),
-        "trust": F.lit(None).cast("string"),
-    }[on_error]
-    checked = masked.withColumn("problem", problem)
     if on_error == "fail":
-        found = F.col("problem").isNotNull()
-        message = F.concat(F.col("problem"), F.lit(" on "), F.col("log_date").cast("string"))
-        checked = checked.withColumn("problem", F.when(found, F.raise_error(message).cast("string")))
+        message = F.concat(F.lit("a row cannot be loaded on "), F.col("log_date").cast("string"))
+        masked = masked.where(F.when(_loadable(RAW_COLUMNS), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    elif on_error == "quarantine":
+        masked = masked.where(_loadable(USED_COLUMNS))
+    elif on_error != "trust":
+        raise ValueError(f"on_error must be 'quarantine', 'fail' or 'trust', not {on_error!r}")
     columns = {c: typed(c) for c in STAGE_COLUMNS if c in COLUMN_TYPE}
-    columns["datetime"] = log_datetime(typed("date"), value_of("time"))
+    columns["datetime"] = _datetime()
     columns["seq_num"] = F.col("row_num")
-    columns["referer"] = absent_if_null(columns["referer"])
-    columns["user_agent"] = absent_if_null(columns["user_agent"])
-    return checked.select(*[columns[c].alias(c) for c in STAGE_COLUMNS], *_ORIGIN, "problem")
+    columns["referer"] = absent_if_null(F.col("referer"))
+    columns["user_agent"] = absent_if_null(F.col("user_agent"))
+    return masked.select(*[columns[c].alias(c) for c in STAGE_COLUMNS], "src_file", "log_date")
+
+
+def _loadable(columns: Sequence[str]) -> Column:
+    return functools.reduce(Column.__and__, [holds for holds, _ in _checks(columns)])
 
 
 def encode(stage: DataFrame, keys: KeySplit, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -135,13 +143,12 @@ def load_days(
     if rows.limit(1).isEmpty():
         return False
     warehouse.create_tables()
-    staged = stage_rows(rows, on_error)
-    stage = staged.where("problem is null")
+    stage = stage_rows(rows, on_error)
     keys = split_keys(stage, warehouse.dimensions())
     if on_error == "quarantine":
-        rejects = staged.where("problem is not null").select("src_file", "seq_num", F.col("problem").alias("reason"), "log_date")
         (
-            rejects.write.mode("overwrite")
+            load_rejects(rows)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("log_date")
             .parquet(warehouse.path("load_rejects"))

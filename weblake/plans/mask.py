@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.operators.numbering import chunk_of, number_rows
-from weblake.sources.logfiles import POSITION, parse_files, read_lines
+from weblake.sources.logfiles import POSITION, parse_files, read_lines, spread_fields
 from weblake.sources.masked import write_masked
 
 # A file up to this size is numbered in one task; a larger one in runs of 2^20 rows.
@@ -50,7 +50,7 @@ def mask_lines(
         )
     elif on_error != "quarantine":
         raise ValueError(f"on_error must be 'quarantine' or 'fail', not {on_error!r}")
-    return numbered.drop("part_block", "part_chunk", *POSITION)
+    return spread_fields(numbered.drop("part_block", "part_chunk", *POSITION))
 
 
 def mask_files(

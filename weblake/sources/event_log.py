@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.operators.numbering import CHUNK_BITS, chunk_of, number_rows
 from weblake.schema import CDN_FIELDS, FIELDS_MARK, NO_VALUE, RAW_COLUMNS
-from weblake.sources.logfiles import masked_rows
+from weblake.sources.logfiles import masked_rows, spread_fields
 
 # Events per raw log file when the view is written out.
 FILE_ROWS = 5_000
 
 
 def log_view(events: DataFrame) -> DataFrame:
-    """One raw log row per event, all fields as text, with its source name and position.
+    """One raw log row per event: its source name, its position and the 33 fields as ``parts``.
 
     Fields the events have nothing for hold the no-value mark.
     """
     text = {
-        "date": "date_format(ts, 'yyyy-MM-dd')",
-        "time": "date_format(ts, 'HH:mm:ss')",
+        "date": "cast(cast(ts as date) as string)",
+        "time": "substr(cast(ts as string), 12, 8)",
         "edge_location": "'EDG' || user_id % 12",
         "sc_bytes": "cast(cast(floor(value * 100) as bigint) as string)",
         "c_ip": """case when event_id % 50 = 0 then '-'
@@ -38,17 +40,23 @@ def log_view(events: DataFrame) -> DataFrame:
             when event_id % 2 = 0 then 'Hit' else 'Miss' end""",
         "time_to_first_byte": "cast(value / 2000 as string)",
     }
-    fields = [F.expr(text.get(c, f"'{NO_VALUE}'")).alias(c) for c in RAW_COLUMNS]
+    fields = [F.expr(expression).alias(c) for c, expression in text.items()]
     source = F.expr("'E' || lpad(cast(user_id % 7 as string), 2, '0') || '.gz'").alias("src_file")
-    return events.select(source, F.col("event_id").alias("pos"), *fields)
+    rows = events.select(source, F.col("event_id").alias("pos"), *fields)
+    # Runs of absent fields become constant arrays.
+    runs = [
+        F.array(*[F.col(c) if filled else F.lit(NO_VALUE) for c in run])
+        for filled, run in itertools.groupby(RAW_COLUMNS, lambda c: c in text)
+    ]
+    return rows.select("src_file", "pos", F.concat(*runs).alias("parts"))
 
 
 def masked_view(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """The view masked and numbered per (source, record date), in the order of its positions."""
     view = log_view(events).withColumn("block_start", F.lit(0).cast("long"))
-    rows = masked_rows(view, {c: F.col(c) for c in RAW_COLUMNS}, F.lit(True), F.lit(True))
+    rows = masked_rows(view, F.lit(True), F.lit(True))
     rows = rows.withColumn("chunk", chunk_of(F.col("pos"), chunk_bits)).drop("block_start")
-    return number_rows(rows, ["src_file", "log_date"], ["chunk"], ["pos"]).drop("chunk")
+    return spread_fields(number_rows(rows, ["src_file", "log_date"], ["chunk"], ["pos"]).drop("chunk"))
 
 
 def write_log_files(events: DataFrame, path: str) -> None:
@@ -58,7 +66,7 @@ def write_log_files(events: DataFrame, path: str) -> None:
     """
     view = log_view(events)
     source = F.concat_ws("-", F.substring_index("src_file", ".", 1), F.floor(F.col("pos") / FILE_ROWS))
-    data = view.select(source.alias("src"), "pos", F.concat_ws("\t", *RAW_COLUMNS).alias("value"))
+    data = view.select(source.alias("src"), "pos", F.array_join("parts", "\t").alias("value"))
     header = F.array(
         F.struct(F.lit(-2).cast("long").alias("pos"), F.lit("#Version: 1.0").alias("value")),
         F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(f"{FIELDS_MARK} {' '.join(CDN_FIELDS)}").alias("value")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.functions import log_date, mask_field
-from weblake.schema import CDN_FIELDS, COMMENT_MARK, FIELDS_MARK, RAW_COLUMNS, RAW_FIELDS
+from weblake.schema import CDN_FIELDS, COMMENT_MARK, FIELDS_MARK, RAW_COLUMNS
 from weblake.session import scratch_path, stage_table
 
 # A per-file header table up to this many files (about 200 bytes each) is broadcast; beyond it the
@@ -114,13 +114,13 @@ def _declared_rows(lines: DataFrame, fields: list[str], declared: str) -> DataFr
 
 
 def _one_layout_rows(lines: DataFrame, fields: list[str]) -> DataFrame:
-    parts = F.split("value", "\t")
-    data = lines.where(is_data_line()).withColumn("parts", parts)
-    values = {
-        column: F.get("parts", F.lit(fields.index(field))) if field in fields else F.lit(None).cast("string")
-        for field, column, _, _ in RAW_FIELDS
-    }
-    return masked_rows(data, values, F.size("parts") == len(fields), F.lit(True))
+    data = lines.where(is_data_line()).withColumn("parts", F.split("value", "\t"))
+    whole = F.size("parts") == len(fields)
+    if fields == CDN_FIELDS:
+        return masked_rows(data, whole, F.lit(True))
+    slots = [fields.index(f) if f in fields else None for f in CDN_FIELDS]
+    in_order = [F.lit(None).cast("string") if i is None else F.get("parts", F.lit(i)) for i in slots]
+    return masked_rows(data.withColumn("_whole", whole).withColumn("parts", F.array(*in_order)), F.col("_whole"), F.lit(True))
 
 
 def _own_layout_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _own_layout_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
     slots = headers.select(
         "src_file",
         F.when(F.col("header").isNotNull(), F.size(names)).alias("n_fields"),
-        F.array(*[F.array_position(names, field) - 1 for field in CDN_FIELDS]).alias("slots"),
+        F.array(*[F.array_position(names, field).cast("int") - 1 for field in CDN_FIELDS]).alias("slots"),
     )
     data = lines.where(is_data_line()).withColumn("parts", F.split("value", "\t"))
     if headers.count() <= BROADCAST_FILES:
@@ -137,27 +137,29 @@ def _own_layout_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
         spread = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         data = data.withColumn("salt", F.pmod("pos", F.lit(SALTS)).cast("int"))
         data = data.join(spread, ["src_file", "salt"], "left")
+
     # The slot of a field the header lacks is -1, which F.get reads as null.
-    values = {
-        column: F.get("parts", F.get("slots", F.lit(i)).cast("int")) for i, column in enumerate(RAW_COLUMNS)
-    }
-    return masked_rows(data, values, F.size("parts") == F.col("n_fields"), F.col("n_fields").isNotNull())
+    in_order = F.array(*[F.get("parts", F.get("slots", F.lit(i))) for i in range(len(CDN_FIELDS))])
+    data = data.withColumn("_whole", F.size("parts") == F.col("n_fields")).withColumn("parts", in_order)
+    return masked_rows(data, F.col("_whole"), F.col("n_fields").isNotNull())
 
 
-def masked_rows(data: DataFrame, values: dict[str, Column], whole: Column, has_header: Column) -> DataFrame:
-    """The 33 columns with addresses truncated, the record's own date, and why a row is rejected.
+def masked_rows(data: DataFrame, whole: Column, has_header: Column) -> DataFrame:
+    """The fields with addresses truncated, the record's own date, and why a row is rejected.
 
-    A rejected row keeps its origin only: no field of it, and so no address, is carried on.
+    ``data`` has the 33 fields in CDN order as the array ``parts``. They stay one array until
+    :func:`spread_fields`: checks, shuffle and numbering then handle a few columns instead of 33,
+    in methods small enough to be compiled. A rejected row keeps its origin only: no field of it,
+    and so no address, is carried on.
     """
-    masked = {**values, "c_ip": mask_field(values["c_ip"]), "forwarded_for": mask_field(values["forwarded_for"])}
-    rows = data.select(
-        "src_file",
-        "block_start",
-        "pos",
-        whole.alias("_whole"),
-        has_header.alias("_has_header"),
-        *[column.alias(name) for name, column in masked.items()],
-        log_date(values["date"]).alias("_day"),
+    masked = {c: RAW_COLUMNS.index(c) for c in ("c_ip", "forwarded_for")}
+    rows = data.withColumns(
+        {
+            "_whole": whole,
+            "_has_header": has_header,
+            "_day": log_date(F.get("parts", F.lit(RAW_COLUMNS.index("date")))),
+            **{c: mask_field(F.get("parts", F.lit(i))) for c, i in masked.items()},
+        }
     )
     reject = (
         F.when(~F.col("_has_header"), "no_header")
@@ -167,10 +169,21 @@ def masked_rows(data: DataFrame, values: dict[str, Column], whole: Column, has_h
     )
     rows = rows.withColumn("reject", reject)
     kept = F.col("reject").isNull()
+    runs, start = [], 0
+    for c, i in masked.items():
+        runs += [F.slice("parts", start + 1, i - start), F.array(c)]
+        start = i + 1
+    fields = F.concat(*runs, F.slice("parts", start + 1, len(RAW_COLUMNS) - start))
     return rows.select(
         "src_file",
         *POSITION,
-        *[F.when(kept, F.col(c)).alias(c) for c in RAW_COLUMNS],
+        F.when(kept, fields).alias("fields"),
         "reject",
         F.when(kept, F.col("_day")).alias("log_date"),
     )
+
+
+def spread_fields(rows: DataFrame) -> DataFrame:
+    """The array of fields as one column each."""
+    columns = [F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)]
+    return rows.select(*[c for c in rows.columns if c != "fields"], *columns)
