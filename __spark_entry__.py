@@ -150,10 +150,10 @@ def _new(name: str) -> Query:
     """New keys of one dimension when the errors of the first three hours are loaded already."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        stage = _stage(spark, sf_dir)
-        early = (F.col("status") == 500) & (F.col("datetime") < F.lit("2024-01-01 03:00:00").cast("timestamp_ntz"))
-        dims = assign_ids(stage_keys(stage.where(early)), _no_dims(spark))
-        keys = stage_keys(stage).where(F.col("dim") == name)
+        events = events_of(spark, sf_dir)
+        early = events.where("event_type = 'error' and ts < timestamp_ntz '2024-01-01 03:00:00'")
+        dims = assign_ids(stage_keys(stage_rows(masked_view(early), "trust")), _no_dims(spark))
+        keys = stage_keys(_stage(spark, sf_dir)).where(F.col("dim") == name)
         return new_keys(keys, known_keys(keys, dims)).select("key", F.col("n").alias("n_rows"))
 
     return query

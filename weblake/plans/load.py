@@ -17,6 +17,7 @@ from weblake.schema import (
     BYTE_LIMIT,
     COLUMN_TYPE,
     DIMENSIONS,
+    Dimension,
     FACT_COLUMNS,
     FACT_SORT,
     FACT_TABLE,
@@ -25,6 +26,7 @@ from weblake.schema import (
     STAGE_COLUMNS,
     STAGE_NOT_NULL,
 )
+from weblake.session import run_together
 from weblake.sources.masked import affected_days, has_day, last_batch, value_of
 from weblake.warehouse import Warehouse
 
@@ -108,11 +110,14 @@ def encode(stage: DataFrame, keys: KeySplit, broadcast_bytes: int = BROADCAST_BY
 
 def append_dimensions(warehouse: Warehouse, keys: KeySplit) -> None:
     """Add new dimension rows, each table's in natural-key order."""
-    for d in DIMENSIONS.values():
-        if keys.sizes[d.name].fresh:
-            fresh = keys.fresh.where(F.col("dim") == d.name)
-            rows = fresh.select(F.col("id").cast(d.id_type).alias("id"), F.col("key").alias(d.key))
-            rows.sortWithinPartitions(d.key).write.mode("append").parquet(warehouse.path(d.name))
+
+    def append(d: Dimension) -> None:
+        fresh = keys.fresh.where(F.col("dim") == d.name)
+        rows = fresh.select(F.col("id").cast(d.id_type).alias("id"), F.col("key").alias(d.key))
+        rows.sortWithinPartitions(d.key).write.mode("append").parquet(warehouse.path(d.name))
+
+    grown = [d for d in DIMENSIONS.values() if keys.sizes[d.name].fresh]
+    run_together([functools.partial(append, d) for d in grown])
 
 
 def write_fact(warehouse: Warehouse, fact: DataFrame, mode: str = "overwrite") -> None:

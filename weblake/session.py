@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,10 @@ def discard(spark: SparkSession, path: str) -> None:
     """Drop a staging folder that is no longer read."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def run_together(jobs: Iterable[Callable[[], object]]) -> list:
+    """Submit independent Spark actions side by side, so that small ones share the cluster."""
+    jobs = list(jobs)
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]

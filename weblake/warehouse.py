@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from weblake.operators.keys import dimension_keys
 from weblake.schema import DIMENSIONS, FACT_SCHEMA, FACT_TABLE
+from weblake.session import run_together
 
 FACT_STORED = T.StructType(FACT_SCHEMA.fields + [T.StructField("log_date", T.DateType())])
 REJECT_SCHEMA = T.StructType(
@@ -44,12 +46,15 @@ class Warehouse:
 
     def create_tables(self) -> None:
         """Create what is absent; tables that exist are left alone."""
-        for table in [*TABLES, "load_rejects", "load_state"]:
-            schema = self._schema(table)
-            writer = self.spark.createDataFrame([], schema).write.mode("ignore")
-            if "log_date" in schema.fieldNames():
-                writer = writer.partitionBy("log_date")
-            writer.parquet(self.path(table))
+        names = [*TABLES, "load_rejects", "load_state"]
+        run_together([functools.partial(self._create, name) for name in names])
+
+    def _create(self, table: str) -> None:
+        schema = self._schema(table)
+        writer = self.spark.createDataFrame([], schema).write.mode("ignore")
+        if "log_date" in schema.fieldNames():
+            writer = writer.partitionBy("log_date")
+        writer.parquet(self.path(table))
 
     def register_tables(self, database: str) -> None:
         """Make the six tables known to SQL users under ``database``."""
