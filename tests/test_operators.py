@@ -39,10 +39,9 @@ def test_dense_ids_continue_per_scope(spark):
     rng = random.Random(1)
     keys = sorted({(rng.choice("xxxxyz"), f"k{rng.randrange(10_000):05d}") for _ in range(3000)})
     frame = spark.createDataFrame(keys, "dim string, key string").repartition(6)
-    base = spark.createDataFrame([("x", 100), ("y", None)], "dim string, base long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.dim, r.key): r.id for r in dense_ids(frame, "dim", "key", base).collect()}
+        got = {(r.dim, r.key): r.id for r in dense_ids(frame, "dim", "key", {"x": 100}).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want, last = {}, {"x": 100}
@@ -130,10 +129,10 @@ def test_split_keys_reports_sizes(spark):
     first = split_keys(stage, no_dims(spark))
     assert {d: s.rows for d, s in first.sizes.items()} == {d: 600 for d in DIMENSIONS}
     assert all(s.fresh == s.keys for s in first.sizes.values())
-    dims = first.fresh.select("dim", "key", "id")
+    dims = first.table.select("dim", "key", "id")
     again = split_keys(stage, dims)
     assert all(s.fresh == 0 for s in again.sizes.values())
-    assert again.known.count() == dims.count()
+    assert again.table.count() == dims.count()
     assert stage_keys(stage).agg(F.sum("n")).first()[0] == 600 * 5
 
 

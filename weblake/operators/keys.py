@@ -56,59 +56,63 @@ def new_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
 
 def assign_ids(fresh: DataFrame, dims: DataFrame) -> DataFrame:
     """Ids for new keys, continuing each dimension after its largest id: (dim, key, n, id)."""
-    base = dims.groupBy("dim").agg(F.max("id").alias("base"))
+    # One row per dimension.
+    largest = {r["dim"]: r["base"] for r in dims.groupBy("dim").agg(F.max("id").alias("base")).collect()}
     narrow = [d.name for d in DIMENSIONS.values() if d.id_type == T.IntegerType()]
     overflow = F.col("dim").isin(narrow) & (F.col("id") > INT_MAX)
     message = F.concat(F.lit("no INT id left in "), F.col("dim"))
-    return dense_ids(fresh, "dim", "key", base).withColumn(
+    return dense_ids(fresh, "dim", "key", largest).withColumn(
         "id", F.when(overflow, F.raise_error(message).cast("long")).otherwise(F.col("id"))
     )
 
 
+@dataclass(frozen=True)
+class KeySize:
+    """Of one dimension in one load: its keys, their bytes, the rows that carry them, the new keys."""
+
+    keys: int
+    bytes: int
+    rows: int
+    fresh: int
+
+
 @dataclass(frozen=True)
 class KeySplit:
-    """The keys of one load: those with an id, those that were given one now, and their sizes."""
+    """The keys of one load with their ids: (key, id, n, is_new), in one folder per dimension."""
 
-    known: DataFrame
-    fresh: DataFrame
-    sizes: dict[str, "KeySize"]
+    table: DataFrame
+    sizes: dict[str, KeySize]
 
     def lookup(self, dim: str) -> DataFrame:
         """(key, id, n) of one dimension, limited to the keys of this load."""
-        both = self.known.unionByName(self.fresh)
-        return both.where(F.col("dim") == dim).select("key", "id", "n")
+        return self.table.where(F.col("dim") == dim).select("key", "id", "n")
 
-
-@dataclass(frozen=True)
-class KeySize:
-    keys: int
-    bytes: int
-    rows: int
-    fresh: int
+    def fresh(self, dim: str) -> DataFrame:
+        """(key, id) of the keys that were new to the dimension."""
+        return self.table.where((F.col("dim") == dim) & F.col("is_new")).select("key", "id")
 
 
 def split_keys(stage: DataFrame, dims: DataFrame) -> KeySplit:
     """Collect the keys of ``stage``, match them with ``dims`` and assign ids to the rest.
 
-    Keys and matches are staged in small tables, so the stage is read once and the dimension
-    tables once, whatever uses the result.
+    Each step is staged in a small table: the stage and the dimension tables are read once, and a
+    small key table is broadcast to the dimensions instead of shuffling them.
     """
     spark = stage.sparkSession
-    keys = stage_table(stage_keys(stage), scratch_path(spark, "keys"), ["dim"])
-    keys = keys.select("dim", "key", "n")
+    keys = stage_table(stage_keys(stage), scratch_path(spark, "keys"))
     known = stage_table(known_keys(keys, dims), scratch_path(spark, "known-keys"))
-    fresh = assign_ids(new_keys(keys, known), dims).select("dim", "key", "n", "id")
-    measured = (
-        known.withColumn("fresh", F.lit(0))
-        .unionByName(fresh.withColumn("fresh", F.lit(1)))
-        .groupBy("dim")
-        .agg(
-            F.count("*").alias("keys"),
-            F.sum(F.octet_length("key") + 16).alias("bytes"),
-            F.sum("n").alias("rows"),
-            F.sum("fresh").alias("fresh"),
-        )
+    fresh = assign_ids(new_keys(keys, known), dims)
+    columns = ["dim", "key", "id", "n", "is_new"]
+    both = known.withColumn("is_new", F.lit(False)).select(*columns).unionByName(
+        fresh.withColumn("is_new", F.lit(True)).select(*columns)
+    )
+    table = stage_table(both, scratch_path(spark, "key-ids"), ["dim"])
+    measured = table.groupBy("dim").agg(
+        F.count("*").alias("keys"),
+        F.sum(F.octet_length("key") + 16).alias("bytes"),
+        F.sum("n").alias("rows"),
+        F.count_if("is_new").alias("fresh"),
     )
     # One row per dimension.
     sizes = {r["dim"]: KeySize(r["keys"], r["bytes"], r["rows"], r["fresh"]) for r in measured.collect()}
-    return KeySplit(known, fresh, sizes)
+    return KeySplit(table, sizes)

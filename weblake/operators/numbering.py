@@ -49,13 +49,13 @@ def number_rows(
     )
 
 
-def dense_ids(keys: DataFrame, scope: str, key: str, base: DataFrame, out: str = "id") -> DataFrame:
+def dense_ids(keys: DataFrame, scope: str, key: str, base: dict[str, int], out: str = "id") -> DataFrame:
     """Give each distinct (scope, key) the next id of its scope, in key order.
 
-    ``base`` holds (scope, base): the largest id in use per scope; it has one row per scope. Keys
-    are range-partitioned and sorted, so an id is its place in the partition plus the sizes of the
-    partitions before. They are staged first: range bounds come from sampling, and a second
-    evaluation could cut the ranges elsewhere.
+    ``base`` is the largest id in use per scope; scopes are few. Keys are range-partitioned and
+    sorted, so an id is its place in the partition plus the sizes of the partitions before. They are
+    staged first: range bounds come from sampling, and a second evaluation could cut the ranges
+    elsewhere.
     """
     spark = keys.sparkSession
     placed = (
@@ -70,11 +70,11 @@ def dense_ids(keys: DataFrame, scope: str, key: str, base: DataFrame, out: str =
     before = F.sum("_n").over(
         Window.partitionBy(scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = (
-        sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
-        .join(F.broadcast(base), scope, "left")
-        .select(scope, "_part", (F.coalesce("base", F.lit(0)) + F.col("_before") - F.col("_first")).alias("_shift"))
-    )
+    used = F.lit(0)
+    for name, largest in base.items():
+        used = F.when(F.col(scope) == name, F.lit(largest)).otherwise(used)
+    shift = used + F.coalesce(before, F.lit(0)) - F.col("_first")
+    starts = sizes.select(scope, "_part", shift.alias("_shift"))
     return (
         staged.join(F.broadcast(starts), [scope, "_part"])
         .withColumn(out, F.col("_shift") + F.col("_place") + 1)

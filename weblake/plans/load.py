@@ -6,13 +6,12 @@ import datetime
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblake.functions import absent_if_null, log_datetime, target_day_of
+from weblake.functions import target_day_of
 from weblake.operators.keys import KeySplit, split_keys
 from weblake.operators.lookup import BROADCAST_BYTES, resolve
-from weblake.operators.quality import too_long
 from weblake.schema import (
     BYTE_LIMIT,
     COLUMN_TYPE,
@@ -27,45 +26,45 @@ from weblake.schema import (
     STAGE_NOT_NULL,
 )
 from weblake.session import run_together
-from weblake.sources.masked import affected_days, has_day, last_batch, value_of
+from weblake.sources.masked import affected_days, has_day, last_batch
 from weblake.warehouse import Warehouse
 
 # The raw columns a stage row is made of.
 USED_COLUMNS = ["date", "time"] + [c for c in STAGE_COLUMNS if c in COLUMN_TYPE]
 
 
-def typed(column: str) -> Column:
-    """A masked text field as its staged type; null for the no-value mark (no number or date is '-')."""
-    kind = COLUMN_TYPE[column]
-    return value_of(column) if kind == "string" else F.col(column).try_cast(kind)
+_DATETIME = "try_cast(try_cast(date as date) || ' ' || time as timestamp_ntz)"
 
 
-def _datetime() -> Column:
-    return log_datetime(typed("date"), F.col("time"))
+def typed(column: str) -> str:
+    """A masked text field as its staged type; null for the no-value mark (no number or date is '-')."""
+    kind = COLUMN_TYPE[column]
+    return f"nullif({column}, '{NO_VALUE}')" if kind == "string" else f"try_cast({column} as {kind})"
 
 
-def _checks(columns: Sequence[str]) -> list[tuple[Column, str]]:
+def _checks(columns: Sequence[str]) -> list[tuple[str, str]]:
     """What must hold for a masked row to be loaded, and what is wrong where it does not."""
-    checks = [(_datetime().isNotNull(), "no valid datetime")]
+    checks = [(f"{_DATETIME} is not null", "no valid datetime")]
     for c in columns:
-        text = F.col(c)
         required = c in STAGE_NOT_NULL
         if COLUMN_TYPE[c] != "string":
-            fits = typed(c).isNotNull()
-            checks.append((fits if required else fits | text.isNull() | (text == NO_VALUE), f"bad value in {c}"))
+            fits = f"{typed(c)} is not null"
+            checks.append((fits if required else f"({fits} or {c} is null or {c} = '{NO_VALUE}')", f"bad value in {c}"))
         elif c in BYTE_LIMIT:
             if required:
-                checks.append((text.isNotNull() & (text != NO_VALUE), f"no {c}"))
-            checks.append((text.isNull() | ~too_long(c, BYTE_LIMIT[c]), f"{c} is too long"))
+                checks.append((f"({c} is not null and {c} <> '{NO_VALUE}')", f"no {c}"))
+            checks.append((f"({c} is null or octet_length({c}) <= {BYTE_LIMIT[c]})", f"{c} is too long"))
     return checks
 
 
+def _loadable(columns: Sequence[str]) -> str:
+    return " and ".join(holds for holds, _ in _checks(columns))
+
+
 def load_rejects(masked: DataFrame) -> DataFrame:
     """Rows whose used fields do not fit the stage, with the first reason found."""
-    reason = F
-    for holds, message in _checks(USED_COLUMNS):
-        reason = reason.when(~holds, message)
-    rows = masked.select("src_file", F.col("row_num").alias("seq_num"), reason.alias("reason"), "log_date")
+    reasons = " ".join(f"when not {holds} then '{message}'" for holds, message in _checks(USED_COLUMNS))
+    rows = masked.selectExpr("src_file", "row_num as seq_num", f"case {reasons} end as reason", "log_date")
     return rows.where("reason is not null")
 
 
@@ -78,22 +77,19 @@ def stage_rows(masked: DataFrame, on_error: str = "fail") -> DataFrame:
     The checks are plain conditions, so that they and the conversions compile into one small method.
     """
     if on_error == "fail":
-        message = F.concat(F.lit("a row cannot be loaded on "), F.col("log_date").cast("string"))
-        masked = masked.where(F.when(_loadable(RAW_COLUMNS), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+        message = "'a row cannot be loaded on ' || log_date"
+        masked = masked.where(f"case when {_loadable(RAW_COLUMNS)} then true else cast(raise_error({message}) as boolean) end")
     elif on_error == "quarantine":
         masked = masked.where(_loadable(USED_COLUMNS))
     elif on_error != "trust":
         raise ValueError(f"on_error must be 'quarantine', 'fail' or 'trust', not {on_error!r}")
     columns = {c: typed(c) for c in STAGE_COLUMNS if c in COLUMN_TYPE}
-    columns["datetime"] = _datetime()
-    columns["seq_num"] = F.col("row_num")
-    columns["referer"] = absent_if_null(F.col("referer"))
-    columns["user_agent"] = absent_if_null(F.col("user_agent"))
-    return masked.select(*[columns[c].alias(c) for c in STAGE_COLUMNS], "src_file", "log_date")
-
-
-def _loadable(columns: Sequence[str]) -> Column:
-    return functools.reduce(Column.__and__, [holds for holds, _ in _checks(columns)])
+    columns["datetime"] = _DATETIME
+    columns["seq_num"] = "row_num"
+    # An absent referer or agent is a key of its own.
+    for c in ("referer", "user_agent"):
+        columns[c] = f"coalesce({c}, '{NO_VALUE}')"
+    return masked.selectExpr(*[f"{columns[c]} as {c}" for c in STAGE_COLUMNS], "src_file", "log_date")
 
 
 def encode(stage: DataFrame, keys: KeySplit, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -112,8 +108,7 @@ def append_dimensions(warehouse: Warehouse, keys: KeySplit) -> None:
     """Add new dimension rows, each table's in natural-key order."""
 
     def append(d: Dimension) -> None:
-        fresh = keys.fresh.where(F.col("dim") == d.name)
-        rows = fresh.select(F.col("id").cast(d.id_type).alias("id"), F.col("key").alias(d.key))
+        rows = keys.fresh(d.name).select(F.col("id").cast(d.id_type).alias("id"), F.col("key").alias(d.key))
         rows.sortWithinPartitions(d.key).write.mode("append").parquet(warehouse.path(d.name))
 
     grown = [d for d in DIMENSIONS.values() if keys.sizes[d.name].fresh]

@@ -185,5 +185,5 @@ def masked_rows(data: DataFrame, whole: Column, has_header: Column) -> DataFrame
 
 def spread_fields(rows: DataFrame) -> DataFrame:
     """The array of fields as one column each."""
-    columns = [F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(RAW_COLUMNS)]
-    return rows.select(*[c for c in rows.columns if c != "fields"], *columns)
+    columns = [f"get(fields, {i}) as {c}" for i, c in enumerate(RAW_COLUMNS)]
+    return rows.selectExpr(*[c for c in rows.columns if c != "fields"], *columns)

@@ -7,7 +7,6 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblake.functions import null_if_absent
 from weblake.schema import (
     CDN_FIELDS,
     MASKED_SCHEMA,
@@ -108,7 +107,3 @@ def as_masked(raw: DataFrame, day: datetime.date) -> DataFrame:
         F.col("seq_num").alias("row_num"), *texts, F.lit(day).alias("log_date"), F.lit(None).cast("string").alias("src_file")
     )
 
-
-def value_of(column: str):
-    """A masked field with the no-value mark read as null."""
-    return null_if_absent(F.col(column))

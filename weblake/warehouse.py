@@ -6,6 +6,7 @@ import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weblake.operators.keys import dimension_keys
@@ -51,7 +52,8 @@ class Warehouse:
 
     def _create(self, table: str) -> None:
         schema = self._schema(table)
-        writer = self.spark.createDataFrame([], schema).write.mode("ignore")
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        writer = self.spark.range(0, 0, 1, 1).select(*nulls).write.mode("ignore")
         if "log_date" in schema.fieldNames():
             writer = writer.partitionBy("log_date")
         writer.parquet(self.path(table))
