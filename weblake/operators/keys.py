@@ -54,14 +54,14 @@ def new_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
     return keys.join(known.select("dim", "key"), ["dim", "key"], "left_anti")
 
 
-def assign_ids(fresh: DataFrame, dims: DataFrame) -> DataFrame:
+def assign_ids(fresh: DataFrame, dims: DataFrame, staging: str | None = None) -> DataFrame:
     """Ids for new keys, continuing each dimension after its largest id: (dim, key, n, id)."""
     # One row per dimension.
     largest = {r["dim"]: r["base"] for r in dims.groupBy("dim").agg(F.max("id").alias("base")).collect()}
     narrow = [d.name for d in DIMENSIONS.values() if d.id_type == T.IntegerType()]
     overflow = F.col("dim").isin(narrow) & (F.col("id") > INT_MAX)
     message = F.concat(F.lit("no INT id left in "), F.col("dim"))
-    return dense_ids(fresh, "dim", "key", largest).withColumn(
+    return dense_ids(fresh, "dim", "key", largest, staging).withColumn(
         "id", F.when(overflow, F.raise_error(message).cast("long")).otherwise(F.col("id"))
     )
 
@@ -78,10 +78,14 @@ class KeySize:
 
 @dataclass(frozen=True)
 class KeySplit:
-    """The keys of one load with their ids: (key, id, n, is_new), in one folder per dimension."""
+    """The keys of one load with their ids: (key, id, n, is_new), in one folder per dimension.
+
+    ``staging`` holds the table; whoever asked for the split discards it after use.
+    """
 
     table: DataFrame
     sizes: dict[str, KeySize]
+    staging: str
 
     def lookup(self, dim: str) -> DataFrame:
         """(key, id, n) of one dimension, limited to the keys of this load."""
@@ -99,14 +103,15 @@ def split_keys(stage: DataFrame, dims: DataFrame) -> KeySplit:
     small key table is broadcast to the dimensions instead of shuffling them.
     """
     spark = stage.sparkSession
-    keys = stage_table(stage_keys(stage), scratch_path(spark, "keys"))
-    known = stage_table(known_keys(keys, dims), scratch_path(spark, "known-keys"))
-    fresh = assign_ids(new_keys(keys, known), dims)
+    staging = scratch_path(spark, "keys")
+    keys = stage_table(stage_keys(stage), f"{staging}/all")
+    known = stage_table(known_keys(keys, dims), f"{staging}/known")
+    fresh = assign_ids(new_keys(keys, known), dims, f"{staging}/fresh")
     columns = ["dim", "key", "id", "n", "is_new"]
     both = known.withColumn("is_new", F.lit(False)).select(*columns).unionByName(
         fresh.withColumn("is_new", F.lit(True)).select(*columns)
     )
-    table = stage_table(both, scratch_path(spark, "key-ids"), ["dim"])
+    table = stage_table(both, f"{staging}/ids", ["dim"])
     measured = table.groupBy("dim").agg(
         F.count("*").alias("keys"),
         F.sum(F.octet_length("key") + 16).alias("bytes"),
@@ -115,4 +120,4 @@ def split_keys(stage: DataFrame, dims: DataFrame) -> KeySplit:
     )
     # One row per dimension.
     sizes = {r["dim"]: KeySize(r["keys"], r["bytes"], r["rows"], r["fresh"]) for r in measured.collect()}
-    return KeySplit(table, sizes)
+    return KeySplit(table, sizes, staging)

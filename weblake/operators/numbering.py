@@ -49,7 +49,9 @@ def number_rows(
     )
 
 
-def dense_ids(keys: DataFrame, scope: str, key: str, base: dict[str, int], out: str = "id") -> DataFrame:
+def dense_ids(
+    keys: DataFrame, scope: str, key: str, base: dict[str, int], staging: str | None = None, out: str = "id"
+) -> DataFrame:
     """Give each distinct (scope, key) the next id of its scope, in key order.
 
     ``base`` is the largest id in use per scope; scopes are few. Keys are range-partitioned and
@@ -57,14 +59,13 @@ def dense_ids(keys: DataFrame, scope: str, key: str, base: dict[str, int], out:
     staged first: range bounds come from sampling, and a second evaluation could cut the ranges
     elsewhere.
     """
-    spark = keys.sparkSession
     placed = (
         keys.repartitionByRange(scope, key)
         .sortWithinPartitions(scope, key)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_place", 33))
     )
-    staged = stage_table(placed, scratch_path(spark, "new-keys"))
+    staged = stage_table(placed, staging or scratch_path(keys.sparkSession, "new-keys"))
     # One row per range partition, plus one for every scope that starts inside a partition.
     sizes = staged.groupBy(scope, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = F.sum("_n").over(

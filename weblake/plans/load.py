@@ -25,7 +25,7 @@ from weblake.schema import (
     STAGE_COLUMNS,
     STAGE_NOT_NULL,
 )
-from weblake.session import run_together
+from weblake.session import discard, run_together
 from weblake.sources.masked import affected_days, has_day, last_batch
 from weblake.warehouse import Warehouse
 
@@ -175,6 +175,7 @@ def load_days(
         if on_error == "fail":
             stage = stage_rows(rows, "trust")
         write_fact(warehouse, encode(stage, keys, broadcast_bytes), mode)
+    discard(warehouse.spark, keys.staging)
     return True
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from weblake.warehouse import TABLES, Warehouse
 
 LOG = logging.getLogger(__name__)
 
+# Files deleted at the same time.
+DELETERS = 16
+
 
 def compact_fact(warehouse: Warehouse, days: Sequence[datetime.date] | None = None) -> None:
     """Rewrite days (default: all) as few files, sorted by time across and within files.
@@ -94,12 +99,17 @@ def _status(raw: DataFrame, masked: DataFrame, rejects: DataFrame) -> DataFrame:
 def retire_sources(spark: SparkSession, status: DataFrame) -> int:
     """Delete the sources that are done; returns how many there were.
 
-    Paths arrive one partition at a time, so the list is never held whole.
+    Paths arrive a batch at a time, so the list is never held whole.
     """
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    retired = 0
-    for row in status.where("done").select("src_file").toLocalIterator():
+
+    def delete(row) -> bool:
         path = path_of(row.src_file)
-        retired += bool(path.getFileSystem(conf).delete(path, False))
+        return bool(path.getFileSystem(conf).delete(path, False))
+
+    retired = 0
+    with ThreadPoolExecutor(max_workers=DELETERS) as pool:
+        for rows in itertools.batched(status.where("done").select("src_file").toLocalIterator(), 1000):
+            retired += sum(pool.map(delete, rows))
     return retired

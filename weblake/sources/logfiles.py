@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weblake.functions import log_date, mask_field
 from weblake.schema import CDN_FIELDS, COMMENT_MARK, FIELDS_MARK, RAW_COLUMNS
-from weblake.session import scratch_path, stage_table
+from weblake.session import discard, scratch_path, stage_table
 
 # A per-file header table up to this many files (about 200 bytes each) is broadcast; beyond it the
 # rows are joined by file, spread over SALTS tasks per file.
@@ -95,9 +95,11 @@ def parse_files(lines: DataFrame, fields: Sequence[str] | None = None):
         declared = FIELDS_MARK + "".join(f" {f}" for f in fields)
         return lambda part: _declared_rows(with_position(part), list(fields), declared)
     spark = lines.sparkSession
-    headers = stage_table(file_headers(lines), scratch_path(spark, "headers"))
+    staging = scratch_path(spark, "headers")
+    headers = stage_table(file_headers(lines), staging)
     layouts = [row.header for row in headers.select("header").distinct().limit(2).collect()]
     if len(layouts) == 1 and layouts[0] is not None:
+        discard(spark, staging)
         return lambda part: _one_layout_rows(with_position(part), header_fields(layouts[0]))
     return lambda part: _own_layout_rows(with_position(part), headers)
 
