@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblake.functions import (
+    absent_if_null,
     date_path,
     expand_index,
     log_date,
     log_datetime,
     mask_field,
+    null_if_absent,
     source_key,
     split_first,
     split_last,
@@ -178,3 +180,8 @@ def test_target_day_keeps_the_offsets_own_day(spark):
 def test_date_path_and_source_key(spark):
     assert apply(spark, ["2022-1-3"], date_path(log_date(F.col("v")))) == ["2022/01/03/"]
     assert apply(spark, ["m/2022/01/03/a.gz", "a.gz", "m/2022/"], source_key(F.col("v"))) == ["a.gz", "a.gz", None]
+
+
+def test_the_no_value_mark(spark):
+    assert apply(spark, ["-", "x", "", None], null_if_absent(F.col("v"))) == [None, "x", "", None]
+    assert apply(spark, ["-", "x", "", None], absent_if_null(F.col("v"))) == ["-", "x", "", "-"]

@@ -1,6 +1,6 @@
 """Scalar expressions over columns; all run inside the JVM."""
 
-from weblake.functions.address import is_address, mask_address, mask_field
+from weblake.functions.address import mask_address, mask_field
 from weblake.functions.dates import date_path, log_date, log_datetime, target_day, target_day_of
 from weblake.functions.text import absent_if_null, null_if_absent, source_key
 from weblake.functions.uri import expand_index, split_first, split_last
@@ -9,7 +9,6 @@ __all__ = [
     "absent_if_null",
     "date_path",
     "expand_index",
-    "is_address",
     "log_date",
     "log_datetime",
     "mask_address",

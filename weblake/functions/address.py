@@ -49,8 +49,3 @@ def mask_address(address: Column) -> Column:
 def mask_field(address: Column) -> Column:
     """As :func:`mask_address`, with the no-value mark left as it is."""
     return F.when(address == NO_VALUE, address).otherwise(mask_address(address))
-
-
-def is_address(address: Column) -> Column:
-    """Whether ``address`` is a valid IP address."""
-    return F.coalesce(mask_address(address).isNotNull(), F.lit(False))
