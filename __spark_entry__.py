@@ -307,6 +307,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return decoded_star(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The queries of the subpackage ``llm`` and their SQL, if it is there at all."""
+    try:
+        from weblake.llm import queries as module
+    except ModuleNotFoundError as error:
+        if error.name not in ("weblake.llm", "weblake.llm.queries", "corpus_pipeline"):
+            raise
+        return {}, {}
+    except ImportError:  # an empty folder of that name
+        return {}, {}
+    return module.queries(), module.oracle_sql()
+
+
 def queries() -> dict[str, Query]:
     return {
         "mask_ips": mask_ips,
@@ -338,8 +351,9 @@ def queries() -> dict[str, Query]:
         "decode_star": decoded_star,
         "daily_page_views": page_views,
         "result_mix": results,
+        **_training_data()[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | _training_data()[1]
