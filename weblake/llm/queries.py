@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weblake.llm.common import table
+from weblake.llm.near_dup import near_duplicates
 from weblake.llm.quality import learn_field, line_quality
 
 
@@ -13,9 +14,14 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs, learn_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def queries() -> dict:
     return {
         "op4_line_quality": op4_line_quality,
+        "op8_minhash_join": op8_minhash_join,
     }
 
 
