@@ -4,17 +4,20 @@ A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased
 has its whole sequence as the one shingle, a document without words none. Documents with equal sets
 form a class and are represented by the smallest doc_id; only representatives go on.
 
-1. Each representative is posted under each of its 64 (coordinate, value) pairs. A link needs
-   ``MATCHES`` = 40 equal coordinates (at a similarity of 0.85 one in 10^5 to 10^6 links has fewer),
-   so postings of a value that no other document has are dropped, and so are documents with fewer
-   than 40 shared values.
-2. Prefix: in one global order, rarest value first, two documents with 40 equal coordinates share one
-   of the first 64 - 40 + 1. Only those are merged, so values of very common passages hardly appear.
-3. Skip merging: in each list every document is first compared with a pivot of the list. Links found
-   so are joined into components, lists within one component are skipped, and in the others
-   only documents of different components are compared. Large groups of near copies thus cost a few
-   comparisons a document, and still no link between components is lost.
-4. Compared pairs must have 40 equal coordinates and are then confirmed on their full shingle sets.
+1. Each representative is posted under each of its 64 (coordinate, value) pairs. A link needs M equal
+   coordinates, the most that all but 5 in 10^6 links have whose similarity is at the very threshold
+   (40 at 0.85, 36 at 0.8; more similar ones are safer). So postings of a value that no other document
+   has are dropped, and so are documents with fewer than M shared values.
+2. Prefix: in one global order, rarest value first, two documents with M equal coordinates share one
+   of the first 64 - M + 1. Only those are merged, so values of very common passages hardly appear.
+3. Skip merging: documents of long lists are posted anew by their rarest shingles, as many as the sizes
+   of the sets ask for, with what two sets can still have in common from there on; this skips
+   documents and pairs that can't link. Then every document of a list is compared with a pivot of the list (the one with the fewest shingles of
+   its own). Links found so are joined into components, lists within one component are skipped, and
+   in the others only documents outside the commonest component are compared, with those of other
+   components. Large groups of near copies thus cost a few comparisons a document, and no link
+   between components is lost.
+4. Compared pairs must have M equal coordinates and are then confirmed on their full shingle sets.
 
 Components come from minimum labels with pointer jumping, as joins of written tables.
 
@@ -26,6 +29,8 @@ hashes of shingles.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,13 +40,26 @@ from pyspark.sql import functions as F
 from weblake.llm.common import HASHES, keyed_texts, lower_words, map_batches, map_rows, mix, stage, window_hashes
 
 COORDINATES = 64
-MATCHES = 40
+# Share of links at the threshold that may have fewer equal coordinates than are asked for.
+MISSED = 5e-6
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _FACTORS = mix(_SEEDS + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+# Lists up to this length are compared without counting shared shingles first.
+LONG = 32
 # Shingles that are put through all coordinates together.
 _BLOCK = 2048
 
 
+def matches_needed(percent: int) -> int:
+    """The most equal coordinates that all but ``MISSED`` of the links at the threshold have."""
+    p, missed, needed = percent / 100, 0.0, 0
+    while True:
+        missed += comb(COORDINATES, needed) * p**needed * (1 - p) ** (COORDINATES - needed)
+        if missed > MISSED:
+            return max(1, needed)
+        needed += 1
+
+
 def shingle_set(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     h = HASHES.of(lower_words(text))
@@ -93,53 +111,99 @@ def _postings(reps: DataFrame) -> DataFrame:
     return map_batches(reps.select("doc", "signature"), run, "doc long, key long")
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
+def _prefixes(reps: DataFrame, needed: int) -> DataFrame:
     """(key, doc, n): the lists that are merged."""
     postings = _postings(reps)
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # At most 64 entries a document.
     live = postings.join(shared, "key").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("own"))
-    rare = live.where(F.size("own") >= MATCHES).select(
-        "doc", F.explode(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("entry")
+    rare = live.where(F.size("own") >= needed).select(
+        "doc", F.explode(F.slice("own", F.lit(1), F.size("own") - (needed - 1))).alias("entry")
     )
     return rare.join(reps.select("doc", "n"), "doc").select(F.col("entry.key").alias("key"), "doc", "n")
 
 
-def _may_link(n1: str, n2: str, percent: int):
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """(doc, shared, own): how many shingles of each doc another doc of ``sets`` has, and those, rarest first."""
+    schema = pa.schema([("doc", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.frombuffer(s, dtype=np.int64) for s in part.column(1).to_pylist()]
+                docs = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(np.concatenate(found))], schema=schema)
+
+    rows = map_batches(sets.select("doc", "shingles"), run, "doc long, shingle long")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = rows.join(common, "shingle").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    return own.select("doc", F.size("own").alias("shared"), "own")
+
+
+def _may_link(percent: int, n1: str, n2: str, cap1: str, cap2: str):
+    """Whether sets of these sizes, of which at most ``cap`` shingles can be common, may be similar enough."""
+    return F.least(n1, n2, cap1, cap2) * (100 + percent) >= (F.col(n1) + F.col(n2)) * percent
+
+
+def _lists(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, doc, n, cap, lone): the lists to compare.
+
+    Lists of up to ``LONG`` documents stay. Documents of longer ones are posted anew, by shingles, rarest
+    first: sets of n and m shingles that are similar enough share so many that they meet in one of the
+    first few of both, and what stands before it in either order they can't have in common: cap is
+    what is left, lone the shingles that no other document of long lists has.
+    """
+    sizes = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1")
+    listed = stage(posts.join(sizes, "key"), "list-sizes")
+    short = listed.where(F.col("size") <= LONG).select("key", "doc", "n", F.col("n").alias("cap"), F.lit(0).cast("long").alias("lone"))
+    # The smallest set that a document could meet in its long lists.
+    long = listed.where(F.col("size") > LONG).groupBy("doc").agg(F.min("n").alias("n"), F.min("least").alias("least"))
+    rare = long.join(_rare_shingles(sets.join(long.select("doc"), "doc", "left_semi")), "doc")
+    lone = F.col("n") - F.col("shared")
+    needed = F.ceil((F.col("n") + F.col("least")) * percent / (100 + percent))
+    reach = F.greatest(F.lit(0), F.col("n") - needed + 1 - lone).cast("int")
+    rare = rare.select("doc", "n", lone.alias("lone"), F.posexplode(F.slice("own", F.lit(1), reach)).alias("at", "entry"))
+    cap = F.col("n") - F.col("lone") - F.col("at")
+    return short.unionByName(rare.select(F.col("entry.shingle").alias("key"), "doc", "n", cap.alias("cap"), "lone"))
 
 
 def _pivot_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Every document of a list with the list's pivot: by one of four orders, so lists share pivots."""
-    rank = F.xxhash64("doc", F.pmod("key", F.lit(4)))
-    pivots = posts.groupBy("key").agg(
-        F.min(F.struct(rank.alias("rank"), F.col("doc").alias("pivot"), F.col("n").alias("m"))).alias("p"),
-        F.count("*").alias("size"),
-    )
-    pivots = pivots.where("size > 1").select("key", "p.pivot", "p.m")
-    both = posts.join(pivots, "key").where("doc <> pivot").where(_may_link("n", "m", percent))
+    """Every document of a list with the list's pivot: the one with the smallest share of lone shingles."""
+    best = F.struct((F.col("lone") / F.col("n")).alias("rank"), F.col("doc").alias("pivot"), F.col("n").alias("m"), F.col("cap").alias("most"))
+    pivots = posts.groupBy("key").agg(F.min(best).alias("p")).select("key", "p.pivot", "p.m", "p.most")
+    both = posts.join(pivots, "key").where("doc <> pivot").where(_may_link(percent, "n", "m", "cap", "most"))
     return both.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
 def _cross_pairs(posts: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Documents of one list that are in different components."""
+    """Documents of one list that are in different components: those outside the list's commonest
+    component with all others."""
     named = posts.join(components, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_lists = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    named = named.join(open_lists.where("low <> high").select("key"), "key")
+    lists = named.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")
+    )
+    named = named.join(lists.where("low <> high").select("key", "main"), "key")
+    one = named.where("component <> main").select("key", "doc", "n", "cap", "component")
     other = named.select(
-        "key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")
+        "key",
+        F.col("doc").alias("doc2"),
+        F.col("n").alias("m"),
+        F.col("cap").alias("most"),
+        F.col("component").alias("component2"),
     )
-    both = named.withColumnRenamed("doc", "a").join(other, "key").where("a < b and component <> other")
-    return both.where(_may_link("n", "m", percent)).select("a", "b").distinct()
+    open_ = (F.col("component") != F.col("component2")) & _may_link(percent, "n", "m", "cap", "most")
+    both = one.join(other, "key").where(open_)
+    return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs with MATCHES equal coordinates."""
+def _alike(pairs: DataFrame, reps: DataFrame, needed: int) -> DataFrame:
+    """The pairs with enough equal coordinates."""
 
     def make():
         def step(cols: dict) -> dict:
             one, two = (np.frombuffer(b"".join(cols[k]), dtype="<u4").reshape(-1, COORDINATES) for k in ("s", "t"))
-            good = np.flatnonzero((one == two).sum(axis=1) >= MATCHES)
+            good = np.flatnonzero((one == two).sum(axis=1) >= needed)
             return {k: [cols[k][i] for i in good] for k in ("a", "b")}
 
         return step
@@ -189,6 +253,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+    needed = matches_needed(percent)
     texts = keyed_texts(docs)
     sketches = stage(_sketches(texts, width), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("digest")
@@ -197,13 +262,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         reps.select("digest", F.col("r.doc_id").alias("doc"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")),
         "representatives",
     )
-    posts = stage(_prefixes(reps), "prefixes")
+    posts = stage(_prefixes(reps, needed), "prefixes")
 
-    first = stage(_alike(_pivot_pairs(posts, percent), reps), "pivot-pairs")
     sets = _shingle_sets(texts, posts.select("doc").distinct(), width)
+    posts = stage(_lists(posts, sets, percent), "lists")
+    first = stage(_alike(_pivot_pairs(posts, percent), reps, needed), "pivot-pairs")
     links = stage(_confirmed(first, sets, percent), "links")
     second = _cross_pairs(posts, connected(links), percent).join(first, ["a", "b"], "left_anti")
-    second = stage(_alike(second, reps), "cross-pairs")
+    second = stage(_alike(second, reps, needed), "cross-pairs")
     more = stage(_confirmed(second, sets, percent), "more-links")
     components = connected(links.union(more))
 
