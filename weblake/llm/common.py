@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -32,20 +32,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return stage_table(df, scratch_path(df.sparkSession, label))
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; a null text is an empty one. Other columns, whatever their names, go."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and text alone; a null text is an empty one. Other columns, whatever their names, go.
+
+    ``carry``: columns to keep as they are, in a struct ``carried``.
+    """
+    kept = [F.struct(*carry).alias("carried")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *kept)
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``texts_of`` for operators that join by doc_id.
 
     A row without doc_id is no document and takes no part. Of rows that repeat a doc_id, the one with
     the smallest text counts.
     """
-    texts = texts_of(docs).where("doc_id is not null")
-    repeated = texts.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else texts
+    texts = texts_of(docs, carry).where("doc_id is not null")
+    if not texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return texts
+    rest = [c for c in texts.columns if c != "doc_id"]
+    return texts.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
 
 
 def held_out(doc_id: str, modulus: int):
@@ -67,7 +73,7 @@ def ship(spark: SparkSession) -> None:
     context._weblake_shipped = True
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -76,18 +82,28 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """``map_batches`` over slices: ``make()`` runs once a task and returns columns -> columns."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    """``map_batches`` over slices: ``make()`` runs once a task and returns columns -> columns.
+
+    A struct ``carried`` in ``df`` goes through untouched; then a slice must give a row for each of its rows.
+    """
+    fields = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    carries = "carried" in df.columns
+    if carries:
+        fields.add(df.schema["carried"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n != "carried"})
+                made = pa.RecordBatch.from_pydict(out, schema=arrow)
+                if carries:
+                    made = made.append_column(part.schema.field("carried"), part.column("carried"))
+                yield made
 
-    return map_batches(df, run, schema)
+    return map_batches(df, run, fields)
 
 
 def words(text: str) -> list[bytes]:
