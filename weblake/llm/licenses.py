@@ -37,6 +37,7 @@ BASE_PHRASES = {
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
     ("mit", "licensed under the mit license", ["the mit license"]),
+    ("mit", "released under the mit license", ["the mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["gnu general public license"]),
     ("gpl", "licensed under the gnu general public license", ["gnu general public license"]),

@@ -30,12 +30,13 @@ from weblake.llm.common import ASCII_LOWER, MEMO_WORDS, held_out, map_rows, stag
 
 FOLDS = 5
 MAX_TERMS = 3000
-PREFIX = 4
+# Lengths of word beginnings, in characters; the word goes on.
+STARTS = (4, 5, 6, 7, 8)
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos"
     " ti usted ustedes vosotros tus su".split()
 )
-_EDGES = b".,;:!?()[]{}\"'"
+_EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Characters that stand for letters in obfuscated spellings.
 _LEET = bytes.maketrans(b"@4310!57$8", b"aaeioistsb")
 _INNER = b"*.-_~^|+="
@@ -48,10 +49,16 @@ _NOT_PUNCTUATION = bytes(set(range(256)) - set(b"!?.,;:*#@$%&"))
 FEATURES = [
     "log_words", "word_hits", "word_density", "word_weight", "word_best", "start_hits", "start_density",
     "start_weight", "start_best", "person_rate", "person_near", "capitals", "exclaims", "punctuation",
-    "obfuscated_rate", "obfuscated_hits",
+    "obfuscated_rate", "obfuscated_hits", "hits", "hit_weight",
 ]
 
 
+def starts_of(core: bytes) -> list[bytes]:
+    """The beginnings of a word, shorter than the word itself."""
+    word = core.decode("utf-8", "replace")
+    return [word[:n].encode("utf-8", "replace") for n in STARTS if len(word) > n]
+
+
 def plain_form(token: bytes) -> bytes:
     """A lower-cased token without the punctuation around it."""
     return token.strip(_EDGES)
@@ -72,7 +79,7 @@ def is_obfuscated(core: bytes) -> bool:
 
 @dataclass
 class Lexicon:
-    """Log-odds of words and of word beginnings (of words of five letters or more)."""
+    """Log-odds of words and of word beginnings."""
 
     words: dict[bytes, float]
     starts: dict[bytes, float]
@@ -89,7 +96,7 @@ class Marks(dict):
     def __missing__(self, token: bytes) -> int:
         core = plain_form(token)
         word = self.lexicon.words.get(core, 0.0)
-        start = self.lexicon.starts.get(core[:PREFIX], 0.0) if len(core) > PREFIX else 0.0
+        start = max((self.lexicon.starts.get(x, 0.0) for x in starts_of(core)), default=0.0)
         hidden, through = is_obfuscated(core), 0
         if hidden and not word:
             word = self.lexicon.words.get(revealed_form(core), 0.0)
@@ -143,6 +150,8 @@ def features_of(text: str, marks: Marks) -> list[float]:
         len(latin.translate(None, _NOT_PUNCTUATION)) / max(1, len(latin)),
         100.0 * float(hidden.sum()) / n,
         float(through.sum()),
+        float(len(hits)),
+        float(np.maximum(word, start).sum()),
     ]
 
 
@@ -162,7 +171,8 @@ def text_features(texts: DataFrame, lexicon: Lexicon, also: str = "") -> DataFra
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """From (text, toxic): terms in at least three toxic documents whose log-odds are high and sure."""
+    """From (text, toxic): terms in at least three, and one in a hundred, toxic documents whose log-odds are
+    high and sure."""
 
     def make():
         def step(cols: dict) -> dict:
@@ -170,7 +180,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             for text, toxic in zip(cols["text"], cols["toxic"]):
                 cores = {plain_form(t) for t in text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()}
                 counts.setdefault(("word", toxic), Counter()).update(cores)
-                counts.setdefault(("start", toxic), Counter()).update({c[:PREFIX] for c in cores if len(c) > PREFIX})
+                counts.setdefault(("start", toxic), Counter()).update({x for c in cores for x in starts_of(c)})
                 counts.setdefault(("all", toxic), Counter()).update([b""])
             out: dict = {"kind": [], "term": [], "toxic": [], "n": []}
             for (kind, toxic), found in counts.items():
@@ -192,7 +202,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     best = (
-        counts.where("kind <> 'all' and t >= 3 and length(term) > 0")
+        counts.where("kind <> 'all' and length(term) > 0")
+        .where(F.col("t") >= max(3, 0.01 * toxic))
         .select("kind", "term", odds.alias("odds"), sure.alias("sure"))
         .where("odds > 1.5 and sure > 3.5")
         .orderBy(F.desc("sure"), "kind", "term")
