@@ -93,6 +93,7 @@ class Vocabulary:
 
     tokens: int  # N
     distinct: int  # V
+    ends: int  # occurrences of the end
     hashes: np.ndarray  # of hot words, sorted
     counts: np.ndarray
     symbol: np.ndarray  # of hot words; CLASSES or more: a symbol of its own
@@ -111,7 +112,8 @@ class Vocabulary:
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    ends = F.sum(F.when(F.col("h") == END, F.col("c")))
+    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
     # How many words have at least so many occurrences, by twelfths of doublings.
     step = F.floor(F.log2("c") * 12).cast("int")
     levels = counts.groupBy(step.alias("level")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("level"))
@@ -136,7 +138,7 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     np.subtract.at(class_mass, hashes[own] & 63, n[own] + SMOOTH)
     class_mass = np.maximum(class_mass, SMOOTH)
     return Vocabulary(
-        totals["n"] or 0, totals["v"], hashes, n, symbol.astype(np.int32), CLASSES + 1 + len(own), class_mass,
+        totals["n"] or 0, totals["v"], totals["ends"] or 0, hashes, n, symbol.astype(np.int32), CLASSES + 1 + len(own), class_mass,
         below if below is not None else 1 << 62,
     )
 
@@ -159,11 +161,11 @@ def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
             h = np.concatenate(found)
             unique, back = np.unique(h, return_inverse=True)
             hot, count, symbol = (x[back] for x in table.look_up(unique))
-            symbol = np.where(h == END, CLASSES, symbol)
+            symbol, count = np.where(h == END, CLASSES, symbol), np.where(h == END, table.ends, count)
             base = np.log10(count + SMOOTH) - scale
             in_class = hot & (symbol < CLASSES)
             inner = np.where(in_class, np.log10(count + SMOOTH) - np.log10(table.class_mass[np.minimum(symbol, CLASSES - 1)]), 0.0)
-            # The end is never looked up by a join, even if it was never seen.
+            # The end's count is always at hand.
             cold = ~hot & (h != END)
             out: dict = {k: [] for k in ("n_tokens", "n_known", "base", "inner", "symbols", "cold")}
             for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends):

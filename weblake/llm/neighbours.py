@@ -5,6 +5,7 @@
   is then put into the leaf that a descent by the nearest centre leads to.
 * A query visits leaves best bin first: a priority queue holds the branches not taken by their distance
   (to the centre, less what the centre's spread may hide), and the nearest is opened next.
+* A query whose leaves hold fewer than k other vectors visits more until they do.
 * How many leaves are visited is calibrated on sample queries against brute force within the sample:
   visits widen until the mean recall of the ``k`` nearest reaches ``recall``.
 * Leaves are cut into blocks of ``BLOCK`` vectors, so a value that a third of the rows has fills many
@@ -69,11 +70,12 @@ class Tree:
             todo += [(int(kid), rows[near == i]) for i, kid in enumerate(kids)]
         return out
 
-    def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first traversal."""
+    def best_bins(self, query: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves of a best-bin-first traversal, and more until, by ``sizes``, they
+        hold ``least`` vectors."""
         found: list[int] = []
-        queue = [(0.0, 0)]
-        while queue and len(found) < visits:
+        queue, held = [(0.0, 0)], 0
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 kids = self.children[node]
@@ -84,6 +86,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), kid))
                 node = kids[best]
             found.append(int(self.leaf[node]))
+            held += int(sizes[found[-1]]) if sizes is not None else 0
         return found
 
 
@@ -188,8 +191,8 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, width)
 
 
-def place_vectors(vectors: DataFrame, tree: Tree, searching: bool) -> DataFrame:
-    """(vec_id, leaf, packed vector): each vector in its leaf, or, searching, in all leaves it visits."""
+def place_vectors(vectors: DataFrame, tree: Tree, sizes: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """(vec_id, leaf, packed vector): each vector in its leaf, or, with the leaves' sizes, in all it visits."""
     sent = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
@@ -197,8 +200,9 @@ def place_vectors(vectors: DataFrame, tree: Tree, searching: bool) -> DataFrame:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
             matrix = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, tree.width)
-            if searching:
-                bins = [tree.best_bins(v, tree.visits) for v in matrix]
+            if sizes is not None:
+                # One of the vectors is the query itself.
+                bins = [tree.best_bins(v, tree.visits, sizes, k + 1) for v in matrix]
                 rows = np.repeat(np.arange(len(ids)), [len(b) for b in bins])
                 leaf = np.concatenate(bins) if bins else np.empty(0)
             else:
@@ -229,8 +233,13 @@ def nearest(embeddings: DataFrame, k: int = 10, query_step: int = QUERY_STEP, re
     tree = learn_tree(vectors, k, recall)
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed, v_blocks = _blocks(stage(place_vectors(vectors, tree, False), "leaves"), BLOCK, "block")
-    queries = place_vectors(vectors.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"]), tree, True)
+    placed = stage(place_vectors(vectors, tree), "leaves")
+    sizes = np.zeros(tree.leaves, dtype=np.int64)
+    for row in placed.groupBy("leaf").count().collect():  # a row for each leaf: bounded by the sample
+        sizes[row["leaf"]] = row["count"]
+    placed, v_blocks = _blocks(placed, BLOCK, "block")
+    asking = vectors.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
+    queries = place_vectors(asking, tree, sizes, k)
     queries, q_blocks = _blocks(stage(queries, "visits"), QUERY_BLOCK, "part")
     # Each block of vectors meets each block of its leaf's queries.
     placed = placed.join(F.broadcast(q_blocks), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
