@@ -40,7 +40,7 @@ from weblake.llm.common import HASHES, keyed_texts, map_batches, map_rows, stage
 WIDTH = 20
 PREFIX = 7
 # Suffixes of a group that are handled together.
-GROUP_WORDS = 200_000
+GROUP_WORDS = 20_000
 _WORD_AND_GAP = re.compile(rb"([^\x20\x09-\x0d]+)([\x20\x09-\x0d]*)")
 
 
