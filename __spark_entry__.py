@@ -13,22 +13,22 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import oracle
 from weblake.functions import date_path, expand_index, log_date, mask_address, mask_field, split_first, split_last, target_day
-from weblake.operators.keys import assign_ids, dimension_keys, known_keys, new_keys, split_keys, stage_keys
+from weblake.operators.keys import assign_ids, known_keys, new_keys, split_keys, stage_keys
 from weblake.operators.quality import duplicate_keys, length_counts, null_counts, orphan_ids
-from weblake.plans.load import encode, load_affected, load_days, load_previous_day, stage_rows
+from event_log import events_of, log_view, masked_view, with_addresses, write_log_files
+from weblake.plans.load import encode, load_affected, load_days, load_previous_day, load_rejects, stage_rows
 from weblake.plans.maintain import compact_all, source_status
-from weblake.plans.mask import mask_files
+from weblake.plans.mask import mask_created, mask_files, mask_lines
 from weblake.plans.reports import daily_page_views, decode_star, result_mix
-from weblake.schema import DIMENSIONS, FACT_NOT_NULL
+from weblake.schema import CDN_FIELDS, DIMENSIONS, FACT_NOT_NULL, STAGE_COLUMNS
 from weblake.session import scratch_path
-from weblake.sources.event_log import events_of, masked_view, write_log_files
 from weblake.sources.logfiles import read_lines
-from weblake.sources.masked import read_masked, read_rejects, write_masked
+from weblake.sources.masked import as_masked, commit_batch, export_days, read_commits, read_days_tsv, read_masked, read_rejects
 from weblake.sources.notices import created_keys, finished_sources
 from weblake.streaming.ingest import start_masking
 from weblake.warehouse import Warehouse
@@ -51,10 +51,14 @@ def _no_dims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "dim string, key string, id bigint")
 
 
+def _days(rows: DataFrame) -> list[datetime.date]:
+    return [r.log_date for r in rows.select("log_date").distinct().orderBy("log_date").collect()]
+
+
 def _masked_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view masked, numbered and written as one batch of the masked layer."""
     path = scratch_path(spark, "masked")
-    write_masked(masked_view(events_of(spark, sf_dir)), path, 0)
+    commit_batch(masked_view(events_of(spark, sf_dir)), path, "view", 0)
     return read_masked(spark, path)
 
 
@@ -94,7 +98,7 @@ def route_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "raw-logs")
-    write_log_files(events_of(spark, sf_dir), path)
+    write_log_files(log_view(events_of(spark, sf_dir)), path)
     return path
 
 
@@ -123,21 +127,81 @@ def mask_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = scratch_path(spark, "masked")
     raw = f"{_raw_files(spark, sf_dir)}/*"
-    start_masking(spark, raw, masked, scratch_path(spark, "checkpoint"), max_files=40).awaitTermination()
+    start_masking(spark, raw, masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(sf_dir)).awaitTermination()
+    return _file_rows(read_masked(spark, masked))
+
+
+def _few(sf_dir: str) -> int:
+    """Files per micro-batch: several batches at any size."""
+    return 40 if "sf0.1" in sf_dir else 5
+
+
+def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams, each with its own checkpoint and batch ids from 0, feed one masked layer."""
+    masked, view = scratch_path(spark, "masked"), log_view(events_of(spark, sf_dir))
+    for part in (F.col("src_file") < "E03", F.col("src_file") >= "E03"):
+        raw = scratch_path(spark, "raw-logs")
+        write_log_files(view.where(part), raw)
+        start_masking(spark, f"{raw}/*", masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(sf_dir)).awaitTermination()
     return _file_rows(read_masked(spark, masked))
 
 
+def _layer_counts(spark: SparkSession, masked: str) -> DataFrame:
+    kept = read_masked(spark, masked).select("src_file", F.lit(None).cast("string").alias("reject"))
+    both = kept.unionByName(read_rejects(spark, masked).select("src_file", "reject"))
+    return both.groupBy(_source_name(F.col("src_file")).alias("src"), "reject").agg(F.count("*").alias("n_rows"))
+
+
+def mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of files in two column orders and of files without a header."""
+    raw, masked, view = scratch_path(spark, "raw-logs"), scratch_path(spark, "masked"), log_view(events_of(spark, sf_dir))
+    write_log_files(view.where("src_file < 'E03'"), f"{raw}/usual")
+    write_log_files(view.where("src_file between 'E03' and 'E05.gz'"), f"{raw}/turned", CDN_FIELDS[::-1])
+    write_log_files(view.where("src_file > 'E05.gz'"), f"{raw}/bare", None)
+    mask_files(spark, [raw], masked, 0, recursive=True)
+    return _layer_counts(spark, masked)
+
+
+def mask_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row with a bad address costs its whole file; other files stand."""
+    raw, masked = scratch_path(spark, "raw-logs"), scratch_path(spark, "masked")
+    view = log_view(events_of(spark, sf_dir))
+    write_log_files(with_addresses(view, F.col("pos") % 4001 == 7, "300.1.1.1"), raw)
+    mask_files(spark, [raw], masked, 0, on_error="drop_file")
+    return _layer_counts(spark, masked)
+
+
+def mask_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only objects that notifications name are masked; one of them has vanished."""
+    raw, masked = _raw_files(spark, sf_dir), scratch_path(spark, "masked")
+    sources = events_of(spark, sf_dir).where("event_id div 5000 % 2 = 0").select(F.expr(oracle.RAW_NAME).alias("src")).distinct()
+    keys = sources.select(F.concat(F.lit("src="), F.col("src")).alias("key")).union(spark.range(1).select(F.lit("src=gone")))
+    messages = keys.select(F.expr(oracle.KEY_MESSAGE).alias("body"))
+    mask_created(messages, "logs", raw, masked, 0, "src=")
+    return _layer_counts(spark, masked).select("src", "n_rows")
+
+
 def retire_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources may go when the rows of one date are not masked yet."""
-    raw, masked = _raw_files(spark, sf_dir), scratch_path(spark, "masked")
-    mask_files(spark, [raw], masked, 0)
-    arrived = read_masked(spark, masked).where(F.col("log_date") != F.lit(datetime.date(2024, 1, 10)))
-    status = source_status(read_lines(spark, raw), arrived, read_rejects(spark, masked))
+    masked = scratch_path(spark, "masked")
+    lines = read_lines(spark, _raw_files(spark, sf_dir))
+    arrived = mask_lines(lines).where(F.col("log_date") != F.lit(datetime.date(2024, 1, 10)))
+    commit_batch(arrived, masked, "files", 0)
+    status = source_status(lines, read_commits(spark, masked))
     return status.select(
         _source_name(F.col("src_file")).alias("src"), "raw_rows", "masked_rows", "rejected_rows", "done"
     )
 
 
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked layer as one TSV file for each source and date, read back and staged."""
+    masked, prefix = _masked_layer(spark, sf_dir), scratch_path(spark, "tsv")
+    days = _days(masked)
+    export_days(masked, prefix, days)
+    staged = stage_rows(as_masked(read_days_tsv(spark, prefix, days)), "fail")
+    return _comparable(staged.select(*STAGE_COLUMNS))
+
+
 # --- load --------------------------------------------------------------------------------------
 
 
@@ -146,6 +210,33 @@ def stage_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(staged.drop("log_date"))
 
 
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with absent numbers and with values that do not fit."""
+    changed = {c: F.expr(e) for c, e in oracle.DIRT.items()}
+    return masked_view(events_of(spark, sf_dir)).withColumns(changed)
+
+
+def quarantine_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _comparable(stage_rows(_dirty(spark, sf_dir), "quarantine").drop("log_date"))
+
+
+def load_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_rejects(_dirty(spark, sf_dir)).select("src_file", "seq_num", "reason")
+
+
+def reload_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third day is loaded again with rows that are all rejected, then one of them is mended."""
+    masked = _masked_layer(spark, sf_dir)
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    third = masked.where(F.dayofmonth("log_date") % 3 == 0)
+    load_days(warehouse, masked, on_error="quarantine")
+    load_days(warehouse, third.withColumn("status", F.lit("x")), on_error="quarantine")
+    load_days(warehouse, masked.where(F.dayofmonth("log_date") == 3), on_error="quarantine")
+    kinds = [(warehouse.fact(), "loaded"), (warehouse.table("load_rejects"), "rejected")]
+    counts = [t.groupBy("log_date").agg(F.count("*").alias("n_rows")).withColumn("kind", F.lit(k)) for t, k in kinds]
+    return counts[0].unionByName(counts[1])
+
+
 def _new(name: str) -> Query:
     """New keys of one dimension when the errors of the first three hours are loaded already."""
 
@@ -164,7 +255,7 @@ def assign_dim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = _stage(spark, sf_dir)
+    stage = stage_rows(_masked_layer(spark, sf_dir), "trust")
     return _comparable(encode(stage, split_keys(stage, _no_dims(spark))).drop("log_date"))
 
 
@@ -184,17 +275,41 @@ def reload_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     late = F.col("src_file") >= "E04"
     for batch, part in enumerate([masked.where(~late), masked.where(late)]):
-        write_masked(part, path, batch)
-        load_affected(warehouse, read_masked(spark, path))
+        commit_batch(part, path, "view", batch)
+        load_affected(warehouse, path)
     return warehouse.fact().groupBy("log_date").agg(F.count("*").alias("n_rows"), F.sum("sc_bytes").alias("bytes"))
 
 
 def compact_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = _loaded(spark, sf_dir)
-    compact_all(warehouse)
+    compact_all(warehouse, _days(warehouse.fact()))
     return _comparable(warehouse.fact().drop("log_date"))
 
 
+def compact_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five dimensions after a compaction."""
+    warehouse = _loaded(spark, sf_dir)
+    compact_all(warehouse, [])
+    return warehouse.dimensions()
+
+
+def unsorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table, rows that come before their predecessor in a file: files must be sorted after a load and
+    after a compaction."""
+    warehouse, found = _loaded(spark, sf_dir), []
+    for step in ("loaded", "compacted"):
+        orders = {"access_log": "datetime", **{d.name: d.key for d in DIMENSIONS.values()}}
+        for name, column in orders.items():
+            rows = warehouse.table(name).select(F.col(column).alias("key"), F.monotonically_increasing_id().alias("pos"), "_metadata.file_path")
+            before = F.lag("key").over(Window.partitionBy("file_path").orderBy("pos"))
+            wrong = rows.withColumn("wrong", F.coalesce(F.col("key") < before, F.lit(False)))
+            found.append(wrong.agg(F.count_if("wrong").alias("n_wrong")).select(F.lit(f"{step} {name}").alias("checked"), "n_wrong"))
+        counts = [r for frame in found for r in frame.collect()]
+        found = [spark.createDataFrame(counts, "checked string, n_wrong bigint")]
+        compact_all(warehouse, _days(warehouse.fact()))
+    return found[0]
+
+
 # --- checks ------------------------------------------------------------------------------------
 
 
@@ -289,6 +404,13 @@ def decoded_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(decode_star(warehouse.fact(), warehouse.dimensions()))
 
 
+def decode_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact rows without a referer, and with a result type that the dimension lacks."""
+    warehouse = _loaded(spark, sf_dir)
+    fact = warehouse.fact().withColumn("referer", F.when(F.col("status") != 304, F.col("referer")))
+    return _comparable(decode_star(fact, warehouse.dimensions().where("key <> 'Error'")))
+
+
 def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = _loaded(spark, sf_dir)
     return daily_page_views(warehouse.fact(), warehouse.table("page"))
@@ -327,8 +449,16 @@ def queries() -> dict[str, Query]:
         "route_by_date": route_by_date,
         "mask_log_files": mask_log_files,
         "stream_mask": stream_mask,
+        "two_streams": two_streams,
+        "mixed_layouts": mixed_layouts,
+        "mask_bad_files": mask_bad_files,
+        "mask_notified": mask_notified,
+        "tsv_round_trip": tsv_round_trip,
         "retire_sources": retire_sources,
         "stage_day": stage_day,
+        "quarantine_day": quarantine_day,
+        "load_reject_reasons": load_reject_reasons,
+        "reload_rejected": reload_rejected,
         "new_referers": _new("referer"),
         "new_pages": _new("page"),
         "new_edge_locations": _new("edge_location"),
@@ -339,6 +469,8 @@ def queries() -> dict[str, Query]:
         "load_two_days": load_two_days,
         "reload_affected": reload_affected,
         "compact_fact": compact_fact,
+        "compact_dims": compact_dims,
+        "unsorted_files": unsorted_files,
         "dim_uniqueness": dim_uniqueness,
         "fact_orphans": fact_orphans,
         "not_null_violations": not_null_violations,
@@ -349,6 +481,7 @@ def queries() -> dict[str, Query]:
         "finished_source_keys": finished_source_keys,
         "target_day": target_days,
         "decode_star": decoded_star,
+        "decode_nulls": decode_nulls,
         "daily_page_views": page_views,
         "result_mix": results,
         **_training_data()[0],

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.operators.numbering import CHUNK_BITS, chunk_of, number_rows
@@ -59,21 +60,30 @@ def masked_view(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     return spread_fields(number_rows(rows, ["src_file", "log_date"], ["chunk"], ["pos"]).drop("chunk"))
 
 
-def write_log_files(events: DataFrame, path: str) -> None:
-    """Write the view as gzip log files with headers, one file per source and run of events.
+def with_addresses(view: DataFrame, bad: Column, address: str) -> DataFrame:
+    """The view with ``address`` as the client of the rows that are ``bad`` (by ``pos``)."""
+    i = RAW_COLUMNS.index("c_ip")
+    parts = F.concat(F.slice("parts", 1, i), F.array(F.lit(address)), F.slice("parts", i + 2, len(RAW_COLUMNS) - i - 1))
+    return view.withColumn("parts", F.when(bad, parts).otherwise(F.col("parts")))
+
+
+def write_log_files(view: DataFrame, path: str, fields: Sequence[str] | None = CDN_FIELDS) -> None:
+    """Write the view as gzip log files, one file per source and run of events, in the layout ``fields``
+    (None: the usual one, without a header).
 
     The folder ``src=<source>-<run>`` names the file; a run bounds what one task sorts.
     """
-    view = log_view(events)
+    layout = [CDN_FIELDS.index(f) for f in fields or CDN_FIELDS]
+    view = view.withColumn("parts", F.array(*[F.get("parts", F.lit(i)) for i in layout]))
     source = F.concat_ws("-", F.substring_index("src_file", ".", 1), F.floor(F.col("pos") / FILE_ROWS))
     data = view.select(source.alias("src"), "pos", F.array_join("parts", "\t").alias("value"))
     header = F.array(
         F.struct(F.lit(-2).cast("long").alias("pos"), F.lit("#Version: 1.0").alias("value")),
-        F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(f"{FIELDS_MARK} {' '.join(CDN_FIELDS)}").alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(f"{FIELDS_MARK} {' '.join(fields or [])}").alias("value")),
     )
     heads = data.select("src").distinct().select("src", F.inline(header))
     (
-        data.unionByName(heads)
+        (data if fields is None else data.unionByName(heads))
         .repartition("src")
         .sortWithinPartitions("src", "pos")
         .select("src", "value")

@@ -22,6 +22,20 @@ ADDRESS = """case event_id % 16
   else cast(user_id % 256 as string) || '.' || cast(event_id % 256 as string) || '.0.' || cast(event_id % 300 as string)
 end"""
 
+# The name of an event's raw file, and a message about an object of a given key.
+RAW_NAME = "'E' || lpad(cast(user_id % 7 as string), 2, '0') || '-' || cast(event_id div 5000 as string)"
+KEY_MESSAGE = """'{"Records":[{"eventName":"ObjectCreated:Put","s3":{"bucket":{"name":"logs"},"object":{"key":"' || key || '"}}}]}'"""
+
+# Fields that are absent or do not fit, by position.
+DIRT = {
+    "sc_bytes": "case when pos % 13 = 0 then '-' else sc_bytes end",
+    "status": "case when pos % 29 = 0 then '99999' else status end",
+    "time_taken": "case when pos % 31 = 0 then '1.5f' else time_taken end",
+    "cs_uri_stem": "case when pos % 37 = 0 then '-' else cs_uri_stem end",
+    "cs_method": "case when pos % 41 = 0 then repeat('G', 300) else cs_method end",
+    "time": "case when pos % 43 = 0 then '25:00:00' else time end",
+}
+
 MESSAGE = """case when event_id % 13 = 0 then 'not json'
   when event_id % 17 = 0 then '{"Event":"s3:TestEvent"}'
   else '{"Records":[{"eventName":"' || case when event_id % 5 = 0 then 'ObjectRemoved:Delete' else 'ObjectCreated:Put' end
@@ -138,6 +152,12 @@ s as (select *, regexp_extract(path, '(/[^/]*)$', 1) as segment from q),
 parts as (select *, substr(path, 1, length(path) - length(segment)) as folder from s)"""
 
 
+_BAD = """case when pos % 43 = 0 then 'no valid datetime' when pos % 13 = 0 then 'bad value in sc_bytes'
+ when pos % 37 = 0 then 'no cs_uri_stem'
+ when pos % 29 = 0 then 'bad value in status' when pos % 31 = 0 then 'bad value in time_taken'
+ when pos % 41 = 0 then 'cs_method is too long' end"""
+
+
 def _new_keys(dim: str) -> str:
     return f"""with {_MASKED}, keys as ({_KEYS})
 select key, count(*) as n_rows from keys where dim = '{dim}' and key not in (
@@ -156,11 +176,24 @@ select src_file, coalesce(strftime(try_cast(raw_date as date), '%Y/%m/%d/'), 're
  count(*) as n_rows from d group by 1, 2""",
         "mask_log_files": _FILE_ROWS,
         "stream_mask": _FILE_ROWS,
+        "two_streams": _FILE_ROWS,
+        "mixed_layouts": f"""with {_FIX}
+select src, case when src >= 'E06' then 'no_header' end as reject, count(*) as n_rows from fix group by 1, 2""",
+        "mask_bad_files": f"""with {_FIX}, bad as (select src, count(*) as n from fix where pos % 4001 = 7 group by src)
+select src, 'bad_address' as reject, n as n_rows from bad
+union all select src, null, count(*) from fix where src not in (select src from bad) group by src""",
+        "mask_notified": f"""with {_FIX} select src, count(*) as n_rows from fix where pos // 5000 % 2 = 0 group by src""",
+        "tsv_round_trip": f"with {_MASKED} select {_STAGE_COLUMNS} from masked",
         "retire_sources": f"""with {_FIX}
 select src, count(*) as raw_rows, count(*) filter (where log_date <> date '2024-01-10') as masked_rows,
  cast(0 as bigint) as rejected_rows, count(*) filter (where log_date = date '2024-01-10') = 0 as done
 from fix group by src""",
         "stage_day": f"with {_MASKED} select {_STAGE_COLUMNS}, src_file from masked",
+        "quarantine_day": f"""with {_MASKED} select {_STAGE_COLUMNS}, src_file from masked where {_BAD} is null""",
+        "load_reject_reasons": f"with {_MASKED} select src_file, seq_num, {_BAD} as reason from masked where {_BAD} is not null",
+        "reload_rejected": f"""with {_FIX}
+select log_date, case when day(log_date) % 3 = 0 and day(log_date) <> 3 then 'rejected' else 'loaded' end as kind,
+ count(*) as n_rows from fix group by 1, 2""",
         "new_referers": _new_keys("referer"),
         "new_pages": _new_keys("page"),
         "new_edge_locations": _new_keys("edge_location"),
@@ -174,6 +207,10 @@ select dim, key, cast(row_number() over (partition by dim order by load, key) as
         "reload_affected": f"""with {_FIX}
 select log_date, count(*) as n_rows, cast(sum(sc_bytes) as bigint) as bytes from fix group by log_date""",
         "compact_fact": _FACT_ROWS,
+        "compact_dims": f"with {_DIMS} select dim, key, id from dims",
+        "unsorted_files": """select step || ' ' || name as checked, cast(0 as bigint) as n_wrong
+from unnest(['loaded', 'compacted']) as a(step),
+ unnest(['access_log', 'referer', 'page', 'edge_location', 'user_agent', 'result_type']) as b(name)""",
         "dim_uniqueness": f"""with {_DIMS}
 select dim, 'key' as what, key as value, cast(2 as bigint) as n from dims where dim = 'page' and key like '/view/%'
 union all select dim, 'id', cast(id as string), cast(2 as bigint) from dims where dim = 'result_type' and key = 'Hit'""",
@@ -201,6 +238,9 @@ where body like '%"ObjectCreated:%' and body like '%"name":"logs"%' and body lik
         "target_day": f"""with t as (select event_id, {_ISO_TIME.format(text="strftime(ts, '%Y-%m-%dT%H:%M:%S')")} as time
 from events) select event_id, cast(cast(substr(time, 1, 10) as date) - 1 as date) as target_day from t""",
         "decode_star": f"with {_MASKED} select {_STAGE_COLUMNS} from masked",
+        "decode_nulls": f"""with {_MASKED} select {_STAGE_COLUMNS.replace("referer", "case when status <> 304 then referer end as referer")
+            .replace("edge_response_result_type", "nullif(edge_response_result_type, 'Error') as edge_response_result_type")}
+from masked""",
         "daily_page_views": f"""with {_FIX}
 select log_date, cs_uri_stem as path, count(*) as views, cast(sum(sc_bytes) as bigint) as bytes from fix group by 1, 2""",
         "result_mix": f"""with {_FIX}

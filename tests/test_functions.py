@@ -8,13 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblake.functions import (
-    absent_if_null,
     date_path,
     expand_index,
     log_date,
-    log_datetime,
     mask_field,
-    null_if_absent,
     source_key,
     split_first,
     split_last,
@@ -105,6 +102,7 @@ def test_mask_agrees_with_the_standard_library(spark):
     assert wrong == []
 
 
+# The acceptance vectors of URI expansion and splitting.
 EXPANDED = {
     "/": "/index.html",
     "/blog": "/blog/index.html",
@@ -165,11 +163,6 @@ def test_log_date(spark):
     assert apply(spark, bad, log_date(F.col("v"))) == [None] * len(bad)
 
 
-def test_log_datetime(spark):
-    got = apply(spark, ["03:04:05", None, "25:00:00"], log_datetime(F.lit("2022-11-3"), F.col("v")))
-    assert got == [datetime.datetime(2022, 11, 3, 3, 4, 5), None, None]
-
-
 def test_target_day_keeps_the_offsets_own_day(spark):
     times = ["2020-04-28T07:20:20Z", "2020-05-01T00:30:00+09:00", "2020-03-01T23:59:59-08:00"]
     days = [datetime.date(2020, 4, 27), datetime.date(2020, 4, 30), datetime.date(2020, 2, 29)]
@@ -180,8 +173,3 @@ def test_target_day_keeps_the_offsets_own_day(spark):
 def test_date_path_and_source_key(spark):
     assert apply(spark, ["2022-1-3"], date_path(log_date(F.col("v")))) == ["2022/01/03/"]
     assert apply(spark, ["m/2022/01/03/a.gz", "a.gz", "m/2022/"], source_key(F.col("v"))) == ["a.gz", "a.gz", None]
-
-
-def test_the_no_value_mark(spark):
-    assert apply(spark, ["-", "x", "", None], null_if_absent(F.col("v"))) == [None, "x", "", None]
-    assert apply(spark, ["-", "x", "", None], absent_if_null(F.col("v"))) == ["-", "x", "", "-"]

@@ -1,19 +1,16 @@
 """Scalar expressions over columns; all run inside the JVM."""
 
 from weblake.functions.address import mask_address, mask_field
-from weblake.functions.dates import date_path, log_date, log_datetime, target_day, target_day_of
-from weblake.functions.text import absent_if_null, null_if_absent, source_key
+from weblake.functions.dates import date_path, log_date, target_day, target_day_of
+from weblake.functions.text import source_key
 from weblake.functions.uri import expand_index, split_first, split_last
 
 __all__ = [
-    "absent_if_null",
     "date_path",
     "expand_index",
     "log_date",
-    "log_datetime",
     "mask_address",
     "mask_field",
-    "null_if_absent",
     "source_key",
     "split_first",
     "split_last",

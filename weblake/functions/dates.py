@@ -14,11 +14,6 @@ def log_date(text: Column) -> Column:
     return F.try_to_date(shaped, "yyyy-M-d")
 
 
-def log_datetime(date_text: Column, time_text: Column) -> Column:
-    """Date and time as one zone-less timestamp; null if either is null or unreadable."""
-    return F.concat(date_text.cast("string"), F.lit(" "), time_text).try_cast("timestamp_ntz")
-
-
 def date_path(day: Column) -> Column:
     """``yyyy/mm/dd/`` with leading zeros."""
     return F.date_format(day, "yyyy/MM/dd/")

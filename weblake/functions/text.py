@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weblake.schema import NO_VALUE
-
-
-def null_if_absent(text: Column) -> Column:
-    """The no-value mark read as null."""
-    return F.nullif(text, F.lit(NO_VALUE))
-
-
-def absent_if_null(text: Column) -> Column:
-    """Null written as the no-value mark, so that it is a key of its own."""
-    return F.coalesce(text, F.lit(NO_VALUE))
-
 
 def source_key(path: Column) -> Column:
     """The last segment of an object path; null if the path ends in a slash."""

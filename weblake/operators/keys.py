@@ -96,14 +96,13 @@ class KeySplit:
         return self.table.where((F.col("dim") == dim) & F.col("is_new")).select("key", "id")
 
 
-def split_keys(stage: DataFrame, dims: DataFrame) -> KeySplit:
+def split_keys(stage: DataFrame, dims: DataFrame, staging: str | None = None) -> KeySplit:
     """Collect the keys of ``stage``, match them with ``dims`` and assign ids to the rest.
 
     Each step is staged in a small table: the stage and the dimension tables are read once, and a
     small key table is broadcast to the dimensions instead of shuffling them.
     """
-    spark = stage.sparkSession
-    staging = scratch_path(spark, "keys")
+    staging = staging or scratch_path(stage.sparkSession, "keys")
     keys = stage_table(stage_keys(stage), f"{staging}/all")
     known = stage_table(known_keys(keys, dims), f"{staging}/known")
     fresh = assign_ids(new_keys(keys, known), dims, f"{staging}/fresh")

@@ -25,14 +25,19 @@ from weblake.schema import (
     STAGE_COLUMNS,
     STAGE_NOT_NULL,
 )
-from weblake.session import discard, run_together
-from weblake.sources.masked import affected_days, has_day, last_batch
+from weblake.session import discard, run_together, scratch
+from weblake.sources.masked import affected_days, has_day, last_batch, read_commits, read_masked
 from weblake.warehouse import Warehouse
 
 # The raw columns a stage row is made of.
 USED_COLUMNS = ["date", "time"] + [c for c in STAGE_COLUMNS if c in COLUMN_TYPE]
 
 
+# What a bulk load takes for a number; a cast alone would also take '1.5f', ' 7 ' or 'NaN'.
+_WHOLE = "'^[+-]?[0-9]+$'"
+_DECIMAL = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+SHAPE = {"bigint": _WHOLE, "int": _WHOLE, "smallint": _WHOLE, "float": _DECIMAL}
+
 _DATETIME = "try_cast(try_cast(date as date) || ' ' || time as timestamp_ntz)"
 
 
@@ -51,8 +56,9 @@ def _value_checks(columns: Sequence[str]) -> list[tuple[str, str]]:
     checks = [(f"{_DATETIME} is not null", "no valid datetime")]
     for c in columns:
         if COLUMN_TYPE[c] != "string":
-            fits = f"try_cast({c} as {COLUMN_TYPE[c]}) is not null"
-            absent = f"({c} <> '{NO_VALUE}' and {fits})" if c in STAGE_NOT_NULL else f"({c} is null or {c} = '{NO_VALUE}' or {fits})"
+            kind = COLUMN_TYPE[c]
+            fits = f"try_cast({c} as {kind}) is not null" + (f" and {c} rlike {SHAPE[kind]}" if kind in SHAPE else "")
+            absent = f"({c} <> '{NO_VALUE}' and {fits})" if c in STAGE_NOT_NULL else f"({c} is null or {c} = '{NO_VALUE}' or ({fits}))"
             checks.append((absent, f"bad value in {c}"))
         elif c in STAGE_NOT_NULL:
             checks.append((f"({c} is not null and {c} <> '{NO_VALUE}')", f"no {c}"))
@@ -94,7 +100,7 @@ def stage_rows(masked: DataFrame, on_error: str = "fail") -> DataFrame:
     The checks are plain conditions, so that they and the conversions compile into one small method.
     """
     if on_error == "fail":
-        message = "'a row cannot be loaded on ' || log_date"
+        message = "concat_ws(' ', 'a row cannot be loaded: row', row_num, 'of', log_date, 'in', src_file)"
         masked = masked.where(f"case when {_loadable(RAW_COLUMNS)} then true else cast(raise_error({message}) as boolean) end")
     elif on_error == "quarantine":
         masked = masked.where(_loadable(USED_COLUMNS))
@@ -133,9 +139,13 @@ def append_dimensions(warehouse: Warehouse, keys: KeySplit) -> None:
 
 
 def write_fact(warehouse: Warehouse, fact: DataFrame, mode: str = "overwrite") -> None:
-    """Write fact rows sorted within files. "overwrite" replaces the days present, "append" adds."""
+    """Write fact rows sorted within files. "overwrite" replaces the days present, "append" adds.
+
+    The rebalancing shuffle sizes the files of each day, and Spark splits the parts of a large day.
+    """
     (
-        fact.sortWithinPartitions("log_date", *FACT_SORT)
+        fact.hint("rebalance", "log_date")
+        .sortWithinPartitions("log_date", *FACT_SORT)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_date")
@@ -154,14 +164,22 @@ def load_days(
     """Load the given days (default: all) in one pass; False if they hold no rows.
 
     Dimension rows are committed before fact rows: a load that dies in between leaves unused keys,
-    which its next run finds and uses.
+    which its next run finds and uses. With "overwrite", what an earlier load left of a covered day
+    (fact rows, rejects) goes even if this load has none for it.
     """
     rows = masked if days is None else masked.where(F.col("log_date").isin(list(days)))
-    if rows.limit(1).isEmpty():
+    covered = _days_of(rows)
+    if not covered:
         return False
     warehouse.create_tables()
     stage = stage_rows(rows, on_error)
-    keys = split_keys(stage, warehouse.dimensions())
+    with scratch(warehouse.spark, "keys") as staging:
+        keys = split_keys(stage, warehouse.dimensions(), staging)
+        if on_error == "fail":
+            stage = stage_rows(rows, "trust")
+        if keys.sizes:
+            append_dimensions(warehouse, keys)
+            write_fact(warehouse, encode(stage, keys, broadcast_bytes), mode)
     if on_error == "quarantine":
         (
             load_rejects(rows)
@@ -170,29 +188,47 @@ def load_days(
             .partitionBy("log_date")
             .parquet(warehouse.path("load_rejects"))
         )
-    if keys.sizes:
-        append_dimensions(warehouse, keys)
-        if on_error == "fail":
-            stage = stage_rows(rows, "trust")
-        write_fact(warehouse, encode(stage, keys, broadcast_bytes), mode)
-    discard(warehouse.spark, keys.staging)
+    if mode == "overwrite":
+        loaded = covered if on_error != "quarantine" else _days_of(rows.where(_loadable(USED_COLUMNS)))
+        _clear(warehouse, FACT_TABLE, covered - loaded)
+    rejected = _days_of(load_rejects(rows)) if on_error == "quarantine" else set()
+    _clear(warehouse, "load_rejects", covered - rejected)
     return True
 
 
+def _days_of(rows: DataFrame) -> set[datetime.date]:
+    """The days that rows have: one value per day."""
+    return {r.log_date for r in rows.select("log_date").distinct().collect()}
+
+
+def _clear(warehouse: Warehouse, table: str, days: set[datetime.date]) -> None:
+    """Remove days from a table; a dynamic overwrite leaves days alone that it has no row for."""
+    for day in sorted(days):
+        discard(warehouse.spark, f"{warehouse.path(table)}/log_date={day}")
+
+
 def load_previous_day(warehouse: Warehouse, masked: DataFrame, time: str, on_error: str = "fail") -> bool:
     """The scheduled load: the day before ``time``, if it has records."""
     day = target_day_of(time)
     return has_day(masked, day) and load_days(warehouse, masked, [day], on_error)
 
 
-def load_affected(warehouse: Warehouse, masked: DataFrame, on_error: str = "fail") -> list[datetime.date]:
-    """Reload every day touched since the last run, so that late records are not lost."""
+def load_affected(warehouse: Warehouse, masked_path: str, on_error: str = "fail") -> list[datetime.date]:
+    """Reload every day touched since the last run, so that late records are not lost.
+
+    Which days those are is read from the commit log of the masked layer, not from its rows.
+    """
     warehouse.create_tables()
+    spark = warehouse.spark
     state = warehouse.table("load_state").agg(F.coalesce(F.max("batch_id"), F.lit(-1)).alias("b")).first().b
-    newest = last_batch(masked)
-    days = affected_days(masked.where(F.col("batch_id") <= newest), state)
+    commits = read_commits(spark, masked_path)
+    newest = last_batch(commits)
+    days = affected_days(commits.where(F.col("batch_id") <= newest), state)
     if days:
-        load_days(warehouse, masked.where(F.col("batch_id") <= newest), days, on_error)
-        mark = warehouse.spark.range(1).select(F.lit(newest).cast("long").alias("batch_id"), F.current_timestamp().alias("loaded_at"))
+        rows = read_masked(spark, masked_path).where(F.col("batch_id") <= newest)
+        if not load_days(warehouse, rows, days, on_error):
+            raise RuntimeError(f"the masked layer lacks the rows of {days}")
+    if newest > state:
+        mark = spark.range(1).select(F.lit(newest).cast("long").alias("batch_id"), F.current_timestamp().alias("loaded_at"))
         mark.write.mode("append").parquet(warehouse.path("load_state"))
     return days

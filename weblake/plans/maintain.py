@@ -11,53 +11,70 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblake.functions import source_key
 from weblake.schema import DIMENSIONS, FACT_SORT, FACT_TABLE
-from weblake.session import discard, scratch_path, stage_table
+from weblake.session import discard, folder_names, rename, stage_table
 from weblake.sources.logfiles import is_data_line
-from weblake.warehouse import TABLES, Warehouse
+from weblake.sources.notices import finished_sources
+from weblake.warehouse import TABLES, Warehouse, version_name
 
 LOG = logging.getLogger(__name__)
 
 # Files deleted at the same time.
 DELETERS = 16
+# About the size of a file that compaction writes.
+FILE_BYTES = 256 * 1024 * 1024
 
 
-def compact_fact(warehouse: Warehouse, days: Sequence[datetime.date] | None = None) -> None:
-    """Rewrite days (default: all) as few files, sorted by time across and within files.
+def file_count(spark: SparkSession, path: str) -> int:
+    """How many files of about ``FILE_BYTES`` hold what is under ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(target).getLength() if files.exists(target) else 0
+    return max(1, -(-size // FILE_BYTES))
+
+
+def compact_fact(warehouse: Warehouse, days: Sequence[datetime.date]) -> None:
+    """Rewrite days as few files, sorted by time across and within files.
 
     Dynamic overwrite writes the new files aside and swaps the folders of the days at commit.
     """
-    rows = warehouse.fact()
-    if days is not None:
-        rows = rows.where(F.col("log_date").isin(list(days)))
+    rows = warehouse.fact().where(F.col("log_date").isin(list(days)))
+    path = warehouse.path(FACT_TABLE)
+    files = sum(file_count(warehouse.spark, f"{path}/log_date={day}") for day in days)
     order = ["log_date", *FACT_SORT]
     (
-        rows.repartitionByRange(*order)
+        rows.repartitionByRange(max(1, files), *order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_date")
-        .parquet(warehouse.path(FACT_TABLE))
+        .parquet(path)
     )
 
 
 def compact_dimension(warehouse: Warehouse, name: str) -> None:
-    """Rewrite a dimension sorted by natural key, from a checked copy.
+    """Rewrite a dimension sorted by natural key, as a new version that is renamed into place when it is whole.
 
-    The copy stays in the shared folder if the job dies while it replaces the table.
+    Until the rename the table is untouched; a job that dies before it leaves a hidden folder only. The
+    version before stays for readers that have begun, the one before that goes.
     """
-    key = DIMENSIONS[name].key
-    table = warehouse.table(name)
-    aside = scratch_path(warehouse.spark, f"compact-{name}")
-    copy = stage_table(table.repartitionByRange(key).sortWithinPartitions(key), aside)
+    spark, key = warehouse.spark, DIMENSIONS[name].key
+    table, current = warehouse.table(name), warehouse.version(name)
+    aside = f"{warehouse.home(name)}/.next"
+    files = file_count(spark, warehouse.path(name))
+    copy = stage_table(table.repartitionByRange(files, key).sortWithinPartitions(key), aside)
     before, after = table.count(), copy.count()
     if before != after:
-        raise RuntimeError(f"copy of {name} in {aside} has {after} rows, not {before}")
-    copy.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(warehouse.path(name))
-    discard(warehouse.spark, aside)
+        raise RuntimeError(f"the copy of {name} in {aside} has {after} rows, not {before}")
+    number = int(current[2:])
+    rename(spark, aside, f"{warehouse.home(name)}/{version_name(number + 1)}")
+    for old in folder_names(spark, warehouse.home(name)):
+        if old.startswith("v=") and old < version_name(number):
+            discard(spark, f"{warehouse.home(name)}/{old}")
 
 
-def compact_table(warehouse: Warehouse, table: str, days: Sequence[datetime.date] | None = None) -> str:
+def compact_table(warehouse: Warehouse, table: str, days: Sequence[datetime.date]) -> str:
     """Compact one table; a failure is logged and returned as a status, never raised."""
     try:
         if table == FACT_TABLE:
@@ -70,32 +87,34 @@ def compact_table(warehouse: Warehouse, table: str, days: Sequence[datetime.date
     return "FINISHED"
 
 
-def compact_all(warehouse: Warehouse, days: Sequence[datetime.date] | None = None) -> dict[str, str]:
-    """Compact the six tables one after another."""
+def compact_all(warehouse: Warehouse, days: Sequence[datetime.date]) -> dict[str, str]:
+    """Compact the six tables one after another, the fact table for ``days``, those that were loaded."""
     return {table: compact_table(warehouse, table, days) for table in TABLES}
 
 
-def source_status(lines: DataFrame, masked: DataFrame, rejects: DataFrame) -> DataFrame:
+def source_status(lines: DataFrame, commits: DataFrame) -> DataFrame:
     """Per source file: data lines, masked and rejected rows, and whether it may be retired.
 
-    A source is done when every one of its lines is accounted for; sources without data lines are
-    done as well. All three sides are reduced to one row per file before they meet.
+    A source is done when one batch of the commit log accounts for every one of its lines; sources
+    without data lines are done as well.
     """
     raw = lines.groupBy("src_file").agg(F.count_if(is_data_line()).alias("raw_rows"))
-    return _status(raw, masked, rejects)
-
-
-def _status(raw: DataFrame, masked: DataFrame, rejects: DataFrame) -> DataFrame:
-    kept = masked.groupBy("src_file").agg(F.count("*").alias("masked_rows"))
-    dropped = rejects.groupBy("src_file").agg(F.count("*").alias("rejected_rows"))
+    best = commits.groupBy("src_file").agg(F.max(F.struct(F.col("kept") + F.col("rejected"), "kept", "rejected")).alias("best"))
+    counts = best.select("src_file", F.col("best.kept").alias("masked_rows"), F.col("best.rejected").alias("rejected_rows"))
     return (
-        raw.join(kept, "src_file", "left")
-        .join(dropped, "src_file", "left")
+        raw.join(counts, "src_file", "left")
         .na.fill(0, ["masked_rows", "rejected_rows"])
         .withColumn("done", F.col("raw_rows") == F.col("masked_rows") + F.col("rejected_rows"))
     )
 
 
+def notified_status(messages: DataFrame, bucket: str, prefix: str, lines: DataFrame, commits: DataFrame) -> DataFrame:
+    """:func:`source_status` of the sources that notifications about masked objects name."""
+    named = finished_sources(messages, bucket, prefix)
+    key = source_key(F.col("src_file"))
+    return source_status(lines.join(named, key == F.col("source_key"), "left_semi"), commits)
+
+
 def retire_sources(spark: SparkSession, status: DataFrame) -> int:
     """Delete the sources that are done; returns how many there were.
 

@@ -13,37 +13,52 @@ from weblake.session import scratch_path, stage_table
 ID_BYTES = 24
 
 
-def _names(fact: DataFrame, dims: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """Names of the ids in use: (dim, key=id, id=name, n), staged, with (bytes, rows) per dimension."""
-    wanted = dims.where(F.col("dim").isin(names))
-    used = fact_ids(fact).where(F.col("dim").isin(names))
-    found = used.join(wanted, ["dim", "id"]).select("dim", F.col("id").alias("key"), F.col("key").alias("id"), "n")
-    table = stage_table(found, scratch_path(fact.sparkSession, "names"), ["dim"])
-    measured = table.groupBy("dim").agg(
-        F.sum(F.octet_length("id") + ID_BYTES).alias("bytes"), F.sum("n").alias("rows")
-    )
-    return table, {r["dim"]: (r["bytes"], r["rows"]) for r in measured.collect()}
+def _lookups(fact: DataFrame, dims: DataFrame, limit: int) -> dict[str, tuple[DataFrame, int, int]]:
+    """Per dimension: (key=id, id=name, n), its bytes, and the fact rows that use it.
+
+    Only for dimensions beyond ``limit`` are the uses of their ids counted, in one pass.
+    """
+    named = dims.select("dim", F.col("id").alias("key"), F.col("key").alias("id"))
+    measured = named.groupBy("dim").agg(F.sum(F.octet_length("id") + ID_BYTES).alias("bytes"))
+    sizes = {r["dim"]: r["bytes"] for r in measured.collect()}  # a row for each dimension
+    large = [name for name in DIMENSIONS if sizes.get(name, 0) > limit]
+    rows: dict[str, int] = {}
+    used = named.withColumn("n", F.lit(0).cast("long"))
+    if large:
+        counts = fact_ids(fact).where(F.col("dim").isin(large)).select("dim", F.col("id").alias("key"), "n")
+        counted = named.join(counts, ["dim", "key"]).select("dim", "key", "id", "n")
+        # The folder is read by the frame that is returned, so its user's cluster folder keeps it.
+        table = stage_table(counted, scratch_path(fact.sparkSession, "names"), ["dim"])
+        rows = {r["dim"]: r["n"] for r in table.groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+        used = used.where(~F.col("dim").isin(large)).unionByName(table.select("dim", "key", "id", "n"))
+    return {
+        name: (used.where(F.col("dim") == name).select("key", "id", "n"), sizes.get(name, 0), rows.get(name, 0))
+        for name in DIMENSIONS
+    }
 
 
 def decode_star(fact: DataFrame, dims: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Fact rows with ids turned back into natural keys: the stage rows they came from."""
-    names, sizes = _names(fact, dims, list(DIMENSIONS))
+    """Fact rows with ids turned back into natural keys: the stage rows they came from.
+
+    Every fact row stays: a null id, and an id that its dimension lacks, decode to null.
+    """
+    lookups = _lookups(fact, dims, broadcast_bytes)
     rows = fact
     for d in DIMENSIONS.values():
-        size, total = sizes.get(d.name, (0, 0))
-        lookup = names.where(F.col("dim") == d.name).select("key", "id", "n")
-        rows = resolve(rows, d.fact_column, lookup, d.stage_column, size, total, broadcast_bytes)
+        lookup, size, total = lookups[d.name]
+        rows = resolve(rows, d.fact_column, lookup, d.stage_column, size, total, broadcast_bytes, keep_unmatched=True)
     return rows.select(*STAGE_COLUMNS)
 
 
 def daily_page_views(fact: DataFrame, pages: DataFrame) -> DataFrame:
-    """Requests and bytes per day and page; ids are summed up before they are named."""
+    """Requests and bytes per day and page; ids are summed up before they are named. The path of an id
+    that the dimension lacks is null."""
     views = fact.groupBy("log_date", "page").agg(F.count("*").alias("views"), F.sum("sc_bytes").alias("bytes"))
-    named = views.join(pages.select(F.col("id").alias("page"), "path"), "page")
+    named = views.join(pages.select(F.col("id").alias("page"), "path"), "page", "left")
     return named.select("log_date", "path", "views", "bytes")
 
 
 def result_mix(fact: DataFrame, result_types: DataFrame) -> DataFrame:
-    """Requests per result type and status."""
+    """Requests per result type and status; the type of an id that the dimension lacks is null."""
     counts = fact.groupBy(F.col("edge_response_result_type").alias("id"), "status").agg(F.count("*").alias("requests"))
-    return counts.join(result_types, "id").select("result_type", "status", "requests")
+    return counts.join(result_types, "id", "left").select("result_type", "status", "requests")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; the setting wins over a folder that was set
+    on the context.
 
     Only a local session without that setting (tests) gets a temporary folder of its own; on a
     cluster a missing setting is an error, because executors do not share a local disk.
@@ -42,6 +44,48 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A fresh path under the shared working folder that is discarded in any case."""
+    path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        discard(spark, path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()]
+
+
+def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """The paths (or patterns) that match something now; looked up side by side."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        target = path_of(path)
+        found = target.getFileSystem(conf).globStatus(target)
+        return found is not None and len(found) > 0
+
+    paths = list(paths)
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        return [p for p, ok in zip(paths, pool.map(there, paths)) if ok]
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder or file; an error if that fails."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.rename(path_of(old), path_of(new)):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
 def run_together(jobs: Iterable[Callable[[], object]]) -> list:
     """Submit independent Spark actions side by side, so that small ones share the cluster."""
     jobs = list(jobs)

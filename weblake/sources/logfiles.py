@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from weblake.functions import log_date, mask_field
 from weblake.schema import CDN_FIELDS, COMMENT_MARK, FIELDS_MARK, RAW_COLUMNS
-from weblake.session import discard, scratch_path, stage_table
+from weblake.session import stage_table
 
-# A per-file header table up to this many files (about 200 bytes each) is broadcast; beyond it the
-# rows are joined by file, spread over SALTS tasks per file.
-BROADCAST_FILES = 200_000
+# A per-file header table of up to this many bytes is broadcast; beyond it the rows are joined by file,
+# spread over SALTS tasks per file.
+BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+# Files older than this against the newest one seen are ignored by a stream: a thousand years, so none.
+MAX_FILE_AGE = "365000d"
 
 POSITION = ["block_start", "pos"]
 
@@ -43,6 +45,7 @@ def stream_lines(
         .option("ignoreMissingFiles", "true")
         .option("pathGlobFilter", glob)
         .option("cleanSource", clean_source)
+        .option("maxFileAge", MAX_FILE_AGE)
     )
     if archive_dir:
         reader = reader.option("sourceArchiveDir", archive_dir)
@@ -64,44 +67,47 @@ def with_position(lines: DataFrame) -> DataFrame:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """One row per file that has data lines or a header: its first header and its data-line count."""
-    is_header = F.startswith("value", F.lit(FIELDS_MARK))
-    return (
-        with_position(lines)
-        .where(is_header | is_data_line())
-        .groupBy("src_file")
-        .agg(
-            F.min_by(F.when(is_header, F.col("value")), F.when(is_header, F.struct(*POSITION))).alias("header"),
-            F.count_if(~is_header).alias("data_lines"),
-        )
-    )
+    """(src_file, header): the first header of each file that has one, from the header lines alone."""
+    headers = with_position(lines).where(F.startswith("value", F.lit(FIELDS_MARK)))
+    return headers.groupBy("src_file").agg(F.min_by("value", F.struct(*POSITION)).alias("header"))
 
 
 def is_data_line() -> Column:
     return ~F.startswith("value", F.lit(COMMENT_MARK)) & (F.col("value") != "")
 
 
-def header_fields(header: str) -> list[str]:
-    return header.split(" ")[1:]
-
-
-def parse_files(lines: DataFrame, fields: Sequence[str] | None = None):
+def parse_files(lines: DataFrame, staging: str, fields: Sequence[str] | None = None):
     """A function that turns (any part of) ``lines`` into masked columns; see :func:`masked_rows`.
 
-    With ``fields`` the layout is declared: one scan, and a file that declares another one fails the
-    job. Without it every file's own header is looked up first, which costs one more scan.
+    Rows of a file without a header are rejected. With ``fields`` the layout is declared: the
+    declaration stands for the header of files that have none, a file that declares another layout
+    fails the job, and one scan is enough, which suits streams. Without it, every file's own header is
+    looked up first, which costs one more scan; ``staging`` keeps what was found and is the caller's.
     """
     if fields is not None:
         declared = FIELDS_MARK + "".join(f" {f}" for f in fields)
         return lambda part: _declared_rows(with_position(part), list(fields), declared)
-    spark = lines.sparkSession
-    staging = scratch_path(spark, "headers")
     headers = stage_table(file_headers(lines), staging)
+    measured = _header_bytes(headers)
     layouts = [row.header for row in headers.select("header").distinct().limit(2).collect()]
-    if len(layouts) == 1 and layouts[0] is not None:
-        discard(spark, staging)
-        return lambda part: _one_layout_rows(with_position(part), header_fields(layouts[0]))
-    return lambda part: _own_layout_rows(with_position(part), headers)
+    if len(layouts) == 1:
+        return lambda part: _one_layout_rows(_with_header(with_position(part), headers, measured), layouts[0].split(" ")[1:], "header")
+    return lambda part: _own_layout_rows(with_position(part), headers, measured)
+
+
+def _with_header(rows: DataFrame, headers: DataFrame, header_bytes: int) -> DataFrame:
+    """``rows`` with the columns of their file's row in ``headers``, null where it has none."""
+    if header_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(headers), "src_file", "left")
+    spread = headers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod("pos", F.lit(SALTS)).cast("int"))
+    return rows.join(spread, ["src_file", "salt"], "left").drop("salt")
+
+
+def _header_bytes(headers: DataFrame) -> int:
+    # A row holds the file's name, the slots and what a hash table adds.
+    size = F.octet_length("src_file") + 4 * len(CDN_FIELDS) + 128
+    return headers.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first().bytes
 
 
 def _declared_rows(lines: DataFrame, fields: list[str], declared: str) -> DataFrame:
@@ -115,31 +121,29 @@ def _declared_rows(lines: DataFrame, fields: list[str], declared: str) -> DataFr
     return _one_layout_rows(checked, fields)
 
 
-def _one_layout_rows(lines: DataFrame, fields: list[str]) -> DataFrame:
+def _one_layout_rows(lines: DataFrame, fields: list[str], header: str | None = None) -> DataFrame:
+    """Rows of files that share a layout; ``header``: a column that is null for files without one."""
     data = lines.where(is_data_line()).withColumn("parts", F.split("value", "\t"))
     whole = F.size("parts") == len(fields)
+    has_header = F.col(header).isNotNull() if header else F.lit(True)
     if fields == CDN_FIELDS:
-        return masked_rows(data, whole, F.lit(True))
+        return masked_rows(data, whole, has_header)
     slots = [fields.index(f) if f in fields else None for f in CDN_FIELDS]
     in_order = [F.lit(None).cast("string") if i is None else F.get("parts", F.lit(i)) for i in slots]
-    return masked_rows(data.withColumn("_whole", whole).withColumn("parts", F.array(*in_order)), F.col("_whole"), F.lit(True))
+    return masked_rows(data.withColumn("_whole", whole).withColumn("parts", F.array(*in_order)), F.col("_whole"), has_header)
 
 
-def _own_layout_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    names = F.slice(F.split("header", " "), 2, 10_000)
+def _own_layout_rows(lines: DataFrame, headers: DataFrame, header_bytes: int) -> DataFrame:
+    parts = F.split("header", " ")
+    # A header has the mark at least, so the length is never negative.
+    names = F.slice(parts, F.lit(2), F.size(parts) - 1)
     slots = headers.select(
         "src_file",
-        F.when(F.col("header").isNotNull(), F.size(names)).alias("n_fields"),
+        F.size(names).alias("n_fields"),
         F.array(*[F.array_position(names, field).cast("int") - 1 for field in CDN_FIELDS]).alias("slots"),
     )
     data = lines.where(is_data_line()).withColumn("parts", F.split("value", "\t"))
-    if headers.count() <= BROADCAST_FILES:
-        data = data.join(F.broadcast(slots), "src_file", "left")
-    else:
-        spread = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        data = data.withColumn("salt", F.pmod("pos", F.lit(SALTS)).cast("int"))
-        data = data.join(spread, ["src_file", "salt"], "left")
-
+    data = _with_header(data, slots, header_bytes)
     # The slot of a field the header lacks is -1, which F.get reads as null.
     in_order = F.array(*[F.get("parts", F.get("slots", F.lit(i))) for i in range(len(CDN_FIELDS))])
     data = data.withColumn("_whole", F.size("parts") == F.col("n_fields")).withColumn("parts", in_order)

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from weblake.plans.mask import mask_lines
+from weblake.plans.mask import mask_batch
 from weblake.sources.logfiles import stream_lines
-from weblake.sources.masked import write_masked
 
 
 def start_masking(
@@ -28,13 +27,15 @@ def start_masking(
     """Mask every new file once. Runs on ``every`` interval, or until no file is left if None.
 
     The file source hands over whole files, so row numbers are complete within a batch. A batch that
-    is replayed after a failure overwrites what its first try wrote.
+    is replayed after a failure overwrites what its first try wrote. Batches are named by the
+    checkpoint, so streams with other checkpoints add to the same layer. ``fields`` declares the
+    layout and saves a second scan of every file: the form for production.
     """
 
-    def mask_batch(lines: DataFrame, batch_id: int) -> None:
-        write_masked(mask_lines(lines, fields, on_error), masked_path, batch_id)
+    def take(lines: DataFrame, batch_id: int) -> None:
+        mask_batch(lines, masked_path, batch_id, f"stream {checkpoint}", fields, on_error)
 
     lines = stream_lines(spark, source_dir, max_files, glob, clean_source, archive_dir)
-    writer = lines.writeStream.foreachBatch(mask_batch).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()

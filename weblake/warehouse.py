@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from weblake.operators.keys import dimension_keys
 from weblake.schema import DIMENSIONS, FACT_SCHEMA, FACT_TABLE
-from weblake.session import run_together
+from weblake.session import folder_names, run_together
 
 FACT_STORED = T.StructType(FACT_SCHEMA.fields + [T.StructField("log_date", T.DateType())])
 REJECT_SCHEMA = T.StructType(
@@ -27,19 +27,32 @@ STATE_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructFi
 TABLES = [FACT_TABLE, *DIMENSIONS]
 
 
+def version_name(number: int) -> str:
+    return f"v={number:06d}"
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Six Parquet tables under one root, plus rejected rows and the load state.
 
-    One job writes at a time; readers may run beside it.
+    One job writes at a time; readers may run beside it. A dimension has its current rows in the folder
+    of its highest version, ``{table}/v=000001``; compaction writes the next one and renames it into place.
     """
 
     spark: SparkSession
     root: str
 
     def path(self, table: str) -> str:
+        """Where a table's current rows are."""
+        return f"{self.home(table)}/{self.version(table)}" if table in DIMENSIONS else self.home(table)
+
+    def home(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def version(self, table: str) -> str:
+        """The current version of a dimension."""
+        return max((v for v in folder_names(self.spark, self.home(table)) if v.startswith("v=")), default=version_name(1))
+
     def _schema(self, table: str) -> T.StructType:
         if table in DIMENSIONS:
             return DIMENSIONS[table].schema
@@ -59,7 +72,8 @@ class Warehouse:
         writer.parquet(self.path(table))
 
     def register_tables(self, database: str) -> None:
-        """Make the six tables known to SQL users under ``database``."""
+        """Make the six tables known to SQL users under ``database``; again after a compaction, which moves
+        dimensions."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         for table in TABLES:
             schema = self._schema(table)
@@ -67,6 +81,8 @@ class Warehouse:
                 f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL") for f in schema.fields
             )
             layout = "PARTITIONED BY (log_date)" if "log_date" in schema.fieldNames() else ""
+            if table in DIMENSIONS:
+                self.spark.sql(f"DROP TABLE IF EXISTS {database}.{table}")
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {database}.{table} ({columns}) USING parquet {layout} "
                 f"LOCATION '{self.path(table)}'"
