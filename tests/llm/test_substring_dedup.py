@@ -35,6 +35,15 @@ def test_matches_brute_force(spark):
     assert got == expected(texts)
 
 
+def test_repeats_within_one_document(spark):
+    """Short periods, whose windows all share one leader, and long ones."""
+    words = prose(77, 200).split()
+    texts = [" ".join((words[9 * p : 9 * p + p] * 60)[: 20 + 2 * p]) for p in range(1, 19)]
+    texts += [" ".join(w for w in words[100:110] for _ in range(12)), " ".join(words[120:170] + words[120:150])]
+    got = by_id(without_repeats(documents(spark, texts)), "n_words", "n_removed", "kept_sha256")
+    assert got == expected(texts)
+
+
 def test_groups_that_do_not_fit(spark, monkeypatch):
     """Every repeated group dealt out: the longer prefix gives the same result."""
     monkeypatch.setattr(substring_dedup, "GROUP_WORDS", 3)

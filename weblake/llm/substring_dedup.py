@@ -44,17 +44,20 @@ GROUP_WORDS = 20_000
 _WORD_AND_GAP = re.compile(rb"([^\x20\x09-\x0d]+)([\x20\x09-\x0d]*)")
 
 
-def leaders(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` words the smallest hash of its PREFIX-word runs."""
+def leaders(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``width`` words the smallest hash of its PREFIX-word runs, and the first place
+    in the document where the window has it. Places never decrease from window to window."""
     low = window_hashes(h, PREFIX)
+    at = np.arange(len(low))
     runs, have = width - PREFIX + 1, 1
     if len(low) < runs:
-        return low[:0]
+        return low[:0], at[:0]
     while have < runs:  # the minimum of twice as many runs each time
         step = min(have, runs - have)
-        low = np.minimum(low[:-step], low[step:])
+        left = low[:-step] <= low[step:]
+        low, at = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:])
         have += step
-    return low
+    return low, at
 
 
 def _packed(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -78,11 +81,11 @@ def _leader_counts(texts: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    low = leaders(HASHES.of(words(text)), width)
+                    low, place = leaders(HASHES.of(words(text)), width)
                     if len(low):
-                        # The same run leads neighbouring windows; that is one occurrence.
-                        starts = low[np.concatenate([[True], low[1:] != low[:-1]])]
-                        own, n = np.unique(starts, return_counts=True)
+                        # The same run leads neighbouring windows; that is one occurrence. Equal windows
+                        # have leaders of their own: at the same offset, so at different places.
+                        own, n = np.unique(low[_cuts(place)[:-1]], return_counts=True)
                         found.append(own)
                         ns.append(n)
                         owners.append(np.full(len(own), doc, dtype=np.int64))
@@ -146,7 +149,7 @@ def _suffixes(packed: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
             for row in range(batch.num_rows):
                 doc, data, own, parts = (batch.column(i)[row].as_py() for i in range(4))
                 h = HASHES.of(expand(data).split())
-                low, paths = leaders(h, width), window_hashes(h, width)
+                (low, _), paths = leaders(h, width), window_hashes(h, width)
                 known = np.array(own, dtype=np.int64).view(np.uint64)
                 order = np.argsort(known)
                 known, parts = known[order], np.array(parts, dtype=np.int32)[order]
