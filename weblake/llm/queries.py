@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from weblake.llm import oracles
 from weblake.llm.common import table
 from weblake.llm.hmm import hmm_scores
 from weblake.llm.licenses import learn_weights, scan_licenses
@@ -79,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.statements()
