@@ -22,6 +22,7 @@ empty result; very long documents become many pieces; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -40,33 +41,68 @@ GROUPS = 192
 SMALL = CAPACITY // 8
 _WIDE_GAP = re.compile(r" (?=\s)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=\S)")
+# Fixed value: how byte-level BPE of this family parts a text into words before merging.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary with its tokens as bytes: printable Latin-1 characters stand for
+    themselves, the other bytes, in order, for the characters from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkIds(dict):
     """Text chunk -> its ids as little-endian 32-bit numbers, remembered up to a bound.
 
     The byte-level pre-tokenizer always starts a new word at a space that a non-space follows, so a
-    text may be parted there and its chunks encoded one by one.
+    text may be parted there and its chunks encoded one by one. New chunks are merged by tiktoken, four times
+    as fast, with the ranks of the tokenizer's own file; the first ones of each worker are compared
+    with the tokenizers library, and a difference raises an error. Special tokens go to the library.
     """
 
     def __init__(self, tokenizer_path: str):
         super().__init__()
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = _byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special})
+        self.merge = Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.unchecked = True
+
+    def library(self, text: str) -> bytes:
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.library(chunk) if self.special.search(chunk) else pack_ids(self.merge(chunk))
         if len(self) < MEMO_WORDS:
             self[chunk] = ids
         return ids
 
+    def check(self) -> None:
+        """Compare what is known by the first call with the library."""
+        if self.unchecked:
+            self.unchecked = False
+            for chunk, ids in self.items():
+                if self.library(chunk) != ids:
+                    raise ValueError(f"tiktoken and the tokenizers library differ on {chunk!r}")
+
     def of(self, text: str) -> bytes:
         if not text:
             return b""
         wide = _WIDE_GAP.search(text)
         if wide and wide[0] != " ":
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self.library(text)
         first, *rest = _CUT.split(text) if wide else text.split(" ")
         # An empty last chunk is a space at the end.
         return (self[first] if first else b"") + b"".join([self[" " + chunk] for chunk in rest])
@@ -81,7 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """Per piece: doc_id, piece, start, length, ids_crc32. Of a longer document the first piece may be shorter."""
 
     def make():
-        encode = _chunk_ids(tokenizer_path).of
+        chunks = _chunk_ids(tokenizer_path)
+        encode = chunks.of
         end = END_ID.to_bytes(4, "little")
 
         def step(cols: dict) -> dict:
@@ -93,6 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                 for piece, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     for k, v in zip(out, (doc, piece, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]))):
                         out[k].append(v)
+            chunks.check()
             return out
 
         return step
