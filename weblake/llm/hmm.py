@@ -38,7 +38,7 @@ SYMBOLS = 20_000
 CLASSES = 32
 STATES = 8
 SEGMENT = 256
-PASSES = 3
+PASSES = 5
 SMOOTH = 0.1
 # The end's hash: no word has it, as words' hashes end in a class below CLASSES.
 END = 63
