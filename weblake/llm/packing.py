@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblake.llm.common import MEMO_WORDS, map_batches, map_rows, stage, texts_of
+from weblake.llm.common import map_batches, map_rows, stage, texts_of
 
 CAPACITY = 2048
 END_ID = 0
 GROUPS = 192
 # Pieces of up to this length are small.
 SMALL = CAPACITY // 8
+# Chunks that a worker remembers.
+MEMO_CHUNKS = 600_000
 _WIDE_GAP = re.compile(r" (?=\s)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=\S)")
 # Fixed value: how byte-level BPE of this family parts a text into words before merging.
@@ -60,12 +62,13 @@ def pack_ids(ids: list[int]) -> bytes:
 
 
 class ChunkIds(dict):
-    """Text chunk -> its ids as little-endian 32-bit numbers, remembered up to a bound.
+    """What follows a space, up to the next one -> the ids of both as little-endian 32-bit numbers,
+    remembered up to a bound.
 
     The byte-level pre-tokenizer always starts a new word at a space that a non-space follows, so a
     text may be parted there and its chunks encoded one by one. New chunks are merged by tiktoken, four times
     as fast, with the ranks of the tokenizer's own file; the first ones of each worker are compared
-    with the tokenizers library, and a difference raises an error. Special tokens go to the library.
+    with the tokenizers library, and a difference raises an error. Texts with special tokens go to the library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -78,14 +81,18 @@ class ChunkIds(dict):
         ranks = _byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special})
         self.merge = Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.marks = {m: pack_ids(self.merge(m)) for m in ".,;:!?"}
         self.unchecked = True
 
     def library(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.library(chunk) if self.special.search(chunk) else pack_ids(self.merge(chunk))
-        if len(self) < MEMO_WORDS:
+        mark = self.marks.get(chunk[-1:])
+        if mark is not None and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + mark  # letters and a mark are words of their own
+        ids = pack_ids(self.merge(" " + chunk))
+        if len(self) < MEMO_CHUNKS:
             self[chunk] = ids
         return ids
 
@@ -94,18 +101,18 @@ class ChunkIds(dict):
         if self.unchecked:
             self.unchecked = False
             for chunk, ids in self.items():
-                if self.library(chunk) != ids:
+                if self.library(" " + chunk) != ids:
                     raise ValueError(f"tiktoken and the tokenizers library differ on {chunk!r}")
 
     def of(self, text: str) -> bytes:
         if not text:
             return b""
         wide = _WIDE_GAP.search(text)
-        if wide and wide[0] != " ":
+        if wide and wide[0] != " " or self.special.search(text):
             return self.library(text)
         first, *rest = _CUT.split(text) if wide else text.split(" ")
         # An empty last chunk is a space at the end.
-        return (self[first] if first else b"") + b"".join([self[" " + chunk] for chunk in rest])
+        return pack_ids(self.merge(first)) + b"".join([self[chunk] for chunk in rest])
 
 
 @lru_cache(maxsize=2)
