@@ -36,7 +36,7 @@ from weblake.llm.common import map_batches, ship, stage
 
 SAMPLE = 20_000
 BRANCHES = 16
-LEAF = 48  # sample vectors that are not split further
+LEAF = 160  # sample vectors that are not split further
 BLOCK = 4096
 QUERY_BLOCK = 1024
 QUERY_STEP = 100
@@ -225,7 +225,7 @@ def _blocks(placed: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFra
     return dealt.drop(f"{name}s"), sizes
 
 
-def nearest(embeddings: DataFrame, k: int = 10, query_step: int = QUERY_STEP, recall: float = 0.97) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 10, query_step: int = QUERY_STEP, recall: float = 0.95) -> DataFrame:
     """Per query (ids divisible by ``query_step``): query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
     ship(spark)
