@@ -7,7 +7,7 @@
   (to the centre, less what the centre's spread may hide), and the nearest is opened next.
 * A query whose leaves hold fewer than k other vectors visits more until they do.
 * How many leaves are visited is calibrated on sample queries against brute force within the sample:
-  visits widen until the mean recall of the ``k`` nearest reaches ``recall``.
+  visits widen until the mean recall of the ``k`` nearest is above ``recall`` by two standard errors.
 * Leaves are cut into blocks of ``BLOCK`` vectors, so a value that a third of the rows has fills many
   blocks and not one task, and the queries of a leaf into blocks, too. A block's best ``k`` for a query
   go on to that query's merge, so a query gets at most k rows a block. A block keeps its ``k`` smallest ids of
@@ -138,7 +138,7 @@ def fit_tree(sample: np.ndarray) -> Tree:
 
 
 def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
-    """The fewest leaf visits, widening by a fifth each time, with the wanted mean recall on the sample."""
+    """The fewest leaf visits, widening by a fifth each time, whose mean recall on the sample is as wanted, by two standard errors."""
     own = tree.assign(sample)
     picked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
     exact = _distances(sample[picked], sample)
@@ -155,7 +155,7 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: in
     visits = 1
     while visits < tree.leaves:
         got = [min(want, int(((exact[i] <= limit[i]) & (rank[i][own] < visits)).sum())) / want for i in range(len(picked))]
-        if np.mean(got) >= recall:
+        if np.mean(got) - 2 * np.std(got) / np.sqrt(len(got)) >= recall:
             return visits
         visits = max(visits + 1, int(visits * 1.2))
     return tree.leaves
