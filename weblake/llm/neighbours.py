@@ -5,9 +5,10 @@
   is then put into the leaf that a descent by the nearest centre leads to.
 * A query visits leaves best bin first: a priority queue holds the branches not taken by their distance
   (to the centre, less what the centre's spread may hide), and the nearest is opened next.
-* A query whose leaves hold fewer than k other vectors visits more until they do.
-* How many leaves are visited is calibrated on sample queries against brute force within the sample:
-  visits widen until the mean recall of the ``k`` nearest is above ``recall`` by two standard errors.
+* How far a query goes is calibrated on sample queries against brute force within the sample: the share of
+  the (distinct) sample vectors that the visited leaves hold, so that many small leaves count like a
+  large one, widens until the mean recall of the ``k`` nearest is above ``recall`` by two standard errors. A
+  query whose leaves hold fewer than k other vectors of the table visits more until they do.
 * Leaves are cut into blocks of ``BLOCK`` vectors, so a value that a third of the rows has fills many
   blocks and not one task, and the queries of a leaf into blocks, too. A block's best ``k`` for a query
   go on to that query's merge, so a query gets at most k rows a block. A block keeps its ``k`` smallest ids of
@@ -52,7 +53,8 @@ class Tree:
     leaf: np.ndarray  # -1 for inner nodes
     leaves: int
     width: int
-    visits: int = 1
+    weight: np.ndarray | None = None  # share of the distinct sample vectors in each leaf
+    share: float = 0.0  # that the leaves a query visits must hold
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector, by descending to the nearest centre (ties: the first)."""
@@ -70,12 +72,12 @@ class Tree:
             todo += [(int(kid), rows[near == i]) for i, kid in enumerate(kids)]
         return out
 
-    def best_bins(self, query: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
-        """The first ``visits`` leaves of a best-bin-first traversal, and more until, by ``sizes``, they
-        hold ``least`` vectors."""
+    def best_bins(self, query: np.ndarray, share: float, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves of a best-bin-first traversal until they hold ``share`` of the sample and, by ``sizes``,
+        ``least`` vectors."""
         found: list[int] = []
-        queue, held = [(0.0, 0)], 0
-        while queue and (len(found) < visits or held < least):
+        queue, held, have = [(0.0, 0)], 0.0, 0
+        while queue and (held < share or have < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 kids = self.children[node]
@@ -86,7 +88,8 @@ class Tree:
                         heapq.heappush(queue, (float(far[i]), kid))
                 node = kids[best]
             found.append(int(self.leaf[node]))
-            held += int(sizes[found[-1]]) if sizes is not None else 0
+            held += self.weight[found[-1]]
+            have += int(sizes[found[-1]]) if sizes is not None else 0
         return found
 
 
@@ -137,28 +140,32 @@ def fit_tree(sample: np.ndarray) -> Tree:
     return Tree(np.array(centres), np.array(spread), children, np.array(leaf), leaves, sample.shape[1])
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
-    """The fewest leaf visits, widening by a fifth each time, whose mean recall on the sample is as wanted, by two standard errors."""
+def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> float:
+    """The least share, widening by a fifth each time, whose mean recall on the sample is as wanted, by two
+    standard errors."""
     own = tree.assign(sample)
     picked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
     exact = _distances(sample[picked], sample)
     exact[np.arange(len(picked)), picked] = np.inf
     want = min(k, len(sample) - 1)
     if want < 1 or tree.leaves == 1:
-        return 1
+        return 1.0
     # Neighbours farther than the k-th nearest don't count; ties at it do.
     limit = np.partition(exact, want - 1, axis=1)[:, want - 1] * (1 + 1e-9)
-    rank = np.full((len(picked), tree.leaves), tree.leaves)
+    # What a query holds before it visits the leaf of each of its nearest.
+    before = []
     for i, q in enumerate(picked):
-        order = tree.best_bins(sample[q], tree.leaves)
-        rank[i, order] = np.arange(len(order))
-    visits = 1
-    while visits < tree.leaves:
-        got = [min(want, int(((exact[i] <= limit[i]) & (rank[i][own] < visits)).sum())) / want for i in range(len(picked))]
+        order = tree.best_bins(sample[q], 2.0)
+        held = np.empty(tree.leaves)
+        held[order] = np.cumsum(tree.weight[order]) - tree.weight[order]
+        before.append(held[own[np.flatnonzero(exact[i] <= limit[i])]])
+    share = 1.0 / tree.leaves
+    while share < 1.0:
+        got = [min(want, int((b < share).sum())) / want for b in before]
         if np.mean(got) - 2 * np.std(got) / np.sqrt(len(got)) >= recall:
-            return visits
-        visits = max(visits + 1, int(visits * 1.2))
-    return tree.leaves
+            return share
+        share *= 1.2
+    return 1.0
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
@@ -180,7 +187,9 @@ def learn_tree(vectors: DataFrame, k: int, recall: float) -> Tree | None:
     width = int(sizes[n.argmax()])
     sample = np.array([v for v in picked if len(v) == width], dtype=np.float64)
     tree = fit_tree(sample)
-    tree.visits = calibrate(tree, sample, k, recall)
+    distinct = np.unique(sample, axis=0)
+    tree.weight = np.bincount(tree.assign(distinct), minlength=tree.leaves) / len(distinct)
+    tree.share = calibrate(tree, sample, k, recall)
     return tree
 
 
@@ -202,7 +211,7 @@ def place_vectors(vectors: DataFrame, tree: Tree, sizes: np.ndarray | None = Non
             matrix = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, tree.width)
             if sizes is not None:
                 # One of the vectors is the query itself.
-                bins = [tree.best_bins(v, tree.visits, sizes, k + 1) for v in matrix]
+                bins = [tree.best_bins(v, tree.share, sizes, k + 1) for v in matrix]
                 rows = np.repeat(np.arange(len(ids)), [len(b) for b in bins])
                 leaf = np.concatenate(bins) if bins else np.empty(0)
             else:
