@@ -18,7 +18,7 @@ Nearness is the Euclidean distance in double precision on the original vectors;
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have another
 length than most of the sample, take no part; neither do rows without id; rows that repeat an id count
-each as a candidate; with fewer than k candidates all are returned; an empty table gives an empty
+each as a candidate, and as a query the least vector counts; with fewer than k candidates all are returned; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -247,7 +247,7 @@ def nearest(embeddings: DataFrame, k: int = 10, query_step: int = QUERY_STEP, re
     for row in placed.groupBy("leaf").count().collect():  # a row for each leaf: bounded by the sample
         sizes[row["leaf"]] = row["count"]
     placed, v_blocks = _blocks(placed, BLOCK, "block")
-    asking = vectors.where(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
+    asking = vectors.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     queries = place_vectors(asking, tree, sizes, k)
     queries, q_blocks = _blocks(stage(queries, "visits"), QUERY_BLOCK, "part")
     # Each block of vectors meets each block of its leaf's queries.
