@@ -62,6 +62,16 @@ def test_kinds_of_lines():
     assert page_lines("<nav>never closed<p>x") == [(MARKED, "never closed"), (MARKED, "x")]
 
 
+def test_frames_and_comments_that_are_articles():
+    html = (
+        '<div class="page with-sidebar"><div class="left menu">M</div><main class="has-sidebar"><header class="entry-header"><h1>H</h1></header>'
+        '<article class="post"><p>t</p><div class="post-footer">f</div></article>'
+        '<div id="comments"><article class="comment-body">c</article></div><article class="comment">d</article></main></div>'
+    )
+    assert [text for kind, text in page_lines(html) if kind == TEXT] == ["H", "t"]
+    assert {text for kind, text in page_lines(html) if kind == MARKED} == {"M", "f", "c", "d"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=9))
 def test_longest_common_subsequence(one, two):

@@ -44,11 +44,19 @@ SKIPPED = frozenset(
 RAW = frozenset({"script", "style"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset({"article", "main"})
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|popup|modal"
-    r"|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|header|footer|masthead|comments?|respond|replies|reply|disqus"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|pagination|pager|widget|toolbar)(?=$|[\s_-])"
+def _names(text: str) -> re.Pattern:
+    """Matches a class or id with one of these names as a part."""
+    return re.compile(rf"(?:^|[\s_-])(?:{text})(?=$|[\s_-])")
+
+
+# Names of what is never main text, of parts of the page layout, and of layout that an article has itself.
+_EXTRA = _names(
+    "ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|popup|modal"
+    "|comments?|respond|replies|reply|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription"
+    "|signup|login"
 )
+_LAYOUT = _names("sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|pagination|pager|widget|toolbar")
+_HEADING = _names("header|masthead")
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
@@ -58,8 +66,19 @@ PLAIN, TEXT, MARKED = 0, 1, 2
 GROUP_PAGES = 64
 
 
-def _is_marked(attributes: str) -> bool:
-    return any(_MARKED.search((a or b or c).lower()) for a, b, c in _NAMED.findall(attributes))
+def _has(pattern: re.Pattern, attributes: str) -> bool:
+    return any(pattern.search((a or b or c).lower()) for a, b, c in _NAMED.findall(attributes))
+
+
+def _mark(name: str, attributes: str, main: int) -> str:
+    """Why an element that opens here is no main text: "extra", "layout" or "" (it may be)."""
+    if name in ("html", "body"):
+        return ""
+    if _has(_EXTRA, attributes) or name in SKIPPED and not (name == "header" and main):
+        return "extra"
+    if name not in MAIN and (_has(_LAYOUT, attributes) or not main and _has(_HEADING, attributes)):
+        return "layout"
+    return ""
 
 
 def page_lines(html: str) -> list[tuple[int, str]]:
@@ -67,7 +86,7 @@ def page_lines(html: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     skipped: list[str] = []  # the marked element that is open, and same-named ones in it
-    main = at = 0
+    main, at, why = 0, 0, ""
 
     def flush() -> None:
         if parts:
@@ -92,25 +111,27 @@ def page_lines(html: str) -> list[tuple[int, str]]:
         if name == "br":
             parts.append(" ")
             continue
+        opens = not closing and name not in VOID and not tag[3].endswith("/")
+        if skipped and why == "layout" and opens and name in MAIN and not _has(_EXTRA, tag[3]):
+            flush()
+            skipped.clear()  # a page's frame that is named after its sidebar or menu
         if skipped:
             if name == skipped[0] and name not in VOID:
                 if closing:
                     if len(skipped) == 1:
                         flush()
                     skipped.pop()
-                elif not tag[3].endswith("/"):
+                elif opens:
                     skipped.append(name)
             if name in BLOCK:
                 flush()
             continue
-        opens = not closing and name not in VOID and not tag[3].endswith("/")
-        starts_skipped = opens and name not in MAIN and (
-            (name in SKIPPED and not (name == "header" and main)) or (name not in ("html", "body") and _is_marked(tag[3]))
-        )
-        if name in BLOCK or starts_skipped:
+        mark = _mark(name, tag[3], main) if opens else ""
+        if name in BLOCK or mark:
             flush()
-        if starts_skipped:
+        if mark:
             skipped.append(name)
+            why = mark
         elif name in MAIN:
             main = max(0, main + (-1 if closing else 1 if opens else 0))
     flush()
