@@ -98,31 +98,42 @@ def commit_batch(rows: DataFrame, path: str, run: str, run_batch: int, rebalance
     spark = rows.sparkSession
     number = _claim(spark, path, run, run_batch)
     before = read_commits(spark, path).where(F.col("batch_id") == number).select("src_file")
-    with scratch(spark, "batch") as staging:
-        # Staged: the check and the commit row must not mask the sources again.
-        batch = stage_table(rows, staging)
-        sources = batch.groupBy("src_file").agg(
-            F.count("log_date").alias("kept"),
-            F.count_if(F.col("log_date").isNull()).alias("rejected"),
-            F.array_sort(F.collect_set("log_date")).alias("days"),
-        )
-        if not before.limit(1).isEmpty():
-            new, old = sources.select("src_file"), before
-            if not new.exceptAll(old).union(old.exceptAll(new)).limit(1).isEmpty():
+    if before.limit(1).isEmpty():
+        write_masked(rows, path, number, rebalance)
+    else:
+        # Staged: the check must not mask the sources again.
+        with scratch(spark, "batch") as staging:
+            batch = stage_table(rows, staging)
+            new = batch.select("src_file").distinct()
+            if not new.exceptAll(before).union(before.exceptAll(new)).limit(1).isEmpty():
                 raise ValueError(f"batch {run_batch} of {run!r} holds other sources already")
-        write_masked(batch, path, number, rebalance)
-        named = sources.withColumns({"run": F.lit(run), "run_batch": F.lit(run_batch).cast("long")})
-        (
-            named.withColumn("batch_id", F.lit(number).cast("long"))
-            .coalesce(1)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{path.rstrip('/')}/_log/commits")
-        )
+            write_masked(batch, path, number, rebalance)
+    sources = _batch_rows(spark, path, number).groupBy("src_file").agg(
+        F.count("log_date").alias("kept"),
+        F.count_if(F.col("log_date").isNull()).alias("rejected"),
+        F.array_sort(F.collect_set("log_date")).alias("days"),
+    )
+    named = sources.withColumns({"run": F.lit(run), "run_batch": F.lit(run_batch).cast("long")})
+    (
+        named.withColumn("batch_id", F.lit(number).cast("long"))
+        .coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(f"{path.rstrip('/')}/_log/commits")
+    )
     return number
 
 
+def _batch_rows(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """(src_file, log_date) of one batch, found by its folders, one for each day that it touched."""
+    folders = f"{path.rstrip('/')}/log_date=*/batch_id={number}"
+    if not existing(spark, [folders]):
+        return spark.createDataFrame([], "src_file string, log_date date")
+    rows = spark.read.schema(MASKED_SCHEMA).option("basePath", path).parquet(folders)
+    return rows.select("src_file", "log_date")
+
+
 def no_rows(spark: SparkSession) -> DataFrame:
     """An empty batch."""
     return spark.createDataFrame([], MASKED_SCHEMA).drop("batch_id")
