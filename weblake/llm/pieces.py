@@ -6,8 +6,8 @@ byte pieces. A pair of neighbouring characters that no piece of the vocabulary c
 merged, so a text is first parted there (always before a run of spaces), and the parts, which repeat
 a great deal, are remembered up to a bound.
 
-In each Arrow batch the parts seen for the first time are also encoded by the sentencepiece library;
-a difference raises an error instead of giving wrong ids.
+In each Arrow batch the parts that went through the agenda are also encoded by the sentencepiece library; a
+difference raises an error instead of giving wrong ids.
 
 Defined results: null or empty text gives the begin and end ids and decodes to an empty text; a literal
 U+2581 reads as a space, as in the library; very long texts are encoded whole; repeated rows give
@@ -19,19 +19,26 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 
-from weblake.llm.common import MEMO_WORDS, map_rows, texts_of
+from weblake.llm.common import map_rows, texts_of
 
 SPACE = "▁"
+# Parts that a worker remembers.
+MEMO_PARTS = 600_000
 _PART = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceCodec(dict):
-    """Part of a text (a run of spaces and what follows it) -> its ids as little-endian 32-bit numbers."""
+    """Part of a text (a run of spaces and what follows it, without the first space) -> its packed ids."""
 
     def __init__(self, model_path: str):
         super().__init__()
@@ -51,6 +58,7 @@ class PieceCodec(dict):
         self.joined = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         if any(pair[1] == SPACE != pair[0] for pair in self.joined):
             raise ValueError("a piece goes on after a space: texts can't be parted at spaces")
+        self.marks = {m: pack_ids(self.merged(m)) for m in ".,;:!?"}
         self.odd: dict[str, str] = {}  # parts that don't decode to themselves
         self.unchecked: dict[str, bytes] = {}
         self.runs: dict[str, list[int]] = {}
@@ -102,40 +110,48 @@ class PieceCodec(dict):
                 found = self.runs.get(run)
                 if found is None:
                     found = self.merged(run)
-                    if len(self.runs) < MEMO_WORDS // 2:
+                    if len(self.runs) < MEMO_PARTS // 4:
                         self.runs[run] = found
                 ids += found
                 start = i
         return ids
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        mark = self.marks.get(key[-1:])
+        if mark is not None and len(key) > 1 and key[-2:] not in self.joined:
+            return self[key[:-1]] + mark
+        part = SPACE + key
         numbers = self.part_ids(part)
-        ids = np.array(numbers, dtype="<u4").tobytes()
-        if (decoded := self.decode(numbers, strip=False)) != part.replace(SPACE, " "):
-            self.odd[part] = decoded
-        self.unchecked[part] = ids
-        if len(self) < MEMO_WORDS:
-            self[part] = ids
+        ids = pack_ids(numbers)
+        if "".join([self.pieces[i] for i in numbers]) != part:  # else the pieces themselves are the text
+            if (decoded := self.decode(numbers, strip=False)) != part.replace(SPACE, " "):
+                self.odd[key] = decoded
+        self.unchecked[key] = ids
+        if len(self) < MEMO_PARTS:
+            self[key] = ids
         return ids
 
     def check(self) -> None:
-        """Compare the parts that are new since the last call with the library."""
+        """Compare the parts that went through the agenda since the last call with the library."""
         if not self.unchecked:
             return
         # The library puts a space before each text itself.
-        theirs = self.library.encode([p[1:].replace(SPACE, " ") for p in self.unchecked], num_threads=1)
-        for (part, own), ids in zip(self.unchecked.items(), theirs):
-            if np.array(ids, dtype="<u4").tobytes() != own:
-                raise ValueError(f"the agenda and the library differ on {part!r}")
+        theirs = self.library.encode([k.replace(SPACE, " ") for k in self.unchecked], num_threads=1)
+        for (key, own), ids in zip(self.unchecked.items(), theirs):
+            if pack_ids(ids) != own and key:  # the library has no ids for an empty text
+                raise ValueError(f"the agenda and the library differ on {key!r}")
         self.unchecked.clear()
 
     def parts(self, text: str) -> list[str]:
-        return _PART.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        if SPACE not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")
+        return [p[1:] for p in _PART.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str) -> bytes:
         """Ids as bytes, with begin and end ids."""
-        inner = b"".join([self[p] for p in self.parts(text)])
-        return self.begin.to_bytes(4, "little") + inner + self.end.to_bytes(4, "little")
+        return b"".join([pack_ids([self.begin]), *[self[p] for p in self.parts(text)], pack_ids([self.end])])
 
     def decode(self, ids: list[int], strip: bool = True) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the leading space taken off."""
@@ -155,9 +171,9 @@ class PieceCodec(dict):
 
     def decoded(self, text: str) -> str:
         """What the ids of ``text`` decode to: each part's own decoding, joined."""
-        if not self.odd or self.odd.keys().isdisjoint(self.parts(text)):
+        if not self.odd:
             return text.replace(SPACE, " ")
-        return "".join(self.odd.get(p, p.replace(SPACE, " ")) for p in self.parts(text))[1:]
+        return "".join(self.odd.get(p, " " + p.replace(SPACE, " ")) for p in self.parts(text))[1:]
 
 
 @lru_cache(maxsize=2)
