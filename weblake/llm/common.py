@@ -20,7 +20,7 @@ from weblake.session import scratch_path, stage_table
 # Rows of an Arrow batch that are turned into Python objects together.
 SLICE_ROWS = 256
 # Entries of a worker's memo of words. Beyond it words are computed each time; results are the same.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

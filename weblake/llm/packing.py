@@ -40,7 +40,7 @@ GROUPS = 192
 # Pieces of up to this length are small.
 SMALL = CAPACITY // 8
 # Chunks that a worker remembers.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 250_000
 _WIDE_GAP = re.compile(r" (?=\s)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=\S)")
 # Fixed value: how byte-level BPE of this family parts a text into words before merging.
