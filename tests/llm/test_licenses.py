@@ -2,7 +2,7 @@ import re
 
 from helpers import SCHEMA, by_id, documents, prose
 
-from weblake.llm.licenses import BASE_PHRASES, learn_weights, scan_licenses
+from weblake.llm.licenses import BASE_PHRASES, TEMPLATES, LicenseIndex, learn_weights, scan_licenses, scan_words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,3 +58,33 @@ def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "the MIT License", None, None, None)] * 3, SCHEMA)
     assert [r["labels"] for r in scan_licenses(docs, learn_weights(docs)).collect()] == ["mit"] * 3
     assert scan_licenses(spark.createDataFrame([], SCHEMA), learn_weights(docs)).count() == 0
+
+
+def over_all_words(text, weight, min_share=0.6):
+    """Labels of all alignments that gather the share and hold the key phrases, by trying every offset."""
+    words, labels = scan_words(text), set()
+    for label, template, phrases in TEMPLATES:
+        wanted = template.encode().split()
+        whole = sum(weight[w] for w in wanted)
+        for offset in range(-len(wanted), len(words)):
+            same = sum(weight[w] for i, w in enumerate(wanted) if 0 <= offset + i < len(words) and words[offset + i] == w)
+            window = b" %b " % b" ".join(words[max(0, offset) : max(0, offset + len(wanted))])
+            if same >= min_share * whole - 1e-9 and all(b" %b " % p.encode() in window for p in phrases):
+                labels.add(label)
+    return labels
+
+
+def test_many_notices_in_one_document_match_brute_force_over_all_words(spark):
+    apache, by_sa = "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-SA 4.0."
+    notices = [f"{template}." for _, template, _ in TEMPLATES]
+    five = f"{apache} {notices[3]} {notices[10]} {notices[13]} {by_sa}"
+    near = " ".join(f"{prose(i, 9)} {n.replace('the ', 'the x ', 1) if i % 2 else n}" for i, n in enumerate(notices))
+    texts = [five, f"{prose(1, 90)} {' '.join(notices)} {prose(2, 90)}", near, *[f"{apache} {by_sa} {prose(i, 9)}" for i in range(40)]]
+    docs = documents(spark, texts)
+    weight = learn_weights(docs)
+    index = LicenseIndex(weight)
+    for text in texts:
+        assert index.labels(scan_words(text))[0] == over_all_words(text, weight)
+    got = by_id(scan_licenses(docs, weight), "labels")
+    assert got[0] == ("apache,apache-2.0,bsd,cc-by,cc-by-sa,mit,mpl-2.0",)
+    assert set(got[1][0].split(",")) == {label for label, _, _ in TEMPLATES} | {"apache"}

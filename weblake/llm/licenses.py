@@ -1,11 +1,12 @@
 """License scans with a positional index of rare license words.
 
-Templates of license notices are indexed by word: postings of (template, position). Every document is
-reduced to its license words; its ``top`` words of highest inverse document frequency (counted over all
-documents) are looked up. Postings intersect by relative position: each (template, place in the document
-minus place in the template) gathers the weight of the words that agree on it. An alignment that
-gathers ``min_share`` of the template's weight is verified: the template's mandatory key phrases must
-stand within it. Verified alignments give labels beside those of the base phrases.
+Templates of license notices are indexed by word. Every document is reduced to its license words, with
+their places. An alignment is a template and an offset (place in the document minus place in the template);
+it gathers the weight (inverse document frequency over all documents) of the template's words that are in
+place. Each template looks up its own rarest words, so many that what is left of its weight is below
+``min_share``: any alignment with that share has one of them in place. The alignments found are weighed
+over all words of the template; one with ``min_share`` of the weight is verified: the template's mandatory
+key phrases must stand within it. Verified alignments give labels beside those of the base phrases.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case.
 
@@ -17,7 +18,7 @@ whole; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -78,44 +79,52 @@ def phrase_places(spaced: bytes, phrase: bytes) -> list[int]:
 
 @dataclass
 class LicenseIndex:
-    """Postings of the templates' words and the weight (inverse document frequency) of each word."""
+    """The templates' words, rarest first, with their positions and weights (inverse document frequency)."""
 
     weight: dict[bytes, float]
-    top: int = 12
     min_share: float = 0.6
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     templates: list[list[bytes]] = field(default_factory=list)
     needed: list[frozenset[bytes]] = field(default_factory=list)  # the words of a template's key phrases
+    rarest: list[list[tuple[bytes, list[int], float]]] = field(default_factory=list)  # word, positions, weight at all of them
 
     def __post_init__(self):
-        for number, (_, template, phrases) in enumerate(TEMPLATES):
-            self.templates.append(template.encode().split())
+        for _, template, phrases in TEMPLATES:
+            words = template.encode().split()
+            self.templates.append(words)
             self.needed.append(frozenset(" ".join(phrases).encode().split()))
-            for place, word in enumerate(self.templates[-1]):
-                self.postings[word].append((number, place))
+            at: dict[bytes, list[int]] = {}
+            for place, word in enumerate(words):
+                at.setdefault(word, []).append(place)
+            order = sorted(at, key=lambda w: (-self.weight[w], w))
+            self.rarest.append([(w, at[w], self.weight[w] * len(at[w])) for w in order])
 
-    def alignments(self, places: dict[bytes, list[int]]) -> dict[tuple[int, int], float]:
-        """(template, offset) -> share of the weight that could agree, from the rarest license words.
+    def alignments(self, words: list[bytes], places: dict[bytes, list[int]]) -> dict[tuple[int, int], float]:
+        """(template, offset) -> share of the template's weight in place, where it is ``min_share`` or more.
 
         Templates whose key phrases have a word that the document lacks are left out at once.
         """
-        live = {n for n, words in enumerate(self.needed) if words <= places.keys()}
-        if not live:
-            return {}
-        rarest = sorted(places, key=lambda w: (-self.weight[w], w))[: self.top]
-        gathered: dict[tuple[int, int], float] = defaultdict(float)
-        for word in rarest:
-            for number, at in self.postings[word]:
-                if number not in live:
-                    continue
-                for place in places[word]:
-                    gathered[number, place - at] += self.weight[word]
-        looked_up, out = set(rarest), {}
-        for (number, offset), weight in gathered.items():
-            # Template words that the document has, but that weren't looked up, can't count against it.
-            whole = sum(self.weight[w] for w in self.templates[number] if w in looked_up or w not in places)
-            if weight >= self.min_share * whole:
-                out[number, offset] = weight / whole
+        out = {}
+        for number, needed in enumerate(self.needed):
+            if not needed <= places.keys():
+                continue
+            template = self.templates[number]
+            whole = sum(self.weight[w] for w in template)
+            least = self.min_share * whole - 1e-9
+            # Words that the document lacks are in place nowhere.
+            left = sum(weight for w, _, weight in self.rarest[number] if w in places)
+            offsets: set[int] = set()
+            for word, positions, weight in self.rarest[number]:
+                if left < least:
+                    break
+                if word in places:
+                    offsets.update(place - at for place in places[word] for at in positions)
+                    left -= weight
+            for offset in offsets:
+                lo = max(0, -offset)
+                here = words[offset + lo : offset + len(template)]
+                gathered = sum(self.weight[w] for w, found in zip(template[lo:], here) if w == found)
+                if gathered >= least:
+                    out[number, offset] = gathered / whole
         return out
 
     def labels(self, words: list[bytes]) -> tuple[set[str], float]:
@@ -125,7 +134,7 @@ class LicenseIndex:
             if word in self.weight:
                 places.setdefault(word, []).append(i)
         found, best = set(), 0.0
-        for (number, offset), _ in self.alignments(places).items():
+        for (number, offset), _ in self.alignments(words, places).items():
             template = self.templates[number]
             window = words[max(0, offset) : max(0, offset + len(template))]
             spaced = b" %b " % b" ".join(window)
