@@ -55,6 +55,29 @@ def test_differencing_deletes_what_the_nearest_page_shares(spark, monkeypatch, g
     assert got[21][0] == got[22][0] == "Twin"  # copies, not a template
 
 
+@pytest.mark.parametrize("group", [64, 2])
+def test_short_texts_in_long_templates_and_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(pages, "GROUP_PAGES", group)
+
+    def site(host, n, own):
+        return [(f"http://{host}/p/{i:03d}", bare([*(f"Menu {k}" for k in range(10)), *own(i), *(f"Foot {k}" for k in range(10))])) for i in range(n)]
+
+    long = site("long.example", 7, lambda i: [f"Own {i} {k}" for k in range(5)])
+    two = site("two.example", 2, lambda i: [f"Own {i}"])
+    # The same URL again, and a group of copies that sorts together.
+    same = site("copied.example", 3, lambda i: [f"Story {i}"])
+    copied = [*same, same[1], *[(f"http://copied.example/p/001-{i:03d}", same[1][1]) for i in range(150)]]
+    # Two near copies with a passage of their own on a host with other pages.
+    near = site("near.example", 4, lambda i: [*(f"Passage {k}" for k in range(30)), f"Version {i}"] if i in (1, 2) else [f"Other {i}"])
+    got = extracted(spark, [(i, u, h) for i, (u, h) in enumerate([*long, *two, *copied, *near])])
+    texts = [got[i][0] for i in range(len(got))]
+    assert texts[:7] == ["\n".join(f"Own {i} {k}" for k in range(5)) for i in range(7)]
+    assert texts[7:9] == ["Own 0", "Own 1"]
+    assert texts[9:-4] == ["Story 0", "Story 1", "Story 2", *["Story 1"] * 151]
+    passage = "\n".join(f"Passage {k}" for k in range(30))
+    assert texts[-4:] == ["Other 0", f"{passage}\nVersion 1", f"{passage}\nVersion 2", "Other 3"]
+
+
 def test_kinds_of_lines():
     html = '<div class="top-menu">M</div>loose<div class="additional">kept</div><main><header><h1>H</h1></header>t</main><p class="share">S</p>'
     assert page_lines(html) == [(MARKED, "M"), (PLAIN, "loose"), (PLAIN, "kept"), (TEXT, "H"), (TEXT, "t"), (MARKED, "S")]

@@ -2,15 +2,18 @@
 
 A page is read into lines, one for each block with text. Pages are ordered by host and URL path; each is
 paired with the neighbour of its host whose path it shares most of, their lines are aligned by longest
-common subsequence, and lines that both have are taken for template text and deleted.
+common subsequence, and common lines that are template text are deleted.
 
-Two things are known from the markup and go before the alignment: a line inside menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts or styles is never text, and a line of an
-``article`` or ``main`` element is text even if a neighbour repeats it (copies of articles are common).
-Where a page has such an element, only its lines are the main text. If more than half of a page's other
-lines are in its neighbour too, the pair are copies, not pages of one template, and nothing is deleted.
+The markup goes first: a line inside menus, headers, footers, sidebars, notices, adverts, forms, comments,
+scripts or styles is never text, and a line of an ``article`` or ``main`` element is text even if a neighbour
+repeats it (copies of articles are common). Where a page has such an element, only its lines are the main text.
 
-Only 64-bit hashes of lines are sorted and compared; the html itself is shuffled once, compressed.
+Differencing decides about the other, plain lines. Pages of a host whose unmarked lines are equal are one
+page, so a page is aligned with the nearest *different* page that has plain lines. A common line is template
+text if a third different page of the host has it as a plain line; what only the two have is a copied
+passage. Where a host has but two different pages no third can tell, and all that they share is deleted.
+
+Only 64-bit hashes of lines are sorted and compared; of the html its unmarked lines are shuffled once, compressed.
 
 Defined results: null or empty html gives an empty text; a null url is a host and path of its own kind
 (both empty); repeated rows get equal rows; a page alone on its host keeps its unmarked lines; an
@@ -62,8 +65,10 @@ _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 
 # What a line is by the markup.
 PLAIN, TEXT, MARKED = 0, 1, 2
-# Pages that are aligned in one group, with one neighbour on either side.
+# Pages that are aligned in one group, with two neighbours on either side.
 GROUP_PAGES = 64
+# Different pages of a host that have a template line.
+WITNESSES = 3
 
 
 def _has(pattern: re.Pattern, attributes: str) -> bool:
@@ -139,10 +144,11 @@ def page_lines(html: str) -> list[tuple[int, str]]:
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """The lines of the main element, or, without one, plain lines that no neighbour shares."""
+    """The lines of the main element, or, without one, plain lines but those whose number is in ``shared``."""
     if any(kind == TEXT for kind, _ in lines):
         return "\n".join(text for kind, text in lines if kind == TEXT)
-    return "\n".join(text for i, (kind, text) in enumerate(lines) if kind == PLAIN and i not in shared)
+    plain = [text for kind, text in lines if kind == PLAIN]
+    return "\n".join(text for i, text in enumerate(plain) if i not in shared)
 
 
 def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
@@ -176,35 +182,48 @@ def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
     return [*range(lo), *middle, *range(len(one) - hi, len(one))]
 
 
-def _row_key():
-    return F.xxhash64("page_id", "url", "html")
+def _placed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, and host and path of the url."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path")
+    )
+
+
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def _read(page_id: int | None, url: str | None, host: str, html: str) -> tuple[int, list[tuple[int, str]], bytes]:
+    """(key, unmarked lines, hashes of the plain ones).
+
+    Pages of a host with equal unmarked lines have one key. Without plain lines there is nothing to judge,
+    and the key is the row's own, so that copies don't meet.
+    """
+    lines = [(kind, text) for kind, text in page_lines(html) if kind != MARKED]
+    hashes = [(kind, _hash(text.encode("utf-8", "replace"))) for kind, text in lines]
+    plain = np.array([h for kind, h in hashes if kind == PLAIN], dtype="<i8").tobytes()
+    own = hashes if plain else (page_id, url, hashes)
+    return _hash(repr((host, own)).encode("utf-8", "replace")), lines, plain
 
 
 def _outlines(pages: DataFrame) -> DataFrame:
-    """(row, place, path, lines): the hashes of a page's lines, and whether each is plain."""
+    """(key, place, host, path, lines) of pages with plain lines; ``lines``: the hashes of those."""
 
     def make():
         def step(cols: dict) -> dict:
-            out: dict = {"row": cols["row"], "place": cols["place"], "host": cols["host"], "path": cols["path"], "lines": [], "plain": []}
-            for html in cols["html"]:
-                lines = page_lines(html)
-                out["lines"].append(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for _, t in lines], dtype="<u8").tobytes())
-                out["plain"].append(bytes(kind == PLAIN for kind, _ in lines))
-            return out
+            read = [_read(*x) for x in zip(cols["page_id"], cols["url"], cols["host"], cols["html"])]
+            kept = [i for i, (_, _, plain) in enumerate(read) if plain]
+            out = {name: [cols[name][i] for i in kept] for name in ("place", "host", "path")}
+            return {"key": [read[i][0] for i in kept], **out, "lines": [read[i][2] for i in kept]}
 
         return step
 
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    placed = pages.select(
-        "row",
-        F.concat_ws("\u0001", host, path, F.lpad(F.coalesce("page_id", F.lit(0)).cast("string"), 20, "0")).alias("place"),
-        host.alias("host"),
-        path.alias("path"),
-        F.coalesce("html", F.lit("")).alias("html"),
-    )
-    return map_rows(placed, make, "row long, place string, host string, path string, lines binary, plain binary")
+    page_id = F.lpad(F.coalesce("page_id", F.lit(0)).cast("string"), 20, "0")
+    placed = _placed(pages).withColumn("place", F.concat_ws("\u0001", "host", "path", page_id))
+    return map_rows(placed, make, "key long, place string, host string, path string, lines binary")
 
 
 def _alike_paths(one: str, two: str) -> int:
@@ -217,50 +236,63 @@ def _alike_paths(one: str, two: str) -> int:
 
 
 def _shared_in_group(group: pd.DataFrame) -> pd.DataFrame:
-    """Aligns each page of the group (not its two outer neighbours) with the nearest one."""
+    """Aligns each page of the group (not its outer neighbours) with the nearest one."""
     group = group.sort_values("id").reset_index(drop=True)
-    lines = [np.frombuffer(x, dtype="<u8") for x in group["lines"]]
-    rows, shared = [], []
+    host, path = group["host"].tolist(), group["path"].tolist()
+    lines = [np.frombuffer(x, dtype="<i8") for x in group["lines"]]
+    out: dict = {"key": [], "host": [], "at": [], "line": [], "alone": []}
     for i in np.flatnonzero(group["inner"]):
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(group) and group["host"][j] == group["host"][i]]
-        if not near or not len(lines[i]):
+        beside = [j for j in range(i - 2, i + 3) if 0 <= j < len(group) and host[j] == host[i]]
+        near = [j for j in beside if abs(j - i) == 1]
+        if not near:
             continue
-        j = max(near, key=lambda j: (_alike_paths(group["path"][i], group["path"][j]), -j))
-        plain = np.frombuffer(group["plain"][i], dtype=np.uint8)
-        common = [k for k in common_lines(lines[i], lines[j]) if plain[k]]
-        if common and 2 * len(common) <= plain.sum():
-            rows.append(group["row"][i])
-            shared.append(np.array(common, dtype="<i4").tobytes())
-    return pd.DataFrame({"row": pd.Series(rows, dtype="int64"), "shared": pd.Series(shared, dtype="object")})
+        j = max(near, key=lambda j: (_alike_paths(path[i], path[j]), -j))
+        for k in common_lines(lines[i], lines[j]):
+            for name, value in zip(out, (group["key"][i], host[i], k, lines[i][k], len(beside) == 2)):
+                out[name].append(value)
+    kinds = {"key": "int64", "host": "object", "at": "int32", "line": "int64", "alone": "bool"}
+    return pd.DataFrame({name: pd.Series(out[name], dtype=kind) for name, kind in kinds.items()})
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(row, shared): numbers of the plain lines that a page has in common with its nearest neighbour."""
+    """(key, shared): which of the plain lines of the pages with this key are template text."""
     ship(pages.sparkSession)
-    outlines = _outlines(pages).withColumn("scope", F.lit("pages"))
-    ordered = stage(dense_ids(outlines, "scope", "place", {}), "page-order").drop("scope", "place")
-    last = GROUP_PAGES - 1
-    own = F.floor(F.col("id") / GROUP_PAGES)
-    at = F.pmod("id", F.lit(GROUP_PAGES))
-    # A page at a group's edge is also the outer neighbour of the next group.
-    beside = F.when(at == 0, own - 1).when(at == last, own + 1)
-    grouped = ordered.withColumn("group", own).withColumn("inner", F.lit(True)).unionByName(
-        ordered.withColumn("group", beside).withColumn("inner", F.lit(False)).where("group is not null")
-    )
-    found = grouped.groupBy("group").applyInPandas(_shared_in_group, "row long, shared binary")
-    return found.groupBy("row").agg(F.min("shared").alias("shared"))
+    first = _outlines(pages).groupBy("key").agg(F.min(F.struct("place", "host", "path", "lines")).alias("r")).select("key", "r.*")
+    different = first.withColumn("place", F.concat_ws("\u0001", "place", F.col("key").cast("string"))).withColumn("scope", F.lit("pages"))
+    ordered = stage(dense_ids(different, "scope", "place", {}), "page-order").drop("scope", "place")
+    # A page near a group's edge is also an outer neighbour of the next group.
+    groups = F.array_distinct(F.array(*(F.floor((F.col("id") + by) / GROUP_PAGES) for by in range(-2, 3))))
+    grouped = ordered.select("*", F.explode(groups).alias("group")).withColumn("inner", F.floor(F.col("id") / GROUP_PAGES) == F.col("group"))
+    common = grouped.groupBy("group").applyInPandas(_shared_in_group, "key long, host string, at int, line long, alone boolean")
+    common = stage(common, "common-lines")
+
+    def make():
+        def step(cols: dict) -> dict:
+            own = [np.unique(np.frombuffer(x, dtype="<i8")) for x in cols["lines"]]
+            return {"host": np.repeat(np.array(cols["host"], dtype=object), [len(x) for x in own]).tolist(), "line": np.concatenate(own).tolist()}
+
+        return step
+
+    held = map_rows(ordered.select("host", "lines"), make, "host string, line long").groupBy("host", "line").count()
+    template = held.where(F.col("count") >= WITNESSES).drop("count")
+    seen = common.where("not alone").join(template, ["host", "line"]).select("key", "at")
+    return seen.unionByName(common.where("alone").select("key", "at")).groupBy("key").agg(F.collect_list("at").alias("shared"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("row", _row_key())
 
     def pack():
         squeeze = zstandard.ZstdCompressor(level=3).compress
 
         def step(cols: dict) -> dict:
-            packed = [squeeze((h or "").encode("utf-8", "surrogatepass")) for h in cols.pop("html")]
-            return {**cols, "packed": packed}
+            out: dict = {"page_id": cols["page_id"], "url": cols["url"], "key": [], "packed": []}
+            for x in zip(cols["page_id"], cols["url"], cols["host"], cols["html"]):
+                key, lines, _ = _read(*x)
+                out["key"].append(key)
+                # No line has a line break in it.
+                out["packed"].append(squeeze("\n".join(f"{kind}{text}" for kind, text in lines).encode("utf-8", "replace")))
+            return out
 
         return step
 
@@ -270,12 +302,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         def step(cols: dict) -> dict:
             texts = []
             for data, shared in zip(cols["packed"], cols["shared"]):
-                found = set(np.frombuffer(shared, dtype="<i4").tolist()) if shared else set()
-                texts.append(main_text(page_lines(expand(data).decode("utf-8", "replace")), found))
+                lines = [(int(x[0]), x[1:]) for x in expand(data).decode().split("\n") if x]
+                texts.append(main_text(lines, set(shared or ())))
             return {"page_id": cols["page_id"], "url": cols["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
 
-    packed = map_rows(rows, pack, "page_id long, url string, row long, packed binary")
-    joined = packed.join(shared_lines(rows), "row", "left").select("page_id", "url", "packed", "shared")
+    packed = map_rows(_placed(pages), pack, "page_id long, url string, key long, packed binary")
+    joined = packed.join(shared_lines(pages), "key", "left").select("page_id", "url", "packed", "shared")
     return map_rows(joined, extract, "page_id long, url string, text string, n_chars long")
