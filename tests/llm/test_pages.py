@@ -78,6 +78,16 @@ def test_short_texts_in_long_templates_and_copies(spark, monkeypatch, group):
     assert texts[-4:] == ["Other 0", f"{passage}\nVersion 1", f"{passage}\nVersion 2", "Other 3"]
 
 
+def test_a_body_beside_an_article_is_kept(spark):
+    def teased(i):
+        return f"<div>Home</div><article>Teaser {i}</article><div>Story {i}</div><div>End of {i}</div><div>Imprint</div>"
+
+    # The last page is all article, and another page of its host has its text as plain lines.
+    rows = [*[(i, f"http://h.example/{i}", teased(i)) for i in range(5)], (5, "http://h.example/5", "<article><p>Home<p>Own</article>")]
+    got = extracted(spark, rows)
+    assert [got[i][0] for i in range(6)] == [*[f"Teaser {i}\nStory {i}\nEnd of {i}" for i in range(5)], "Home\nOwn"]
+
+
 def test_kinds_of_lines():
     html = '<div class="top-menu">M</div>loose<div class="additional">kept</div><main><header><h1>H</h1></header>t</main><p class="share">S</p>'
     assert page_lines(html) == [(MARKED, "M"), (PLAIN, "loose"), (PLAIN, "kept"), (TEXT, "H"), (TEXT, "t"), (MARKED, "S")]

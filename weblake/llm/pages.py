@@ -6,9 +6,9 @@ common subsequence, and common lines that are template text are deleted.
 
 The markup goes first: a line inside menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts or styles is never text, and a line of an ``article`` or ``main`` element is text even if a neighbour
-repeats it (copies of articles are common). Where a page has such an element, only its lines are the main text.
+repeats it (copies of articles are common).
 
-Differencing decides about the other, plain lines. Pages of a host whose unmarked lines are equal are one
+Differencing decides about the other, plain lines, also about those beside an article. Pages of a host whose unmarked lines are equal are one
 page, so a page is aligned with the nearest *different* page that has plain lines. A common line is template
 text if a third different page of the host has it as a plain line; what only the two have is a copied
 passage. Where a host has but two different pages no third can tell, and all that they share is deleted.
@@ -144,11 +144,13 @@ def page_lines(html: str) -> list[tuple[int, str]]:
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """The lines of the main element, or, without one, plain lines but those whose number is in ``shared``."""
-    if any(kind == TEXT for kind, _ in lines):
-        return "\n".join(text for kind, text in lines if kind == TEXT)
-    plain = [text for kind, text in lines if kind == PLAIN]
-    return "\n".join(text for i, text in enumerate(plain) if i not in shared)
+    """Lines of main elements, and plain lines but those whose number among these is in ``shared``, in page order."""
+    kept, plain = [], 0
+    for kind, text in lines:
+        if kind == TEXT or kind == PLAIN and plain not in shared:
+            kept.append(text)
+        plain += kind == PLAIN
+    return "\n".join(kept)
 
 
 def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
