@@ -8,7 +8,7 @@ import numpy as np
 from helpers import SCHEMA, by_id, documents, prose
 
 from weblake.llm import hmm
-from weblake.llm.hmm import Chain, expected_counts, hmm_scores, log_likelihood
+from weblake.llm.hmm import Chain, baum_welch, expected_counts, first_chain, hmm_scores, log_likelihood
 
 TEXTS = [None, "", "a", "A a b", *(prose(s, 40 + s, 60) for s in range(60)), prose(99, 1500, 60), prose(7, 47, 60), "only here"]
 
@@ -72,6 +72,26 @@ def test_forward_and_expected_counts_match_all_paths():
     assert np.allclose(a, start) and np.allclose(b, move) and np.allclose(whole, emit)
 
 
+def test_blocks_give_the_counts_of_whole_sequences(monkeypatch):
+    c, rng = chain(), np.random.default_rng(2)
+    sequences = [rng.integers(0, 5, n) for n in (1, 40, 7, 333, 40, 2, 90)]
+    whole = expected_counts(sequences, c)
+    assert math.isclose(whole[0].sum(), 7) and math.isclose(whole[1].sum(), sum(len(s) - 1 for s in sequences))
+    for block in (1, 5, 50):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        assert all(np.allclose(a, b) for a, b in zip(whole, expected_counts(sequences, c)))
+
+
+def test_training_counts_starts_and_moves_of_whole_documents(spark):
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 5, n) for n in (257, 1500, 3, 256, 700)]
+    encoded = spark.createDataFrame([(False, bytearray(s.astype("<u2").tobytes())) for s in sequences], "held_out boolean, symbols binary")
+    got, want = baum_welch(encoded, 5, 3, 1), expected_counts(sequences, first_chain(5, 3))
+    assert math.isclose(want[0].sum(), len(sequences))
+    start, move = want[0] + 1e-3, want[1] + 1e-3
+    assert np.allclose(got.start, start / start.sum(), rtol=1e-9) and np.allclose(got.move, move / move.sum(1, keepdims=True), rtol=1e-9)
+
+
 def test_probabilities_of_one_token_texts_sum_to_one():
     c = chain()
     assert math.isclose(sum(10 ** log_likelihood([np.array([s]) for s in range(5)], c)), 1.0, rel_tol=1e-9)

@@ -9,9 +9,9 @@ documents, those whose crc32(doc_id) mod 10 is not 0; all of them are used.
 * The ``SYMBOLS`` most frequent words and the end are symbols of the model; every other word is emitted
   in two steps: one of ``CLASSES`` classes (by its last character) as the symbol, then the word within its
   class by its smoothed count, with room for one unknown word in each class.
-* Baum-Welch: each task adds up expected counts (segments of at most ``SEGMENT`` tokens stand for long
-  documents here), the sums by symbol are aggregated over the partitions, and the new parameters,
-  of fixed size, go into the next pass.
+* Baum-Welch: each task adds up expected counts over whole documents (of long ones forward states are kept
+  at the edges of blocks of ``BLOCK`` tokens and computed again inside them, so memory is bounded), the sums by
+  symbol are aggregated over the partitions, and the new parameters, of fixed size, go into the next pass.
 * The score is exact: the scaled forward recursion runs over the whole sequence of each document,
   many documents side by side.
 
@@ -22,6 +22,7 @@ empty table gives an empty result; columns other than doc_id and text are ignore
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,9 @@ HOT_WORDS = 400_000
 SYMBOLS = 20_000
 CLASSES = 32
 STATES = 8
-SEGMENT = 256
+# Tokens whose forward states are held at once, and tokens of documents that are sorted by length together.
+BLOCK = 250_000
+SORTED = 2_000_000
 PASSES = 5
 SMOOTH = 0.1
 # The end's hash: no word has it, as words' hashes end in a class below CLASSES.
@@ -247,28 +250,61 @@ def log_likelihood(sequences: list[np.ndarray], chain: Chain) -> np.ndarray:
     return out
 
 
+def _blocks(running: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of steps with at most ``BLOCK`` tokens each, or of one step."""
+    edges, out, lo = np.concatenate([[0], np.cumsum(running)]), [], 0
+    while lo < len(running):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BLOCK, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, move and emission counts by forward-backward; emissions for the distinct symbols returned."""
     symbols, _, running = _by_step(sequences)
-    emit, edges = chain.emit[symbols], np.concatenate([[0], np.cumsum(running)])
-    alpha, scale = np.empty_like(emit), np.empty(len(emit))
-    for t, n in enumerate(running):
-        lo, hi = edges[t], edges[t + 1]
-        ahead = chain.start if t == 0 else alpha[edges[t - 1] : edges[t - 1] + n] @ chain.move
-        state = ahead * emit[lo:hi]
-        scale[lo:hi] = state.sum(1)
-        alpha[lo:hi] = state / scale[lo:hi, None]
-    moves, beta = np.zeros_like(chain.move), np.ones((running[-1], alpha.shape[1]))
-    gamma = alpha.copy()
-    for t in range(len(running) - 1, 0, -1):
-        n, lo, before = running[t], edges[t], edges[t - 1]
-        next_ = emit[lo : lo + n] * beta / scale[lo : lo + n, None]
-        moves += alpha[before : before + n].T @ next_
-        beta = np.ones((running[t - 1], alpha.shape[1]))
-        beta[:n] = next_ @ chain.move.T
-        gamma[before : before + running[t - 1]] *= beta
+    edges, states = np.concatenate([[0], np.cumsum(running)]), len(chain.start)
+    blocks = _blocks(running)
     used, back = np.unique(symbols, return_inverse=True)
-    emissions = np.stack([np.bincount(back, gamma[:, s], len(used)) for s in range(gamma.shape[1])], axis=1)
+    moves, emissions = np.zeros_like(chain.move), np.zeros((len(used), states))
+
+    def forward(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled forward states and scales of the steps, from the state before them."""
+        base = edges[first]
+        emit = chain.emit[symbols[base : edges[last]]]
+        alpha, scale = np.empty_like(emit), np.empty(len(emit))
+        for t in range(first, last):
+            lo, hi = edges[t] - base, edges[t + 1] - base
+            ahead = chain.start if state is None else state[: running[t]] @ chain.move
+            state = ahead * emit[lo:hi]
+            scale[lo:hi] = state.sum(1)
+            state /= scale[lo:hi, None]
+            alpha[lo:hi] = state
+        return emit, alpha, scale
+
+    # The state before each block; the last block's forward states are used as they are.
+    before: list[np.ndarray | None] = [None]
+    for first, last in blocks[:-1]:
+        alpha = forward(first, last, before[-1])[1]
+        before.append(alpha[edges[last - 1] - edges[first] :].copy())
+    beta = np.ones((running[-1], states))  # of the step at hand, without what ends there
+    for (first, last), state in zip(reversed(blocks), reversed(before)):
+        base = edges[first]
+        emit, alpha, scale = forward(first, last, state)
+        gamma = alpha.copy()
+        for t in range(last - 1, -1 if first == 0 else first - 1, -1):
+            n, lo = running[t], edges[t] - base
+            gamma[lo : lo + n] *= beta
+            if t == 0:
+                break
+            next_ = emit[lo : lo + n] * beta / scale[lo : lo + n, None]
+            ahead = alpha[edges[t - 1] - base :][:n] if t > first else state[:n]
+            moves += ahead.T @ next_
+            beta = np.ones((running[t - 1], states))
+            beta[:n] = next_ @ chain.move.T
+        here = back[base : edges[last]]
+        for s in range(states):
+            emissions[:, s] += np.bincount(here, gamma[:, s], len(used))
     return gamma[: running[0]].sum(0), moves * chain.move, used, emissions
 
 
@@ -276,6 +312,31 @@ def _unpacked(cells: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(c, dtype="<u2").astype(np.int32) for c in cells]
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Documents of like lengths together, about ``BLOCK`` tokens at a time; a longer one is alone."""
+
+    def dealt(cells: list[bytes]) -> Iterator[list[np.ndarray]]:
+        pending, size = [], 0
+        for cell in sorted(cells, key=len, reverse=True):
+            if pending and 2 * BLOCK < size + len(cell):
+                yield _unpacked(pending)
+                pending, size = [], 0
+            pending.append(cell)
+            size += len(cell)
+        if pending:
+            yield _unpacked(pending)
+
+    cells, size = [], 0
+    for batch in batches:
+        for cell in batch.column(0):
+            cells.append(cell.as_py())
+            size += len(cells[-1])
+            if size > 2 * SORTED:
+                yield from dealt(cells)
+                cells, size = [], 0
+    yield from dealt(cells)
+
+
 def baum_welch(encoded: DataFrame, symbols: int, states: int = STATES, passes: int = PASSES) -> Chain:
     """Passes over all training documents; symbol -1 carries the starts, -2 - s the moves from state s."""
     names = [f"s{i}" for i in range(states)]
@@ -290,20 +351,10 @@ def baum_welch(encoded: DataFrame, symbols: int, states: int = STATES, passes: i
         def run(batches, sent=sent):
             chain = sent.value
             start, move, emit, any_ = np.zeros(states), np.zeros((states, states)), np.zeros_like(chain.emit), False
-            for batch in batches:
-                cells = batch.column(0)
-                pending, size = [], 0
-                for i in range(batch.num_rows + 1):
-                    if i < batch.num_rows:
-                        whole = _unpacked([cells[i].as_py()])[0]
-                        for at in range(0, len(whole), SEGMENT):
-                            pending.append(whole[at : at + SEGMENT])
-                        size += len(whole)
-                    if pending and (size > 250_000 or i == batch.num_rows):
-                        a, b, used, c = expected_counts(pending, chain)
-                        start, move, any_ = start + a, move + b, True
-                        emit[used] += c
-                        pending, size = [], 0
+            for group in _whole_documents(batches):
+                a, b, used, c = expected_counts(group, chain)
+                start, move, any_ = start + a, move + b, True
+                emit[used] += c
             if any_:
                 seen = np.flatnonzero(emit.any(1))
                 rows = np.concatenate([start[None], move, emit[seen]])
