@@ -68,3 +68,10 @@ def test_every_leaf_is_reached_once_and_visits_widen():
     assert sorted(tree.best_bins(sample[3], 2.0)) == list(range(tree.leaves))
     assert len(tree.best_bins(sample[3], 0.01)) < len(tree.best_bins(sample[3], 0.5)) < tree.leaves
     assert calibrate(tree, sample, 10, 0.5) <= calibrate(tree, sample, 10, 0.99) <= 1.0
+
+
+def test_recall_that_is_calibrated_for(spark, monkeypatch):
+    wanted = []
+    monkeypatch.setattr(neighbours, "learn_tree", lambda vectors, k, recall: wanted.append(recall))
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    assert wanted == [0.97]
