@@ -11,11 +11,14 @@ from weblake.llm.common import table
 from weblake.llm.hmm import hmm_scores
 from weblake.llm.licenses import learn_weights, scan_licenses
 from weblake.llm.near_dup import near_duplicates
+from weblake.llm.mixing import mixed_documents
 from weblake.llm.neighbours import nearest
 from weblake.llm.packing import packed_documents
 from weblake.llm.pages import extract_pages
 from weblake.llm.pieces import piece_ids
 from weblake.llm.quality import learn_field, line_quality
+from weblake.llm.repair import repaired_conversations
+from weblake.llm.spelling import spelling_variants
 from weblake.llm.substring_dedup import without_repeats
 from weblake.llm.toxicity import learn_toxicity, toxicity
 
@@ -63,6 +66,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -75,6 +90,9 @@ def queries() -> dict:
         "op8_minhash_join": op8_minhash_join,
         "op9_packing": op9_packing,
         "op10_page_text": op10_page_text,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_source_mixture": op13_source_mixture,
         "pipeline": corpus_pipeline.run,
     }
 
