@@ -6,6 +6,7 @@ jobs that write do so in the shared scratch folder.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import sys
 from collections.abc import Callable
@@ -19,18 +20,23 @@ from pyspark.sql import functions as F
 import oracle
 from weblake.functions import date_path, expand_index, log_date, mask_address, mask_field, split_first, split_last, target_day
 from weblake.operators.keys import assign_ids, known_keys, new_keys, split_keys, stage_keys
+from weblake.operators.observed import CHECK_SCHEMA, LoadChecks
 from weblake.operators.quality import duplicate_keys, length_counts, null_counts, orphan_ids
 from event_log import events_of, log_view, masked_view, with_addresses, write_log_files
 from weblake.plans.load import encode, load_affected, load_days, load_previous_day, load_rejects, stage_rows
-from weblake.plans.maintain import compact_all, source_status
+from weblake.plans.maintain import compact_all, compact_dimension, notified_status, source_status
+from weblake.plans.maintain import retire_sources as retire
 from weblake.plans.mask import mask_created, mask_files, mask_lines
-from weblake.plans.reports import daily_page_views, decode_star, result_mix
+from weblake.plans.reports import daily_page_views, decode_star, page_totals, refresh_page_views, result_mix
+from weblake.plans.resort import sort_overlapping
 from weblake.schema import CDN_FIELDS, DIMENSIONS, FACT_NOT_NULL, STAGE_COLUMNS
-from weblake.session import scratch_path
+from weblake.session import rename_into, scratch_path
 from weblake.sources.logfiles import read_lines
-from weblake.sources.masked import as_masked, commit_batch, export_days, read_commits, read_days_tsv, read_masked, read_rejects
-from weblake.sources.notices import created_keys, finished_sources
-from weblake.streaming.ingest import start_masking
+from weblake.sources.masked import (
+    as_masked, commit_batch, export_days, read_commits, read_days_tsv, read_masked, read_message_rejects, read_rejects,
+)
+from weblake.sources.notices import created_keys, file_listing, finished_sources, message_rejects
+from weblake.streaming.ingest import start_masking, start_masking_notified, stream_messages
 from weblake.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,13 +133,13 @@ def mask_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = scratch_path(spark, "masked")
     raw = f"{_raw_files(spark, sf_dir)}/*"
-    start_masking(spark, raw, masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(sf_dir)).awaitTermination()
+    start_masking(spark, raw, masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(spark, raw)).awaitTermination()
     return _file_rows(read_masked(spark, masked))
 
 
-def _few(sf_dir: str) -> int:
-    """Files per micro-batch: several batches at any size."""
-    return 40 if "sf0.1" in sf_dir else 5
+def _few(spark: SparkSession, files: str) -> int:
+    """Files per micro-batch: a handful of batches at any size."""
+    return -(-len(read_lines(spark, files).inputFiles()) // 4)
 
 
 def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +148,7 @@ def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (F.col("src_file") < "E03", F.col("src_file") >= "E03"):
         raw = scratch_path(spark, "raw-logs")
         write_log_files(view.where(part), raw)
-        start_masking(spark, f"{raw}/*", masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(sf_dir)).awaitTermination()
+        start_masking(spark, f"{raw}/*", masked, scratch_path(spark, "checkpoint"), CDN_FIELDS, max_files=_few(spark, f"{raw}/*")).awaitTermination()
     return _file_rows(read_masked(spark, masked))
 
 
@@ -181,6 +187,67 @@ def mask_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer_counts(spark, masked).select("src", "n_rows")
 
 
+def _flat_files(spark: SparkSession, sf_dir: str) -> str:
+    """The raw files as objects named after their sources: ``{src}.gz``."""
+    spread, root = _raw_files(spark, sf_dir), scratch_path(spark, "objects")
+    for file in file_listing(spark, spread).select("path").toLocalIterator():
+        rename_into(spark, file.path, f"{root}/{file.path.rsplit('/src=', 1)[1].split('/')[0]}.gz")
+    return root
+
+
+def _object_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of every other run of events, as (src, key)."""
+    sources = events_of(spark, sf_dir).where("event_id div 5000 % 2 = 0").select(F.expr(oracle.RAW_NAME).alias("src")).distinct()
+    return sources.select("src", F.concat("src", F.lit(".gz")).alias("key"))
+
+
+def _stream_notices(spark: SparkSession, sf_dir: str) -> str:
+    """A layer masked by a stream of notifications: each is delivered three times, in three orders, the last time late,
+    among test messages and messages about another bucket."""
+    raw, masked, table = _flat_files(spark, sf_dir), scratch_path(spark, "masked"), scratch_path(spark, "messages")
+    names = _object_names(spark, sf_dir)
+    good = names.select(F.concat(F.lit("good "), "key").alias("message_id"), F.expr(oracle.KEY_MESSAGE).alias("body"))
+    test = names.select(F.concat(F.lit("test "), "key").alias("message_id"), F.lit('{"Event":"s3:TestEvent"}').alias("body"))
+    other = good.select(F.concat(F.lit("other "), "message_id").alias("message_id"), F.replace("body", F.lit('"logs"'), F.lit('"other"')).alias("body"))
+    for order in ("message_id", "body", "reverse(message_id)"):
+        delivery = good.union(test).union(other).orderBy(F.expr(order))
+        delivery.coalesce(1).write.mode("append").parquet(table)
+    messages = stream_messages(spark, table, max_files=1)
+    start_masking_notified(messages, "logs", raw, masked, scratch_path(spark, "checkpoint")).awaitTermination()
+    return masked
+
+
+def stream_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects masked as notifications name them, each once however often it is named."""
+    rows = read_masked(spark, _stream_notices(spark, sf_dir))
+    return rows.groupBy(F.regexp_extract("src_file", "([^/]+)[.]gz$", 1).alias("src")).agg(F.count("*").alias("n_rows"))
+
+
+def notified_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of notifications skipped, each message once."""
+    rejects = read_message_rejects(spark, _stream_notices(spark, sf_dir))
+    return rejects.groupBy("reason").agg(F.count("*").alias("n_messages"))
+
+
+def message_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = events_of(spark, sf_dir).select("event_id", F.expr(oracle.NOTICE).alias("body"))
+    return message_rejects(messages, "logs", "raw/")
+
+
+def clean_up_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects left after every other one was masked and notifications about masked objects of most sources
+    have had their originals deleted."""
+    raw, masked = _flat_files(spark, sf_dir), scratch_path(spark, "masked")
+    names = _object_names(spark, sf_dir)
+    mask_created(names.select(F.expr(oracle.KEY_MESSAGE).alias("body")), "logs", raw, masked, 0)
+    done = events_of(spark, sf_dir).select(F.expr(oracle.RAW_NAME).alias("src")).distinct().where("cast(substr(src, 2, 2) as int) % 3 <> 0")
+    keys = done.select(F.concat(F.lit("masked/2024/01/01/"), "src", F.lit(".gz")).alias("key"))
+    messages = keys.select(F.expr(oracle.KEY_MESSAGE).alias("body"))
+    status = notified_status(messages, "logs", "masked/", read_lines(spark, raw), read_commits(spark, masked))
+    retire(spark, status)
+    return file_listing(spark, raw).select(F.regexp_extract("object_key", "^(.*)[.]gz$", 1).alias("src"))
+
+
 def retire_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources may go when the rows of one date are not masked yet."""
     masked = scratch_path(spark, "masked")
@@ -280,6 +347,33 @@ def reload_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.fact().groupBy("log_date").agg(F.count("*").alias("n_rows"), F.sum("sc_bytes").alias("bytes"))
 
 
+def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``load_two_days``, with the dimensions compacted and indexed in between."""
+    masked = _masked_layer(spark, sf_dir)
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    load_previous_day(warehouse, masked, "2024-01-02T02:00:00Z")
+    for name in DIMENSIONS:
+        compact_dimension(warehouse, name, file_bytes=2_000, index_bytes=0)
+    load_days(warehouse, masked.where(F.col("log_date") > F.lit(datetime.date(2024, 1, 1))))
+    return warehouse.dimensions()
+
+
+def resort_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day and half, its rows, and those in files that an incremental sort left alone: mornings were loaded once,
+    afternoons in two loads that overlap."""
+    masked = _masked_layer(spark, sf_dir)
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    late = F.substring("time", 1, 2) >= "12"
+    for part in (~late, late & (F.col("row_num") % 2 == 0), late & (F.col("row_num") % 2 == 1)):
+        load_days(warehouse, masked.where(part), mode="append")
+    before = sort_overlapping(warehouse, _days(masked)).select("file")
+    rows = warehouse.fact().select("log_date", "datetime", F.col("_metadata.file_path").alias("file"))
+    kept = rows.join(before.withColumn("kept", F.lit(True)), "file", "left")
+    return kept.groupBy("log_date", (F.hour("datetime") >= 12).alias("late")).agg(
+        F.count("*").alias("n_rows"), F.count("kept").alias("kept_rows")
+    )
+
+
 def compact_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = _loaded(spark, sf_dir)
     compact_all(warehouse, _days(warehouse.fact()))
@@ -354,6 +448,34 @@ def length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_counts(broken, limits)
 
 
+def observed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one write of a broken copy counts by itself: purchases lack a method, not-modified replies a byte count, paths and
+    referers are too long, and the dimension lacks 'Error'."""
+    view = masked_view(events_of(spark, sf_dir))
+    changed = {"cs_uri_stem": "repeat(cs_uri_stem, 200)", "referer": "if(referer = '-', '-', repeat('é', 1100))"}
+    stage = stage_rows(view.withColumns({c: F.expr(e) for c, e in changed.items()}), "trust")
+    keys = split_keys(stage, _no_dims(spark))
+    lacking = dataclasses.replace(keys, table=keys.table.where("not (dim = 'result_type' and key = 'Error')"))
+    checks = LoadChecks()
+    fact = encode(checks.of_stage(stage), lacking).withColumns(
+        {"cs_method": F.expr("nullif(cs_method, 'POST')"), "sc_bytes": F.expr("if(status = 304, null, sc_bytes)")}
+    )
+    checks.of_fact(fact).write.parquet(scratch_path(spark, "broken"))
+    return spark.createDataFrame([r for r in checks.rows() if r[2]], CHECK_SCHEMA)
+
+
+def load_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks that two loads kept by themselves."""
+    masked = _masked_layer(spark, sf_dir)
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    first = F.col("log_date") <= F.lit(datetime.date(2024, 1, 5))
+    for part in (first, ~first):
+        load_days(warehouse, masked.where(part))
+    return warehouse.table("load_checks").groupBy("check").agg(
+        F.count("*").alias("n_checks"), F.sum("violations").alias("violations"), F.sum(F.size("days")).alias("n_days")
+    )
+
+
 # --- locations and notifications ---------------------------------------------------------------
 
 
@@ -416,6 +538,17 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_page_views(warehouse.fact(), warehouse.table("page"))
 
 
+def maintained_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per page from a view that is kept up day by day, when some sources arrive only after a first load."""
+    masked, path = masked_view(events_of(spark, sf_dir)), scratch_path(spark, "masked")
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    late = F.col("src_file") >= "E04"
+    for batch, part in enumerate([masked.where(~late), masked.where(late & (F.dayofmonth("log_date") > 2))]):
+        commit_batch(part, path, "view", batch)
+        refresh_page_views(warehouse, load_affected(warehouse, path))
+    return page_totals(warehouse)
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     warehouse = _loaded(spark, sf_dir)
     return result_mix(warehouse.fact(), warehouse.table("result_type"))
@@ -453,6 +586,10 @@ def queries() -> dict[str, Query]:
         "mixed_layouts": mixed_layouts,
         "mask_bad_files": mask_bad_files,
         "mask_notified": mask_notified,
+        "stream_notified": stream_notified,
+        "notified_rejects": notified_rejects,
+        "message_rejects": message_reject_reasons,
+        "clean_up_notified": clean_up_notified,
         "tsv_round_trip": tsv_round_trip,
         "retire_sources": retire_sources,
         "stage_day": stage_day,
@@ -468,6 +605,8 @@ def queries() -> dict[str, Query]:
         "encode_fact": encode_fact,
         "load_two_days": load_two_days,
         "reload_affected": reload_affected,
+        "load_indexed": load_indexed,
+        "resort_overlapping": resort_overlapping,
         "compact_fact": compact_fact,
         "compact_dims": compact_dims,
         "unsorted_files": unsorted_files,
@@ -475,6 +614,8 @@ def queries() -> dict[str, Query]:
         "fact_orphans": fact_orphans,
         "not_null_violations": not_null_violations,
         "length_violations": length_violations,
+        "observed_checks": observed_checks,
+        "load_checks": load_checks,
         "expand_page_urls": expand_page_urls,
         "split_url_parts": split_url_parts,
         "created_object_keys": created_object_keys,
@@ -483,6 +624,7 @@ def queries() -> dict[str, Query]:
         "decode_star": decoded_star,
         "decode_nulls": decode_nulls,
         "daily_page_views": page_views,
+        "maintained_page_views": maintained_page_views,
         "result_mix": results,
         **_training_data()[0],
     }

@@ -43,6 +43,25 @@ MESSAGE = """case when event_id % 13 = 0 then 'not json'
    || '"},"object":{"key":"masked/' || cast(event_id % 40 as string) || '/E' || cast(user_id % 7 as string) || '.gz"}}}]}'
   end"""
 
+# Messages of every shape, each with what is wrong with it, by event.
+NOTICES = [
+    ("null", "no body"),
+    ("'not json'", "not json"),
+    ("'{\"Event\":\"s3:TestEvent\"}'", "no records"),
+    ("'[]'", "no records"),
+    ("'{\"Records\":[]}'", "no entries"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectRemoved:Delete\",\"s3\":{\"bucket\":{\"name\":\"logs\"},\"object\":{\"key\":\"raw/a\"}}}]}'", "other event"),
+    ("'{\"Records\":[{\"s3\":{\"bucket\":{\"name\":\"logs\"},\"object\":{\"key\":\"raw/a\"}}}]}'", "other event"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\"}]}'", "no object"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\",\"s3\":{\"object\":{\"key\":\"raw/a\"}}}]}'", "no bucket"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\",\"s3\":{\"bucket\":{\"name\":\"other\"},\"object\":{\"key\":\"raw/a\"}}}]}'", "other bucket"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\",\"s3\":{\"bucket\":{\"name\":\"logs\"},\"object\":{}}}]}'", "no key"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\",\"s3\":{\"bucket\":{\"name\":\"logs\"},\"object\":{\"key\":\"etc/a\"}}}]}'", "other prefix"),
+    ("'{\"Records\":[{\"eventName\":\"ObjectCreated:Put\",\"s3\":{\"bucket\":{\"name\":\"logs\"},\"object\":{\"key\":\"raw/' || user_id || '\"}}}]}'", None),
+]
+NOTICE = "case event_id % 13 " + " ".join(f"when {i} then {body}" for i, (body, _) in enumerate(NOTICES)) + " end"
+_NOTICE_REASON = "case event_id % 13 " + " ".join(f"when {i} then '{r}'" for i, (_, r) in enumerate(NOTICES) if r) + " end"
+
 # Record dates as written by careless writers: unpadded, impossible, or no date at all.
 _RAW_DATE = """case when event_id % 97 = 0 then 'bad' when event_id % 89 = 0 then '2024-02-30'
   when event_id % 5 = 0 then {short} else {long} end"""
@@ -125,6 +144,11 @@ _DIMS = f"""{_MASKED}, keys as ({_KEYS}), dims as (
 select dim, key, cast(row_number() over (partition by dim order by key) as bigint) as id
 from (select distinct dim, key from keys) d)"""
 
+# Dimensions after a load of the first day and one of the others.
+_TWO_LOADS = f"""with {_MASKED}, keys as ({_KEYS}),
+firsts as (select dim, key, case when min(log_date) = date '2024-01-01' then 1 else 2 end as load from keys group by dim, key)
+select dim, key, cast(row_number() over (partition by dim order by load, key) as bigint) as id from firsts"""
+
 _STAGE_COLUMNS = """datetime, seq_num, edge_location, sc_bytes, cs_method, cs_uri_stem, status, referer,
  user_agent, cs_protocol, cs_bytes, time_taken, edge_response_result_type, time_to_first_byte"""
 
@@ -183,6 +207,16 @@ select src, case when src >= 'E06' then 'no_header' end as reject, count(*) as n
 select src, 'bad_address' as reject, n as n_rows from bad
 union all select src, null, count(*) from fix where src not in (select src from bad) group by src""",
         "mask_notified": f"""with {_FIX} select src, count(*) as n_rows from fix where pos // 5000 % 2 = 0 group by src""",
+        "stream_notified": f"""with {_FIX} select src, count(*) as n_rows from fix where pos // 5000 % 2 = 0 group by src""",
+        "notified_rejects": f"""with {_FIX}, names as (select distinct pos // 5000 as run, src from fix where pos // 5000 % 2 = 0)
+select 'no records' as reason, count(*) as n_messages from names union all select 'other bucket', count(*) from names""",
+        "message_rejects": f"""select event_id, cast(case when event_id % 13 >= 5 then 0 end as int) as entry, {_NOTICE_REASON} as reason
+from events where event_id % 13 < 12""",
+        "clean_up_notified": f"""with {_FIX} select distinct src from fix
+where not (pos // 5000 % 2 = 0 and cast(substr(src, 2, 2) as bigint) % 3 <> 0)""",
+        "resort_overlapping": f"""with {_FIX} select log_date, hour(datetime) >= 12 as late, count(*) as n_rows,
+ count(*) filter (where hour(datetime) < 12) as kept_rows from fix group by all""",
+        "load_indexed": _TWO_LOADS,
         "tsv_round_trip": f"with {_MASKED} select {_STAGE_COLUMNS} from masked",
         "retire_sources": f"""with {_FIX}
 select src, count(*) as raw_rows, count(*) filter (where log_date <> date '2024-01-10') as masked_rows,
@@ -201,9 +235,7 @@ select log_date, case when day(log_date) % 3 = 0 and day(log_date) <> 3 then 're
         "new_result_types": _new_keys("result_type"),
         "assign_dim_ids": f"with {_DIMS} select dim, key, id from dims",
         "encode_fact": _FACT_ROWS,
-        "load_two_days": f"""with {_MASKED}, keys as ({_KEYS}),
-firsts as (select dim, key, case when min(log_date) = date '2024-01-01' then 1 else 2 end as load from keys group by dim, key)
-select dim, key, cast(row_number() over (partition by dim order by load, key) as bigint) as id from firsts""",
+        "load_two_days": _TWO_LOADS,
         "reload_affected": f"""with {_FIX}
 select log_date, count(*) as n_rows, cast(sum(sc_bytes) as bigint) as bytes from fix group by log_date""",
         "compact_fact": _FACT_ROWS,
@@ -224,6 +256,15 @@ union all select 'sc_bytes', count(*) from fix where status = 304""",
         "length_violations": f"""with {_FIX}
 select 'cs_uri_stem' as column_name, count(*) as violations from fix where 200 * strlen(cs_uri_stem) > 2048
 union all select 'referer', count(*) from fix where referer <> '-'""",
+        "observed_checks": f"""with {_FIX}
+select 'length' as check, 'cs_uri_stem' as subject, count(*) as violations from fix where 200 * strlen(cs_uri_stem) > 2048
+union all select 'length', 'referer', count(*) from fix where referer <> '-'
+union all select 'null', 'cs_method', count(*) from fix where cs_method = 'POST'
+union all select 'null', 'sc_bytes', count(*) from fix where status = 304
+union all select 'lost rows', 'access_log', count(*) from fix where edge_response_result_type = 'Error'""",
+        "load_checks": f"""with {_FIX}, days as (select count(distinct log_date) as n from fix)
+select kind as check, cast(2 * subjects as bigint) as n_checks, cast(0 as bigint) as violations, cast(subjects * n as bigint) as n_days
+from days, (values ('length', 5), ('null', 13), ('lost rows', 1)) as kinds(kind, subjects)""",
         "expand_page_urls": f"""{_PARTS}
 select page_id, folder || case when instr(segment, '.') > 0 then segment
   when segment like '%/' then segment || 'index.html' else segment || '/index.html' end || query || fragment as expanded
@@ -243,6 +284,9 @@ from events) select event_id, cast(cast(substr(time, 1, 10) as date) - 1 as date
 from masked""",
         "daily_page_views": f"""with {_FIX}
 select log_date, cs_uri_stem as path, count(*) as views, cast(sum(sc_bytes) as bigint) as bytes from fix group by 1, 2""",
+        "maintained_page_views": f"""with {_FIX}
+select cs_uri_stem as path, count(*) as views, cast(sum(sc_bytes) as bigint) as bytes, count(distinct user_agent) as agents
+from fix where src_file < 'E04' or day(log_date) > 2 group by 1""",
         "result_mix": f"""with {_FIX}
 select edge_response_result_type as result_type, status, count(*) as requests from fix group by 1, 2""",
     }

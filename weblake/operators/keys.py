@@ -5,6 +5,7 @@ All five are handled in one pass: a key is a row (dim, key), so one shuffle serv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -54,10 +55,15 @@ def new_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
     return keys.join(known.select("dim", "key"), ["dim", "key"], "left_anti")
 
 
-def assign_ids(fresh: DataFrame, dims: DataFrame, staging: str | None = None) -> DataFrame:
-    """Ids for new keys, continuing each dimension after its largest id: (dim, key, n, id)."""
+def assign_ids(fresh: DataFrame, dims: DataFrame, staging: str | None = None, used: dict[str, int] | None = None) -> DataFrame:
+    """Ids for new keys, continuing each dimension after its largest id: (dim, key, n, id).
+
+    ``used``: the largest ids among rows that ``dims`` leaves out.
+    """
     # One row per dimension.
     largest = {r["dim"]: r["base"] for r in dims.groupBy("dim").agg(F.max("id").alias("base")).collect()}
+    for dim, base in (used or {}).items():
+        largest[dim] = max(base, largest.get(dim, base))
     narrow = [d.name for d in DIMENSIONS.values() if d.id_type == T.IntegerType()]
     overflow = F.col("dim").isin(narrow) & (F.col("id") > INT_MAX)
     message = F.concat(F.lit("no INT id left in "), F.col("dim"))
@@ -96,16 +102,21 @@ class KeySplit:
         return self.table.where((F.col("dim") == dim) & F.col("is_new")).select("key", "id")
 
 
-def split_keys(stage: DataFrame, dims: DataFrame, staging: str | None = None) -> KeySplit:
+def split_keys(
+    stage: DataFrame, dims: DataFrame | Callable[[DataFrame], tuple[DataFrame, dict[str, int]]], staging: str | None = None
+) -> KeySplit:
     """Collect the keys of ``stage``, match them with ``dims`` and assign ids to the rest.
 
+    ``dims``: all (dim, key, id), or what gives, for the load's keys, those that may match and the largest ids of the rest.
+
     Each step is staged in a small table: the stage and the dimension tables are read once, and a
     small key table is broadcast to the dimensions instead of shuffling them.
     """
     staging = staging or scratch_path(stage.sparkSession, "keys")
     keys = stage_table(stage_keys(stage), f"{staging}/all")
+    dims, used = dims(keys) if callable(dims) else (dims, None)
     known = stage_table(known_keys(keys, dims), f"{staging}/known")
-    fresh = assign_ids(new_keys(keys, known), dims, f"{staging}/fresh")
+    fresh = assign_ids(new_keys(keys, known), dims, f"{staging}/fresh", used)
     columns = ["dim", "key", "id", "n", "is_new"]
     both = known.withColumn("is_new", F.lit(False)).select(*columns).unionByName(
         fresh.withColumn("is_new", F.lit(True)).select(*columns)

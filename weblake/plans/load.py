@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from weblake.functions import target_day_of
 from weblake.operators.keys import KeySplit, split_keys
 from weblake.operators.lookup import BROADCAST_BYTES, resolve
+from weblake.operators.observed import CHECK_SCHEMA, LoadChecks
+from weblake.plans.key_index import narrowed_dimensions
 from weblake.schema import (
     BYTE_LIMIT,
     COLUMN_TYPE,
@@ -153,6 +155,13 @@ def write_fact(warehouse: Warehouse, fact: DataFrame, mode: str = "overwrite") -
     )
 
 
+def keep_checks(warehouse: Warehouse, checks: LoadChecks, days: Iterable[datetime.date]) -> None:
+    """Append what a load's checks found to the table ``load_checks``."""
+    rows = warehouse.spark.createDataFrame(checks.rows(), CHECK_SCHEMA).coalesce(1)
+    named = rows.select(F.current_timestamp().alias("loaded_at"), F.lit(sorted(days)).alias("days"), "*")
+    named.write.mode("append").parquet(warehouse.path("load_checks"))
+
+
 def load_days(
     warehouse: Warehouse,
     masked: DataFrame,
@@ -164,7 +173,8 @@ def load_days(
     """Load the given days (default: all) in one pass; False if they hold no rows.
 
     Dimension rows are committed before fact rows: a load that dies in between leaves unused keys,
-    which its next run finds and uses. With "overwrite", what an earlier load left of a covered day
+    which its next run finds and uses. The write itself counts nulls, over-long texts and lost rows (table
+    ``load_checks``). With "overwrite", what an earlier load left of a covered day
     (fact rows, rejects) goes even if this load has none for it.
     """
     rows = masked if days is None else masked.where(F.col("log_date").isin(list(days)))
@@ -174,12 +184,14 @@ def load_days(
     warehouse.create_tables()
     stage = stage_rows(rows, on_error)
     with scratch(warehouse.spark, "keys") as staging:
-        keys = split_keys(stage, warehouse.dimensions(), staging)
+        keys = split_keys(stage, functools.partial(narrowed_dimensions, warehouse), staging)
         if on_error == "fail":
             stage = stage_rows(rows, "trust")
         if keys.sizes:
             append_dimensions(warehouse, keys)
-            write_fact(warehouse, encode(stage, keys, broadcast_bytes), mode)
+            checks = LoadChecks()
+            write_fact(warehouse, checks.of_fact(encode(checks.of_stage(stage), keys, broadcast_bytes)), mode)
+            keep_checks(warehouse, checks, covered)
     if on_error == "quarantine":
         (
             load_rejects(rows)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.functions import source_key
+from weblake.plans.key_index import INDEX_BYTES, write_index
 from weblake.schema import DIMENSIONS, FACT_SORT, FACT_TABLE
 from weblake.session import discard, folder_names, rename, stage_table
 from weblake.sources.logfiles import is_data_line
@@ -26,12 +27,15 @@ DELETERS = 16
 FILE_BYTES = 256 * 1024 * 1024
 
 
-def file_count(spark: SparkSession, path: str) -> int:
-    """How many files of about ``FILE_BYTES`` hold what is under ``path``."""
+def table_bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = files.getContentSummary(target).getLength() if files.exists(target) else 0
-    return max(1, -(-size // FILE_BYTES))
+    return files.getContentSummary(target).getLength() if files.exists(target) else 0
+
+
+def file_count(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES) -> int:
+    """How many files of about ``file_bytes`` hold what is under ``path``."""
+    return max(1, -(-table_bytes(spark, path) // file_bytes))
 
 
 def compact_fact(warehouse: Warehouse, days: Sequence[datetime.date]) -> None:
@@ -53,8 +57,9 @@ def compact_fact(warehouse: Warehouse, days: Sequence[datetime.date]) -> None:
     )
 
 
-def compact_dimension(warehouse: Warehouse, name: str) -> None:
+def compact_dimension(warehouse: Warehouse, name: str, file_bytes: int = FILE_BYTES, index_bytes: int = INDEX_BYTES) -> None:
     """Rewrite a dimension sorted by natural key, as a new version that is renamed into place when it is whole.
+    A version of ``index_bytes`` or more gets an index.
 
     Until the rename the table is untouched; a job that dies before it leaves a hidden folder only. The
     version before stays for readers that have begun, the one before that goes.
@@ -62,7 +67,7 @@ def compact_dimension(warehouse: Warehouse, name: str) -> None:
     spark, key = warehouse.spark, DIMENSIONS[name].key
     table, current = warehouse.table(name), warehouse.version(name)
     aside = f"{warehouse.home(name)}/.next"
-    files = file_count(spark, warehouse.path(name))
+    files = file_count(spark, warehouse.path(name), file_bytes)
     copy = stage_table(table.repartitionByRange(files, key).sortWithinPartitions(key), aside)
     before, after = table.count(), copy.count()
     if before != after:
@@ -72,6 +77,9 @@ def compact_dimension(warehouse: Warehouse, name: str) -> None:
     for old in folder_names(spark, warehouse.home(name)):
         if old.startswith("v=") and old < version_name(number):
             discard(spark, f"{warehouse.home(name)}/{old}")
+            discard(spark, f"{warehouse.home(name)}/_index/{old}")
+    if table_bytes(spark, warehouse.path(name)) >= index_bytes:
+        write_index(warehouse, name)
 
 
 def compact_table(warehouse: Warehouse, table: str, days: Sequence[datetime.date]) -> str:

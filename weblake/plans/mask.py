@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from weblake.operators.numbering import chunk_of, number_rows
 from weblake.session import existing, scratch, scratch_path, stage_table
 from weblake.sources.logfiles import POSITION, parse_files, read_lines, spread_fields
-from weblake.sources.masked import commit_batch, no_rows
-from weblake.sources.notices import created_keys
+from weblake.sources.masked import commit_batch, next_batch, no_rows, read_commits
+from weblake.sources.notices import created_keys, manifest
 
 # A file up to this size is numbered in one task; a larger one in runs of 2^20 rows.
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
+# Files that notifications name and that are masked as one batch.
+FILES_PER_BATCH = 10_000
+
 FATAL = ["no_header", "field_count", "bad_address"]
 ON_ERROR = ("quarantine", "drop_file", "fail")
 
@@ -98,13 +101,38 @@ def mask_files(
     return mask_batch(read_lines(spark, *there, recursive=recursive), masked_path, batch_id, run, fields, on_error, rebalance)
 
 
+def mask_keys(
+    keys: DataFrame, root: str, masked_path: str, run: str, per_batch: int = FILES_PER_BATCH, **options
+) -> list[int]:
+    """Mask the files that a table of object keys names, in batches of about ``per_batch`` files; returns their numbers.
+
+    Keys meet a listing of ``root`` by a join. Files that the commit log holds already are left out, whoever masked
+    them, so a key that is named again, or a run that died and comes back, masks nothing twice. Only the
+    paths of one batch come to the driver, as they do for any read.
+    """
+    spark = keys.sparkSession
+    done = read_commits(spark, masked_path).select("src_file")
+    with scratch(spark, "manifest") as staging:
+        files = stage_table(manifest(keys, root).join(done, "src_file", "left_anti"), f"{staging}/files")
+        count = files.count()
+        batches = max(1, -(-count // per_batch))
+        parted = files.withColumn("batch", F.pmod(F.xxhash64("path"), F.lit(batches)))
+        parted = stage_table(parted, f"{staging}/batches", ["batch"]) if batches > 1 else parted
+        numbers: list[int] = []
+        first = next_batch(spark, masked_path, run)
+        for batch in range(batches if count else 0):
+            paths = sorted(r.path for r in parted.where(F.col("batch") == batch).select("path").collect())
+            if paths:
+                lines = read_lines(spark, *paths)
+                numbers.append(mask_batch(lines, masked_path, first + len(numbers), run, **options))
+        return numbers
+
+
 def mask_created(
     messages: DataFrame, bucket: str, root: str, masked_path: str, batch_id: int, prefix: str = "", run: str = "notices", **options
-) -> int:
+) -> list[int]:
     """Mask the objects that a batch of notifications names: key ``k`` is the file ``{root}/k``.
 
-    The keys of one batch of messages come to the driver, as file listings do; objects that have vanished are skipped.
+    Objects that have vanished are skipped; what is skipped among the messages is :func:`message_rejects`.
     """
-    keys = [r.object_key for r in created_keys(messages, bucket, prefix).collect()]
-    paths = [f"{root.rstrip('/')}/{k}" for k in sorted(keys)]
-    return mask_files(messages.sparkSession, paths, masked_path, batch_id, run=run, **options)
+    return mask_keys(created_keys(messages, bucket, prefix), root, masked_path, f"{run} {batch_id}", **options)

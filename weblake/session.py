@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,20 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard_matching(spark: SparkSession, pattern: str) -> None:
+    """Drop the folders that match a pattern."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(target) or []:
+        files.delete(status.getPath(), True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, as listings give it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 @contextmanager
 def scratch(spark: SparkSession, label: str) -> Iterator[str]:
     """A fresh path under the shared working folder that is discarded in any case."""
@@ -78,6 +93,11 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
         return [p for p, ok in zip(paths, pool.map(there, paths)) if ok]
 
 
+def file_name(uri: str) -> str:
+    """A file's path as Hadoop takes it, from the encoded form that ``_metadata`` gives."""
+    return unquote(uri)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """Rename a folder or file; an error if that fails."""
     path_of = spark._jvm.org.apache.hadoop.fs.Path
@@ -86,6 +106,13 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def rename_into(spark: SparkSession, old: str, new: str) -> None:
+    """:func:`rename` that makes the folder of the new path first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(new)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target.getParent())
+    rename(spark, old, new)
+
+
 def run_together(jobs: Iterable[Callable[[], object]]) -> list:
     """Submit independent Spark actions side by side, so that small ones share the cluster."""
     jobs = list(jobs)

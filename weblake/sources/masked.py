@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
@@ -18,7 +19,7 @@ from weblake.schema import (
     RAW_SCHEMA,
     ROW_NUMBER_FIELD,
 )
-from weblake.session import existing, scratch, stage_table
+from weblake.session import discard_matching, existing, scratch, stage_table
 
 # A quote character no log holds: fields are neither quoted nor unquoted.
 NO_QUOTE = "\u0000"
@@ -89,6 +90,12 @@ def _claim(spark: SparkSession, path: str, run: str, run_batch: int) -> int:
     return number
 
 
+def next_batch(spark: SparkSession, path: str, run: str) -> int:
+    """The batch of a run that is to be written next: the first one that is not committed."""
+    done = read_commits(spark, path).where(F.col("run") == run)
+    return done.agg(F.coalesce(F.max("run_batch") + 1, F.lit(0))).first()[0]
+
+
 def commit_batch(rows: DataFrame, path: str, run: str, run_batch: int, rebalance: bool = True) -> int:
     """Write one batch and then its rows in the commit log; returns its number.
 
@@ -99,6 +106,8 @@ def commit_batch(rows: DataFrame, path: str, run: str, run_batch: int, rebalance
     number = _claim(spark, path, run, run_batch)
     before = read_commits(spark, path).where(F.col("batch_id") == number).select("src_file")
     if before.limit(1).isEmpty():
+        # What a try that died has left, of days that this one may not touch.
+        discard_matching(spark, f"{path.rstrip('/')}/log_date=*/batch_id={number}")
         write_masked(rows, path, number, rebalance)
     else:
         # Staged: the check must not mask the sources again.
@@ -116,7 +125,6 @@ def commit_batch(rows: DataFrame, path: str, run: str, run_batch: int, rebalance
     named = sources.withColumns({"run": F.lit(run), "run_batch": F.lit(run_batch).cast("long")})
     (
         named.withColumn("batch_id", F.lit(number).cast("long"))
-        .coalesce(1)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
@@ -134,6 +142,26 @@ def _batch_rows(spark: SparkSession, path: str, number: int) -> DataFrame:
     return rows.select("src_file", "log_date")
 
 
+MESSAGE_REJECT_SCHEMA = "message_id string, entry int, reason string, arrived timestamp, run string, run_batch bigint"
+
+
+def commit_message_rejects(rejects: DataFrame, path: str, run: str, run_batch: int) -> None:
+    """Keep what a batch of notifications could not use; the same batch again replaces it."""
+    named = rejects.select(
+        "message_id", "entry", "reason", "arrived", F.lit(run).alias("run"), F.lit(run_batch).cast("long").alias("run_batch")
+    )
+    folder = f"{hashlib.sha256(run.encode()).hexdigest()[:32]}-{run_batch}"
+    named.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_log/message_rejects/{folder}")
+
+
+def read_message_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Notifications, or entries of them, that were skipped, and why."""
+    where = f"{path.rstrip('/')}/_log/message_rejects/*"
+    if not existing(spark, [where]):
+        return spark.createDataFrame([], MESSAGE_REJECT_SCHEMA)
+    return spark.read.schema(MESSAGE_REJECT_SCHEMA).parquet(where)
+
+
 def no_rows(spark: SparkSession) -> DataFrame:
     """An empty batch."""
     return spark.createDataFrame([], MASKED_SCHEMA).drop("batch_id")

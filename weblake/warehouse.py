@@ -24,6 +24,27 @@ REJECT_SCHEMA = T.StructType(
 )
 STATE_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("loaded_at", T.TimestampType())])
 
+CHECKS_SCHEMA = T.StructType(
+    [
+        T.StructField("loaded_at", T.TimestampType()),
+        T.StructField("days", T.ArrayType(T.DateType())),
+        T.StructField("check", T.StringType()),
+        T.StructField("subject", T.StringType()),
+        T.StructField("violations", T.LongType()),
+    ]
+)
+VIEWS_SCHEMA = T.StructType(
+    [
+        T.StructField("page", T.IntegerType()),
+        T.StructField("views", T.LongType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("agents", T.BinaryType()),
+        T.StructField("log_date", T.DateType()),
+    ]
+)
+# Tables beside the six of the star.
+OTHERS = {"load_rejects": REJECT_SCHEMA, "load_state": STATE_SCHEMA, "load_checks": CHECKS_SCHEMA, "page_views": VIEWS_SCHEMA}
+
 TABLES = [FACT_TABLE, *DIMENSIONS]
 
 
@@ -33,7 +54,7 @@ def version_name(number: int) -> str:
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Six Parquet tables under one root, plus rejected rows and the load state.
+    """Six Parquet tables under one root, plus rejected rows, checks and state of loads, and the page views.
 
     One job writes at a time; readers may run beside it. A dimension has its current rows in the folder
     of its highest version, ``{table}/v=000001``; compaction writes the next one and renames it into place.
@@ -56,11 +77,11 @@ class Warehouse:
     def _schema(self, table: str) -> T.StructType:
         if table in DIMENSIONS:
             return DIMENSIONS[table].schema
-        return {FACT_TABLE: FACT_STORED, "load_rejects": REJECT_SCHEMA, "load_state": STATE_SCHEMA}[table]
+        return {FACT_TABLE: FACT_STORED, **OTHERS}[table]
 
     def create_tables(self) -> None:
         """Create what is absent; tables that exist are left alone."""
-        names = [*TABLES, "load_rejects", "load_state"]
+        names = [*TABLES, *OTHERS]
         run_together([functools.partial(self._create, name) for name in names])
 
     def _create(self, table: str) -> None:
@@ -94,6 +115,11 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._schema(name)).parquet(self.path(name))
 
+    def files_of(self, name: str, files: list[str]) -> DataFrame:
+        """Some files of a table."""
+        reader = self.spark.read.schema(self._schema(name))
+        return reader.parquet(*files) if files else self.spark.createDataFrame([], self._schema(name))
+
     def fact(self) -> DataFrame:
         return self.table(FACT_TABLE)
 
