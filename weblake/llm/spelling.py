@@ -2,13 +2,14 @@
 
 1. Count the runs of letters of all texts (partial counts per task, then a shuffled sum); words occurring
    ``MIN_COUNT`` times or more are the vocabulary.
-2. Two tries as one edge table: a node is a prefix of a word (mark ``>``) or of a reversed word (``<``), with the
-   letters that may follow and the count of the word that ends there. A node has at most one edge a letter.
-3. States (word, position, node, edited) move down, one letter a level, by joining them with the nodes, until none
+2. Two tries as one edge table: a node is a prefix of a word (mark ``>``) or of a reversed word (``<``); its edges, the letters
+   that may follow, are grouped by the letter after them and by how many letters words go on with.
+3. States (word, position, node, edited) move down, level by level, by joining them with the edges, until none
    is left. An edit spares one half of a word: the frontier of ``>`` starts at the node of a word's
    first half, that of ``<`` at the node of its reversed second half, so crowded nodes near the root are never met.
    An unedited state follows its word, replaces its letter by a greater one of the node, or leaves it
-   out; an edited one must follow. One that ends where a word ends has found a near word. Insertion and
+   out; an edited one must follow. Only edges are met that lead on by the word's next letter to the length it needs.
+   One that ends where a word ends has found a near word. Insertion and
    replacement by a smaller letter are the same links seen from the other word, so links are read both ways.
 4. A word's form is its near word of largest count, if large enough; roots follow forms by pointer doubling
    (counts grow at least by ``RATIO`` a step, so few rounds).
@@ -16,7 +17,7 @@
 Levels are as many as half of the longest word has letters. Words of ``LONG`` letters or more don't go through
 the trie: the rolling 127-bit hashes of their one-letter deletions are joined instead, which finds the same links.
 
-No join has more than one row a key on the side of the nodes or of the counts, so a crowded node is only a
+No join has more than one row a key on the side of the edges or of the counts, so a crowded node is only a
 large run of states, which Spark splits.
 
 Defined results: null or empty text: no words; a row without doc_id counts with an empty doc_id in the hash; repeated
@@ -44,6 +45,9 @@ RATIO = 10
 LONG = 64
 DAMAGE = 31
 
+# States above which a level's join is by shuffle in any case.
+SHUFFLED_STATES = 200_000
+
 # Words that a task counts before it hands the counts on, and documents it reads at a time.
 HELD_WORDS = 200_000
 SLICE = 64
@@ -98,68 +102,86 @@ def _oriented(words: DataFrame) -> DataFrame:
         F.struct(F.lit(">").alias("mark"), F.col("word").alias("word"), F.floor(half / 2).cast("int").alias("pos")),
         F.struct(F.lit("<").alias("mark"), F.reverse("word").alias("word"), F.ceil(half / 2).cast("int").alias("pos")),
     )
-    return words.select(F.inline(forms), "n")
+    return words.select(F.inline(forms))
+
+
+# What an edge is looked up by: the node it leaves, how many letters come after it, and the first of them. As a number, which
+# joins fast; a clash only lets a state live that finds no word in the end.
+_KEY = "xxhash64({node}, {to_come}, {then})"
+
 
+def trie_edges(words: DataFrame) -> DataFrame:
+    """key, depth, and letters, in order: the edges of a node that lead on by a given letter to a word of a given length.
 
-def trie_nodes(words: DataFrame) -> DataFrame:
-    """node, children (the letters that follow), ends (the count of the word that ends there, else null)."""
+    A word's last node is a key with -1 letters to come and no edges.
+    """
     shallowest = F.when(F.col("mark") == ">", MIN_LENGTH // 2).otherwise(MIN_LENGTH - MIN_LENGTH // 2)
     depths = F.explode(F.sequence(shallowest, F.length("word"))).alias("depth")
-    prefixes = _oriented(words).select("mark", "word", "n", depths)
-    return prefixes.select(
-        F.expr("concat(mark, substring(word, 1, depth))").alias("node"),
-        F.expr("nullif(substring(word, depth + 1, 1), '')").alias("letter"),
-        F.expr("if(depth = length(word), n, null)").alias("n"),
-    ).groupBy("node").agg(F.collect_set("letter").alias("children"), F.max("n").alias("ends"))
-
-
-_NEXT = "named_struct('pos', pos + {skip}, 'node', concat(node, {letter}), 'edited', {edited}, 'near_n', cast(null as bigint))"
-_FOUND = "if(ends is null, array(), array(named_struct('pos', pos, 'node', node, 'edited', true, 'near_n', ends)))"
-_MOVES = f"""case
- when edited and here = '' then {_FOUND}
- when edited then if(array_contains(children, here), array({_NEXT.format(skip=1, letter='here', edited='true')}), array())
- when here = '' then array()
- else concat(
-  array({_NEXT.format(skip=1, letter='here', edited='false')}),
-  case when here = after then array() when after = '' then {_FOUND}
-   when array_contains(children, after) then array({_NEXT.format(skip=2, letter='after', edited='true')}) else array() end,
-  transform(filter(children, c -> c > here), c -> {_NEXT.format(skip=1, letter='c', edited='true')})) end"""
-
-
-def _moved(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The states one level on; those with ``near_n`` have found a word."""
-    met = frontier.join(nodes, "node")
-    letters = [F.expr(f"substring(word, pos + {i}, 1)").alias(name) for i, name in ((1, "here"), (2, "after"))]
-    moved = met.select("word", "n", "pos", "node", "edited", "children", "ends", *letters)
-    return moved.select("word", "n", F.inline(F.expr(_MOVES)))
+    prefixes = _oriented(words).select("mark", "word", depths)
+    parts = {"to_come": "length(word) - depth - 1", "then": "substring(word, depth + 2, 1)", "node": "concat(mark, substring(word, 1, depth))"}
+    edges = prefixes.select(F.expr(_KEY.format(**parts)).alias("key"), "depth", F.expr("substring(word, depth + 1, 1)").alias("letter"))
+    letters = F.array_join(F.array_sort(F.collect_set("letter")), "").alias("letters")
+    return edges.groupBy("key").agg(F.max("depth").alias("depth"), letters)
+
+
+# What a state does, one character each: follow its word (>), leave its letter out (-), or replace it by that letter.
+_DEEDS = """case
+ when edited then if(here = '' or instr(letters, here) > 0, '>', '')
+ else concat(if(after = '', '', '>'), if(here = after, '', '-'), substring(letters, instr(letters, here) + 1)) end"""
+
+
+def _moved(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states one level on, ``found`` being those that have come to the end of a word with their edit.
+
+    The key has looked one letter ahead, so an edited state has two letters behind it.
+    """
+    near = [F.expr(f"substring(word, pos + {i}, 1)").alias(name) for i, name in ((1, "here"), (2, "after"))]
+    asked = frontier.select("word", "pos", "node", "edited", *near)
+    key = F.expr(_KEY.format(to_come="length(word) - pos - 1", then="after", node="node")).alias("key")
+    met = asked.select("*", key).join(edges, "key").withColumn("deeds", F.expr(_DEEDS)).where("deeds <> ''")
+    each = met.select("word", "pos", "node", "edited", "here", "after", "deeds", F.explode(F.expr("sequence(1, length(deeds))")).alias("i"))
+    deeds = each.select("word", "pos", "node", "edited", "here", "after", F.expr("substring(deeds, i, 1)").alias("deed"))
+    return deeds.select(
+        "word",
+        F.expr("if(deed = '-' or (deed = '>' and not edited), pos + 1, least(pos + 2, length(word)))").alias("pos"),
+        F.expr(
+            "case when deed = '-' then node when deed = '>' and not edited then concat(node, here)"
+            " when deed = '>' then concat(node, here, after) else concat(node, deed, after) end"
+        ).alias("node"),
+        F.expr("edited or deed <> '>'").alias("edited"),
+        F.expr("deed <> '-' and (edited or deed <> '>') and pos + 2 >= length(word)").alias("found"),
+    )
 
 
 def trie_links(words: DataFrame) -> DataFrame:
-    """Links (word, n, near, near_n) between words, each once or more, in one direction."""
+    """Links (word, near) between words, each once or more, in one direction."""
     spark = words.sparkSession
-    nodes = stage(trie_nodes(words), "trie")
-    start = _oriented(words)
-    frontier = start.select(
-        "word", "n", "pos", F.expr("concat(mark, substring(word, 1, pos))").alias("node"), F.lit(False).alias("edited")
+    edges = stage(trie_edges(words), "trie")
+    frontier = _oriented(words).select(
+        "word", "pos", F.expr("concat(mark, substring(word, 1, pos))").alias("node"), F.lit(False).alias("edited")
     )
-    links, before = None, None
-    while not frontier.isEmpty():
+    links, before, depth = None, None, 0
+    while states := frontier.count():
         level = scratch_path(spark, "frontier")
-        moved = _moved(frontier, nodes).withColumn("found", F.col("near_n").isNotNull())
-        moved = stage_table(moved, level, ["found"])
-        found = moved.where("found").select("word", "n", "node", "near_n")
+        # A state's node grows with each level but one, so edges further up are not asked for any more.
+        below = edges.where(F.col("depth") >= MIN_LENGTH // 2 - 1 + depth).drop("depth")
+        # Edges have one row a key, so they are hashed and neither side is sorted; few states are sent to the edges
+        # if Spark measures them as small.
+        below = below.hint("shuffle_hash") if states > SHUFFLED_STATES else below
+        moved = stage_table(_moved(frontier, below), level)
+        found = stage(moved.where("found").select("word", "node"), "found")
         links = found if links is None else links.unionByName(found)
         if before:
-            discard(spark, f"{before}/found=false")
-        frontier, before = moved.where("not found").select("word", "n", "pos", "node", "edited"), level
+            discard(spark, before)
+        frontier, before, depth = moved.where("not found").drop("found"), level, depth + 1
+    if before:
+        discard(spark, before)
     if links is None:
-        return words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
+        return words.select("word", F.col("word").alias("near")).limit(0)
     turned = F.startswith("node", F.lit("<"))
     return links.select(
         F.when(turned, F.reverse("word")).otherwise(F.col("word")).alias("word"),
-        "n",
         F.expr("if(startswith(node, '<'), reverse(substring(node, 2)), substring(node, 2))").alias("near"),
-        "near_n",
     )
 
 
@@ -178,7 +200,7 @@ def _deletion_hashes(word: str) -> Iterator[int]:
 
 
 def long_links(words: DataFrame) -> DataFrame:
-    """Links (word, n, near, near_n) between long words, by the hashes of their one-letter deletions."""
+    """Links (word, near) between long words, by the hashes of their one-letter deletions."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,12 +221,12 @@ def long_links(words: DataFrame) -> DataFrame:
         for batch in batches:
             names = batch.column("word").to_pylist()
             ids = [f"{_own_hash(word):032x}" for word in names]
-            yield pa.RecordBatch.from_pydict({"id": ids, "word": names, "n": batch.column("n").to_pylist()})
+            yield pa.RecordBatch.from_pydict({"id": ids, "word": names})
 
-    named = stage(map_batches(words, identified, "id string, word string, n long"), "long-words")
-    near = named.select(F.col("id").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    named = stage(map_batches(words.select("word"), identified, "id string, word string"), "long-words")
+    near = named.select(F.col("id").alias("other"), F.col("word").alias("near"))
     pairs = shorter.unionByName(replaced).distinct()
-    return pairs.join(named, "id").join(near, "other").select("word", "n", "near", "near_n")
+    return pairs.join(named, "id").join(near, "other").select("word", "near")
 
 
 def _own_hash(word: str) -> int:
@@ -222,11 +244,9 @@ def near_words(words: DataFrame) -> DataFrame:
         # Links between two words just below the limit are the trie's.
         links = links.unionByName(long_links(long).where(F.length("word") + F.length("near") >= 2 * LONG - 1))
     links = links.distinct()
-    both = F.array(
-        F.struct("word", "near", "near_n"),
-        F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")),
-    )
-    return links.select(F.inline(both))
+    both = F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))
+    counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    return links.select(F.inline(both)).join(counts, "near").select("word", "near", "near_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
