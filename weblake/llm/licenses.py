@@ -70,10 +70,12 @@ def scan_words(text: str) -> list[bytes]:
 
 def phrase_places(spaced: bytes, phrase: bytes) -> list[int]:
     """Word places of a phrase in words joined and enclosed by spaces; the phrase is enclosed, too."""
-    places, at = [], spaced.find(phrase)
+    places, at, counted, place = [], spaced.find(phrase), 0, 0
     while at >= 0:
-        places.append(spaced.count(b" ", 0, at))
-        at = spaced.find(phrase, at + 1)
+        # Counted on from the last place, so that all places together cost one pass.
+        place += spaced.count(b" ", counted, at)
+        places.append(place)
+        at, counted = spaced.find(phrase, at + 1), at
     return places
 
 
