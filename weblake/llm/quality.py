@@ -4,7 +4,7 @@ Each line with a word gets binary features; Viterbi decoding finds the likeliest
 labels over the whole document, and the share of the document's characters in content lines decides.
 
 Training: a bounded sample of documents labelled for quality (``max_docs``, chosen by a hash of the
-id; at most ``max_lines`` lines of each, a bound of the sample only). Lines start with the label of
+id) with all of their lines, in sequences of at most ``SEQUENCE``. Lines start with the label of
 their document; after a first fit, lines of bad documents that the field finds to be content are
 relabelled and it is fitted again. The threshold of the share is fitted on the same sample.
 Without labels of both kinds no line is boilerplate.
@@ -134,37 +134,57 @@ def _expected(scores: np.ndarray, moves: np.ndarray, length: np.ndarray) -> tupl
     return posterior, (np.exp(np.minimum(pair, 0.0)) * inside[:, 1:, None, None]).sum((0, 1))
 
 
+# Lines of a training sequence: nearly all documents are one.
+SEQUENCE = 256
+
+
+def _by_length(features: list[np.ndarray], bad: np.ndarray) -> list[tuple]:
+    """(features, line labels, document marks, is a line, lengths) of whole documents, padded to twice their lines at most."""
+    groups: dict[int, list[int]] = {}
+    for i, f in enumerate(features):
+        groups.setdefault(max(len(f), 4).bit_length(), []).append(i)
+    out = []
+    for _, of in sorted(groups.items()):
+        length = np.array([len(features[i]) for i in of])
+        x = np.zeros((len(of), length.max(), len(FEATURES)))
+        for row, i in enumerate(of):
+            x[row, : length[row]] = features[i]
+        inside = np.arange(x.shape[1])[None, :] < length[:, None]
+        out.append((x, np.where(inside, bad[of][:, None], 0).astype(np.int8), bad[of], inside, length))
+    return out
+
+
 def fit_field(features: list[np.ndarray], bad: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> tuple:
     """Weights and moves by gradient ascent on the likelihood of the lines' labels, twice (see above)."""
-    length = np.array([len(f) for f in features])
-    x = np.zeros((len(features), length.max(), len(FEATURES)))
-    for i, f in enumerate(features):
-        x[i, : len(f)] = f
-    inside = np.arange(x.shape[1])[None, :] < length[:, None]
-    y = np.where(inside, bad[:, None], 0).astype(np.int8)
+    batches = _by_length(features, bad)
+    lines = sum(int(length.sum()) for _, _, _, _, length in batches)
     weights, moves = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
     for fit in range(2):
-        hot = np.eye(2)[y] * inside[:, :, None]
-        seen_w = np.einsum("dtl,dtf->lf", hot, x)
-        seen_m = np.einsum("dti,dtj->ij", hot[:, :-1], hot[:, 1:])
+        hot = [np.eye(2)[y] * inside[:, :, None] for _, y, _, inside, _ in batches]
+        seen_w = sum(np.einsum("dtl,dtf->lf", h, x) for h, (x, *_) in zip(hot, batches))
+        seen_m = sum(np.einsum("dti,dtj->ij", h[:, :-1], h[:, 1:]) for h in hot)
         params, grad1, grad2 = np.concatenate([weights.ravel(), moves.ravel()]), 0.0, 0.0
         for step in range(1, steps + 1):
             weights, moves = params[:-4].reshape(2, -1), params[-4:].reshape(2, 2)
-            posterior, pairs = _expected(x @ weights.T, moves, length)
-            gap = np.concatenate([(seen_w - np.einsum("dtl,dtf->lf", posterior, x)).ravel(), (seen_m - pairs).ravel()])
-            gap = gap / length.sum() - ridge * params
+            gap_w, gap_m = seen_w, seen_m
+            for x, _, _, _, length in batches:
+                posterior, pairs = _expected(x @ weights.T, moves, length)
+                gap_w, gap_m = gap_w - np.einsum("dtl,dtf->lf", posterior, x), gap_m - pairs
+            gap = np.concatenate([gap_w.ravel(), gap_m.ravel()]) / lines - ridge * params
             grad1, grad2 = 0.9 * grad1 + 0.1 * gap, 0.99 * grad2 + 0.01 * gap**2
             params = params + 0.1 * (grad1 / (1 - 0.9**step)) / (np.sqrt(grad2 / (1 - 0.99**step)) + 1e-9)
         weights, moves = params[:-4].reshape(2, -1), params[-4:].reshape(2, 2)
         if fit == 0:
             # Without the moves: what a line of a bad document looks like by itself.
-            alone = x @ (weights[1] - weights[0])
-            y = np.where(inside & (bad[:, None] == 1) & (alone > 0), 1, 0).astype(np.int8)
+            for batch in batches:
+                x, y, marked, inside, _ = batch
+                alone = x @ (weights[1] - weights[0])
+                y[:] = np.where(inside & (marked[:, None] == 1) & (alone > 0), 1, 0)
     return weights, moves
 
 
-def learn_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_lines: int = 40) -> LineField:
-    """Fit the field and its threshold on at most ``max_docs`` documents with a label ``quality``."""
+def learn_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2500) -> LineField:
+    """Fit the field and its threshold on all lines of at most ``max_docs`` documents with a label ``quality``."""
     sample = (
         labels.where("quality is not null and doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("bad"))
@@ -176,7 +196,7 @@ def learn_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_li
         def step(cols: dict) -> dict:
             out: dict = {"bad": [], "features": [], "sizes": []}
             for text, bad in zip(cols["text"], cols["bad"]):
-                if lines := worded_lines(text)[:max_lines]:
+                if lines := worded_lines(text):
                     out["bad"].append(bad)
                     out["features"].append(line_features(lines).tobytes())
                     out["sizes"].append(np.array([len(x) for x in lines], dtype="<i4").tobytes())
@@ -191,7 +211,9 @@ def learn_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_li
         return LineField(np.zeros((2, len(FEATURES))), np.zeros((2, 2)), 0.0)
     features = [np.frombuffer(f, dtype=np.uint8).reshape(-1, len(FEATURES)) for f in found["features"]]
     bad = found["bad"].to_numpy()
-    field = LineField(*fit_field(features, bad), 0.0)
+    # Longer documents train as several sequences.
+    parts = [(f[at : at + SEQUENCE], b) for f, b in zip(features, bad) for at in range(0, len(f), SEQUENCE)]
+    field = LineField(*fit_field([f for f, _ in parts], np.array([b for _, b in parts])), 0.0)
     sizes = [np.frombuffer(s, dtype="<i4") for s in found["sizes"]]
     share = np.array([s[field.decode(f) == 0].sum() / s.sum() for f, s in zip(features, sizes)])
     field.min_share = _threshold(share, bad)
