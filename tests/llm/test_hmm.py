@@ -66,7 +66,8 @@ def test_forward_and_expected_counts_match_all_paths():
                 emit[s[t], state] += p / total
                 if t:
                     move[path[t - 1], state] += p / total
-    a, b, used, e = expected_counts(sequences, c)
+    a, b, used, e, probability = expected_counts(sequences, c)
+    assert math.isclose(probability, sum(log_likelihood(sequences, c)), rel_tol=1e-9)
     whole = np.zeros((5, 3))
     whole[used] = e
     assert np.allclose(a, start) and np.allclose(b, move) and np.allclose(whole, emit)
@@ -86,7 +87,8 @@ def test_training_counts_starts_and_moves_of_whole_documents(spark):
     rng = np.random.default_rng(3)
     sequences = [rng.integers(0, 5, n) for n in (257, 1500, 3, 256, 700)]
     encoded = spark.createDataFrame([(False, bytearray(s.astype("<u2").tobytes())) for s in sequences], "held_out boolean, symbols binary")
-    got, want = baum_welch(encoded, 5, 3, 1), expected_counts(sequences, first_chain(5, 3))
+    (got, course), want = baum_welch(encoded, 5, 3, 1), expected_counts(sequences, first_chain(5, 3))
+    assert math.isclose(course[0], want[4], rel_tol=1e-9)
     assert math.isclose(want[0].sum(), len(sequences))
     start, move = want[0] + 1e-3, want[1] + 1e-3
     assert np.allclose(got.start, start / start.sum(), rtol=1e-9) and np.allclose(got.move, move / move.sum(1, keepdims=True), rtol=1e-9)

@@ -39,9 +39,11 @@ SYMBOLS = 20_000
 CLASSES = 32
 STATES = 8
 # Tokens whose forward states are held at once, and tokens of documents that are sorted by length together.
-BLOCK = 250_000
-SORTED = 2_000_000
-PASSES = 5
+BLOCK = 500_000
+SORTED = 8_000_000
+# Training ends when a pass gains less than this share of the log-likelihood; the bound is generous.
+GAIN = 0.01
+MOST_PASSES = 50
 SMOOTH = 0.1
 # The end's hash: no word has it, as words' hashes end in a class below CLASSES.
 END = 63
@@ -211,9 +213,10 @@ class Chain:
 
 
 def first_chain(symbols: int, states: int) -> Chain:
-    """Near-uniform parameters, each symbol leaning to states by a fixed hash."""
-    lean = np.random.default_rng(11).random((symbols, states)) + 0.5
-    move = np.full((states, states), 1.0 / states) + np.eye(states)
+    """States that last, and symbols that lean to some of them by fixed chance; from a more even start the first passes
+    gain little and look like the end."""
+    lean = np.random.default_rng(11).random((symbols, states)) ** 4 + 0.02
+    move = np.full((states, states), 1.0 / states) + 4 * np.eye(states)
     return Chain(np.full(states, 1.0 / states), move / move.sum(1, keepdims=True), lean / lean.sum(0))
 
 
@@ -260,8 +263,9 @@ def _blocks(running: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, move and emission counts by forward-backward; emissions for the distinct symbols returned."""
+def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Start, move and emission counts by forward-backward (emissions for the distinct symbols returned), and the
+    log10 probability of all sequences."""
     symbols, _, running = _by_step(sequences)
     edges, states = np.concatenate([[0], np.cumsum(running)]), len(chain.start)
     blocks = _blocks(running)
@@ -288,24 +292,27 @@ def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarr
         alpha = forward(first, last, before[-1])[1]
         before.append(alpha[edges[last - 1] - edges[first] :].copy())
     beta = np.ones((running[-1], states))  # of the step at hand, without what ends there
+    likelihood = 0.0
     for (first, last), state in zip(reversed(blocks), reversed(before)):
         base = edges[first]
-        emit, alpha, scale = forward(first, last, state)
-        gamma = alpha.copy()
+        emit, gamma, scale = forward(first, last, state)
+        likelihood += float(np.log10(scale).sum())
+        emit /= scale[:, None]
         for t in range(last - 1, -1 if first == 0 else first - 1, -1):
             n, lo = running[t], edges[t] - base
+            # A step's forward states were used for the moves from it; now they become its posterior.
             gamma[lo : lo + n] *= beta
             if t == 0:
                 break
-            next_ = emit[lo : lo + n] * beta / scale[lo : lo + n, None]
-            ahead = alpha[edges[t - 1] - base :][:n] if t > first else state[:n]
+            next_ = emit[lo : lo + n] * beta
+            ahead = gamma[edges[t - 1] - base :][:n] if t > first else state[:n]
             moves += ahead.T @ next_
             beta = np.ones((running[t - 1], states))
             beta[:n] = next_ @ chain.move.T
         here = back[base : edges[last]]
         for s in range(states):
             emissions[:, s] += np.bincount(here, gamma[:, s], len(used))
-    return gamma[: running[0]].sum(0), moves * chain.move, used, emissions
+    return gamma[: running[0]].sum(0), moves * chain.move, used, emissions, likelihood
 
 
 def _unpacked(cells: list[bytes]) -> list[np.ndarray]:
@@ -337,48 +344,56 @@ def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndar
     yield from dealt(cells)
 
 
-def baum_welch(encoded: DataFrame, symbols: int, states: int = STATES, passes: int = PASSES) -> Chain:
-    """Passes over all training documents; symbol -1 carries the starts, -2 - s the moves from state s."""
+def baum_welch(encoded: DataFrame, symbols: int, states: int = STATES, passes: int = MOST_PASSES, gain: float = GAIN) -> tuple[Chain, list[float]]:
+    """The chain after passes over all training documents, and their log10 likelihood before each pass.
+
+    Symbol -1 carries the starts, -2 - s the moves from state s, the next lower one the likelihood.
+    """
     names = [f"s{i}" for i in range(states)]
     schema = pa.schema([("symbol", pa.int32()), *((n, pa.float64()) for n in names)])
     ddl = "symbol int, " + ", ".join(f"{n} double" for n in names)
     training = encoded.where("not held_out").select("symbols")
     context = encoded.sparkSession.sparkContext
-    chain = first_chain(symbols, states)
+    chain, course = first_chain(symbols, states), []
     for _ in range(passes):
         sent = context.broadcast(chain)
 
         def run(batches, sent=sent):
             chain = sent.value
             start, move, emit, any_ = np.zeros(states), np.zeros((states, states)), np.zeros_like(chain.emit), False
+            likelihood = np.zeros(states)
             for group in _whole_documents(batches):
-                a, b, used, c = expected_counts(group, chain)
+                a, b, used, c, probability = expected_counts(group, chain)
                 start, move, any_ = start + a, move + b, True
+                likelihood[0] += probability
                 emit[used] += c
             if any_:
                 seen = np.flatnonzero(emit.any(1))
-                rows = np.concatenate([start[None], move, emit[seen]])
-                keys = np.concatenate([[-1], -2 - np.arange(states), seen]).astype(np.int32)
+                rows = np.concatenate([start[None], move, likelihood[None], emit[seen]])
+                keys = np.concatenate([[-1], -2 - np.arange(states + 1), seen]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, s].copy()) for s in range(states))], schema=schema)
 
         sums = map_batches(training, run, ddl).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names))
         found = sums.toPandas().set_index("symbol")  # a row for each symbol: bounded by SYMBOLS
         if not len(found):
-            return chain
+            break
+        course.append(float(found.at[-2 - states, "s0"]))
         whole = found.reindex([*range(-1 - states, 0), *range(symbols)], fill_value=0.0).to_numpy()
         start, move, emit = whole[states], whole[:states][::-1], whole[states + 1 :]
         start, move, emit = start + 1e-3, move + 1e-3, emit + SMOOTH / states
         chain = Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    return chain
+        if len(course) > 1 and course[-1] - course[-2] < gain * -course[-2]:
+            break
+    return chain, course
 
 
-def hmm_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int = STATES, passes: int = MOST_PASSES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     texts = texts_of(docs).withColumn("held_out", held_out("doc_id", FOLDS))
     counts = stage(word_counts(texts), "word-counts")
     words = learn_vocabulary(counts)
     encoded = stage(encode(texts, words).withColumn("row", F.monotonically_increasing_id()), "symbols")
-    chain = baum_welch(encoded, words.symbols, states, passes)
+    chain, _ = baum_welch(encoded, words.symbols, states, passes)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, row long, chain double"
 
