@@ -5,7 +5,10 @@ written as Parquet and read again before the next one. All but the last return t
 ``documents``; the last returns the packed pieces. Documents that quality or toxicity rejects go, one
 document of each near-duplicate group stays, repeated passages are cut out of the texts.
 
-A document is a row with a doc_id; rows without one go with the first stage that joins by it.
+Defined results: a document is a row with a doc_id, and rows without one go with the first stage that joins by it (toxicity
+or near-dedup, at the latest); null and empty texts base-fail the quality rules and go; very long texts are handled
+whole; of rows that repeat a doc_id one is left; an empty table gives an empty result; columns other than
+those of ``documents``, whatever their names, are dropped.
 """
 
 from __future__ import annotations
