@@ -73,12 +73,38 @@ def ship(spark: SparkSession) -> None:
     context._weblake_shipped = True
 
 
+# An Arrow batch holds at most so many rows, and texts of about so many bytes, or one row.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package at hand on the executors, and with batches of bounded size.
+
+    The bounds are settings of the session; smaller ones that it has already stay.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    for name, most in BATCH_LIMITS.items():
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 
+# A worker process serves one operator after another; it keeps the memo of the last one only.
+_MEMOS: list[dict] = []
+
+
+def hold(memo: dict) -> dict:
+    """``memo``, after what other operators remembered in this worker is gone."""
+    for other in _MEMOS:
+        if other is not memo:
+            other.clear()
+    if not any(m is memo for m in _MEMOS):
+        _MEMOS.append(memo)
+    return memo
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblake.llm.common import HASHES, keyed_texts, lower_words, map_batches, map_rows, mix, stage, window_hashes
+from weblake.llm.common import HASHES, hold, keyed_texts, lower_words, map_batches, map_rows, mix, stage, window_hashes
 
 COORDINATES = 64
 # Share of links at the threshold that may have fewer equal coordinates than are asked for.
@@ -80,6 +80,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
     def make():
+        hold(HASHES)
+
         def step(cols: dict) -> dict:
             sets = [shingle_set(t, width) for t in cols["text"]]
             return {
