@@ -21,6 +21,7 @@ empty result; very long documents become many pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblake.llm.common import map_batches, map_rows, stage, texts_of
+from weblake.llm.common import hold, map_batches, map_rows, stage, texts_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -40,7 +41,7 @@ GROUPS = 192
 # Pieces of up to this length are small.
 SMALL = CAPACITY // 8
 # Chunks that a worker remembers.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 600_000
 _WIDE_GAP = re.compile(r" (?=\s)|[\x1c-\x1f]")
 _CUT = re.compile(r" (?=\S)")
 # Fixed value: how byte-level BPE of this family parts a text into words before merging.
@@ -67,8 +68,9 @@ class ChunkIds(dict):
 
     The byte-level pre-tokenizer always starts a new word at a space that a non-space follows, so a
     text may be parted there and its chunks encoded one by one. New chunks are merged by tiktoken, four times
-    as fast, with the ranks of the tokenizer's own file; the first ones of each worker are compared
-    with the tokenizers library, and a difference raises an error. Texts with special tokens go to the library.
+    as fast, with the ranks of the tokenizer's own file; all that are remembered are compared with the tokenizers
+    library, a slice of documents at a time, and a difference raises an error. Texts with special tokens, and what
+    comes before a text's first space, go to the library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -76,13 +78,16 @@ class ChunkIds(dict):
         from tiktoken import Encoding
         from tokenizers import Tokenizer
 
+        # A task has one core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = _byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special})
         self.merge = Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.marks = {m: pack_ids(self.merge(m)) for m in ".,;:!?"}
-        self.unchecked = True
+        self.fresh: list[str] = []
 
     def library(self, text: str) -> bytes:
         return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -94,15 +99,16 @@ class ChunkIds(dict):
         ids = pack_ids(self.merge(" " + chunk))
         if len(self) < MEMO_CHUNKS:
             self[chunk] = ids
+            self.fresh.append(chunk)
         return ids
 
     def check(self) -> None:
-        """Compare what is known by the first call with the library."""
-        if self.unchecked:
-            self.unchecked = False
-            for chunk, ids in self.items():
-                if self.library(" " + chunk) != ids:
-                    raise ValueError(f"tiktoken and the tokenizers library differ on {chunk!r}")
+        """Compare what is new in the memo since the last call with the library."""
+        new = self.tokenizer.encode_batch_fast([" " + chunk for chunk in self.fresh], add_special_tokens=False)
+        for chunk, found in zip(self.fresh, new):
+            if pack_ids(found.ids) != self[chunk]:
+                raise ValueError(f"tiktoken and the tokenizers library differ on {chunk!r}")
+        self.fresh = []
 
     def of(self, text: str) -> bytes:
         if not text:
@@ -112,7 +118,7 @@ class ChunkIds(dict):
             return self.library(text)
         first, *rest = _CUT.split(text) if wide else text.split(" ")
         # An empty last chunk is a space at the end.
-        return pack_ids(self.merge(first)) + b"".join([self[chunk] for chunk in rest])
+        return self.library(first) + b"".join([self[chunk] for chunk in rest])
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +130,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """Per piece: doc_id, piece, start, length, ids_crc32. Of a longer document the first piece may be shorter."""
 
     def make():
-        chunks = _chunk_ids(tokenizer_path)
+        chunks = hold(_chunk_ids(tokenizer_path))
         encode = chunks.of
         end = END_ID.to_bytes(4, "little")
 
