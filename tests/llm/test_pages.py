@@ -1,6 +1,9 @@
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from weblake.llm import pages
@@ -105,9 +108,73 @@ def test_frames_and_comments_that_are_articles():
     assert {text for kind, text in page_lines(html) if kind == MARKED} == {"M", "f", "c", "d"}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=9))
-def test_longest_common_subsequence(one, two):
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p class='share'>x<p>real one<p>real two", ["real one", "real two"]),
+        ("<ul><li class=social>s<li>kept</ul><p>body text", ["kept", "body text"]),
+        ("<dl><dt>a<dd class=ad>b<dt>c<dd>d</dl>", ["a", "c", "d"]),
+        ("<table><tr><td class=ad>x<td>y<tr><th>z</table>", ["y", "z"]),
+        ("<head><title>t</title><p>no end of head", ["no end of head"]),
+        ("<article class='post related-posts-enabled'><p>x</article>", ["x"]),
+        ("<main><section id='comments-policy'>policy</section><p>y</main>", ["policy", "y"]),
+        ("<main><div class='related-reading'><a href=x>linked</a></div><p>y</main>", ["y"]),
+        ("<main><div class='post social'>own</div><div class='social-links'>s</div></main>", ["own"]),
+        ("<article><p>The <span class='alert'>big</span> one</p><p><span class=ad>Buy</span></p></article>", ["The big one"]),
+        ("<article>a <button>b</button>c <svg><title>i</title><path/></svg>d</article>", ["a c d"]),
+        ("<form><nav>n</nav><article>t</article><p>field</form>", ["t"]),
+        ("<article><div class=ad>never closed<p>x</article><p>y", ["y"]),
+        ("<p>one</div></b><p>two</i> and</p></p>", ["one", "two and"]),
+        ('<p a="x>y">z<p b="open>w', ["z", "w"]),
+        ("<p a='>'>z<p b='>", ["z"]),
+    ],
+)
+def test_ends_left_out_and_names_that_say_little(html, text):
+    assert [line for kind, line in page_lines(html) if kind != MARKED] == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<a title="x ' * 8_000,
+        "<a x='>'" * 12_000,
+        "<title>" * 14_000,
+        "</script" * 12_000,
+        '<div class="x-ad">' * 5_000 + "t</div>" * 5_000,
+        "<ul><li><ul>" + "<div>" * 9_000 + "<li></li>" * 5_000,
+        "<b>" * 30_000 + "</i></p>" * 1_000,
+        "<p " + ' class="' * 12_000 + ">",
+    ],
+    ids=range(8),
+)
+def test_hostile_pages_take_linear_time(html):
+    def seconds(text):
+        start = time.perf_counter()
+        page_lines(text)
+        return time.perf_counter() - start
+
+    # A tenth of a second a 100 kB is usual; quadratic ones took 17.
+    assert min(seconds(html), seconds(html)) < 4
+
+
+def test_long_pages_are_aligned_in_linear_space():
+    draw = np.random.default_rng(5)
+    same = draw.permutation(12_000)
+    one, two = np.insert(same, 0, -1), np.insert(same[draw.random(len(same)) < 0.5], 0, -2)
+    one, two = np.append(one, -3), np.append(two, -4)
+    tracemalloc.start()
+    found = common_lines(one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(two) - 2 and (one[found] == two[1:-1]).all()
+    assert peak < 50 << 20  # one table would take 144 MB
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 4])
+@settings(max_examples=200, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(one=st.lists(st.integers(0, 4), max_size=9), two=st.lists(st.integers(0, 4), max_size=9))
+def test_longest_common_subsequence(monkeypatch, cells, one, two):
+    monkeypatch.setattr(pages, "LCS_CELLS", cells)
     length = np.zeros((len(one) + 1, len(two) + 1), dtype=int)
     for i in range(len(one)):
         for j in range(len(two)):

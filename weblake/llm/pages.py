@@ -6,7 +6,10 @@ common subsequence, and common lines that are template text are deleted.
 
 The markup goes first: a line inside menus, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts or styles is never text, and a line of an ``article`` or ``main`` element is text even if a neighbour
-repeats it (copies of articles are common).
+repeats it (copies of articles are common). Elements whose end tags may be left out end as in HTML. A class, id or
+role counts as a name of such parts only if all its words say so ("comment-list", not "comments-policy"); an element
+with such a word among others is judged by the share of its text that is links. Names never decide about the
+outermost ``article`` and ``main``, nor cut an inline element out of a sentence.
 
 Differencing decides about the other, plain lines, also about those beside an article. Pages of a host whose unmarked lines are equal are one
 page, so a page is aligned with the nearest *different* page that has plain lines. A common line is template
@@ -17,13 +20,16 @@ Only 64-bit hashes of lines are sorted and compared; of the html its unmarked li
 
 Defined results: null or empty html gives an empty text; a null url is a host and path of its own kind
 (both empty); repeated rows get equal rows; a page alone on its host keeps its unmarked lines; an
-empty table gives an empty result; very long pages are read whole; other columns are ignored.
+empty table gives an empty result; very long pages are read whole, in linear time, and aligned in linear space; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Collection
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,111 +42,267 @@ from weblake.llm.common import map_rows, ship, stage
 from weblake.operators.numbering import dense_ids
 
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th"
-    " thead title tr ul".split()
-) - {"br"}
-SKIPPED = frozenset(
-    "nav header footer aside form menu head title noscript template iframe object svg math canvas button select"
-    " textarea dialog audio video map".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section summary table"
+    " tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset({"script", "style"})
+SKIPPED = frozenset("nav header footer aside form menu head title noscript dialog textarea".split())
+# Elements without text of the page, which may stand in the middle of a sentence.
+DROPPED = frozenset("template iframe object svg math canvas button select audio video map".split())
+# Elements whose content isn't markup; what follows an unended one of the first two is not text.
+RAW = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset({"article", "main"})
-def _names(text: str) -> re.Pattern:
-    """Matches a class or id with one of these names as a part."""
-    return re.compile(rf"(?:^|[\s_-])(?:{text})(?=$|[\s_-])")
-
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that may stand in the head; any other one, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+OPTIONAL = frozenset("p li dt dd option optgroup tr td th tbody thead tfoot".split())
+CELLS = frozenset("table td th caption".split())
+_INLINE_STOP = BLOCK - OPTIONAL | CELLS
+_ITEM_STOP = BLOCK - {"address", "div", "p"}
+# Elements that end open ones: (which, what such a search doesn't leave).
+_ENDS = {
+    "li": ({"li"}, _ITEM_STOP - {"li"}),
+    **{name: ({"dt", "dd"}, _ITEM_STOP - {"dt", "dd"}) for name in ("dt", "dd")},
+    "option": ({"option"}, BLOCK - {"option"}),
+    "optgroup": ({"option", "optgroup"}, BLOCK - {"option", "optgroup"}),
+    "tr": ({"tr"}, {"table"}),
+    **{name: ({"td", "th"}, {"table", "tr"}) for name in ("td", "th")},
+    **{name: ({"tbody", "thead", "tfoot"}, {"table"}) for name in ("tbody", "thead", "tfoot")},
+    **{name: (HEADINGS, BLOCK - HEADINGS) for name in HEADINGS},
+    "a": ({"a"}, _INLINE_STOP),
+}
+_PARAGRAPH_STOP = CELLS | {"button", "object", "template"}
 
 # Names of what is never main text, of parts of the page layout, and of layout that an article has itself.
-_EXTRA = _names(
-    "ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|popup|modal"
-    "|comments?|respond|replies|reply|disqus|share|sharing|social|related|recommended|newsletter|subscribe|subscription"
-    "|signup|login"
+COMMENTS = frozenset("comment comments respond reply replies disqus".split())
+EXTRA = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent notice notices"
+    " alert popup modal share sharing social related recommended newsletter subscribe subscription signup login".split()
+)
+LAYOUT = frozenset(
+    "sidebar menu navbar nav navigation breadcrumb breadcrumbs footer pagination pager widget toolbar".split()
+)
+HEADING = frozenset({"header", "masthead"})
+# Words beside those in a name that leave its meaning as it is.
+NEUTRAL = frozenset(
+    "area bar block body bottom box buttons container content entry form global group header holder inner item items js left"
+    " link links list main media outer page panel post posts primary region right row secondary section site slot sticky sub"
+    " text top unit user wrap wrapper".split()
 )
-_LAYOUT = _names("sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|pagination|pager|widget|toolbar")
-_HEADING = _names("header|masthead")
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+# Names of an article's own parts: an element that has one, too, is judged by its links.
+OWN = frozenset("article content entry post story".split())
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+# A quote opens a value after "=" only; one that nothing closes is an ordinary character.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
+_PART = re.compile(r"[^\W\d_]+")
+# Elements deeper than this are siblings.
+DEPTH = 256
 
 # What a line is by the markup.
 PLAIN, TEXT, MARKED = 0, 1, 2
 # Pages that are aligned in one group, with two neighbours on either side.
 GROUP_PAGES = 64
+# Pairs of lines that one table of the alignment may hold.
+LCS_CELLS = 1 << 22
 # Different pages of a host that have a template line.
 WITNESSES = 3
 
 
-def _has(pattern: re.Pattern, attributes: str) -> bool:
-    return any(pattern.search((a or b or c).lower()) for a, b, c in _NAMED.findall(attributes))
-
-
-def _mark(name: str, attributes: str, main: int) -> str:
-    """Why an element that opens here is no main text: "extra", "layout" or "" (it may be)."""
-    if name in ("html", "body"):
-        return ""
-    if _has(_EXTRA, attributes) or name in SKIPPED and not (name == "header" and main):
-        return "extra"
-    if name not in MAIN and (_has(_LAYOUT, attributes) or not main and _has(_HEADING, attributes)):
-        return "layout"
-    return ""
+def _names(attributes: str, main: bool) -> str:
+    """What class, id and role say of an element: "extra", "layout", "doubt" (a name that has more to it) or ""."""
+    words = [w for a, b, c in _NAMED.findall(attributes) for w in (a or b or c).lower().split()] if attributes.strip() else []
+    own = any(w in OWN for w in words)
+    found = ""
+    for word in words:
+        parts = set(_PART.findall(word))
+        extra, layout = parts & EXTRA, parts & (LAYOUT if main else LAYOUT | HEADING)
+        if not extra and not layout:
+            continue
+        whole = parts <= EXTRA | LAYOUT | HEADING | NEUTRAL and not (own and not parts & COMMENTS)
+        if whole and extra:
+            return "extra"
+        found = "layout" if whole or found == "layout" else "doubt"
+    return found
+
+
+def _is_comment(attributes: str) -> bool:
+    words = [set(_PART.findall(w)) for a, b, c in _NAMED.findall(attributes) for w in (a or b or c).lower().split()]
+    return any(parts & (COMMENTS | {"ad", "ads", "advert", "advertisement"}) and parts <= EXTRA | NEUTRAL for parts in words)
+
+
+class _Element(NamedTuple):
+    name: str
+    why: str = ""  # why its lines are no text: "extra", "layout" or "dropped"
+    main: bool = False
+    soft: bool = False  # in an inline element with a name of what is no text
+    link: bool = False
+    judged: tuple[int, ...] | None = None  # before it: lines, characters, those of links, main elements
+
+
+class _Page:
+    """Lines of a page, from its tags and texts in order. Elements whose end tag may be left out end as in HTML."""
+
+    def __init__(self):
+        self.lines: list[tuple[int, str]] = []
+        self.parts: list[tuple[str, _Element]] = []
+        self.stack = [_Element("")]
+        self.open: Counter = Counter()
+        self.chars = self.linked = self.mains = 0
+        self.links: list[tuple[int, int]] = []  # ranges of lines that are mostly links
+
+    def text(self, text: str) -> None:
+        if not text or self.stack[-1].why == "dropped":
+            return
+        if self.stack[-1].name == "head" and not text.isspace():
+            self._cut(len(self.stack) - 1)
+        self.parts.append((text, self.stack[-1]))
+
+    def flush(self) -> None:
+        if not self.parts:
+            return
+        text = " ".join(unescape("".join(x for x, _ in self.parts)).split())
+        if text:
+            element = self.parts[0][1]
+            # An inline element is cut out only where it is the whole block.
+            marked = element.why or all(e.soft for x, e in self.parts if not x.isspace())
+            self.lines.append((MARKED if marked else TEXT if element.main else PLAIN, text))
+            self.chars += sum(len(x) for x, _ in self.parts)
+            self.linked += sum(len(x) for x, e in self.parts if e.link)
+        self.parts.clear()
+
+    def _cut(self, at: int) -> None:
+        """Ends the elements from this place of the stack on."""
+        if any(e.name in BLOCK and e.why != "dropped" for e in self.stack[at:]):
+            self.flush()
+        for e in reversed(self.stack[at:]):
+            self.open[e.name] -= 1
+            if e.judged and e.judged[3] == self.mains:
+                chars, linked = self.chars - e.judged[1], self.linked - e.judged[2]
+                if 2 * linked >= chars > 0:
+                    self.links.append((e.judged[0], len(self.lines)))
+        del self.stack[at:]
+
+    def _end(self, names: Collection[str], stop: Collection[str]) -> bool:
+        if any(self.open[name] for name in names):
+            for at in range(len(self.stack) - 1, 0, -1):
+                if self.stack[at].name in names:
+                    self._cut(at)
+                    return True
+                if self.stack[at].name in stop:
+                    break
+        return False
+
+    def close(self, name: str) -> None:
+        if name in HEADINGS:
+            ended = self._end(HEADINGS, CELLS)
+        elif name in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption"):
+            ended = self._end({name}, {"table"})
+        elif name in ("html", "body"):
+            ended = False
+        else:
+            ended = self._end({name}, (CELLS - {name} if name != "table" else ()) if name in BLOCK else _INLINE_STOP)
+        if not ended and name in BLOCK and self.stack[-1].why != "dropped":
+            self.flush()
+
+    def start(self, name: str, attributes: str) -> None:
+        if self.open["head"] and name not in IN_HEAD and name not in DROPPED and self.stack[-1].why != "dropped":
+            self._end({"head"}, ())
+        if self.stack[-1].why != "dropped":
+            if name in BLOCK and name not in OPTIONAL - {"p", "li", "dt", "dd"} or name == "p":
+                self._end({"p"}, _PARAGRAPH_STOP)
+            if name in _ENDS:
+                self._end(*_ENDS[name])
+            if name in BLOCK:
+                self.flush()
+        if name == "br":
+            self.text(" ")
+        if name in VOID or attributes.endswith("/"):
+            return
+        up = self.stack[-1]
+        why, main, soft, judged = up.why, up.main, up.soft, None
+        if why == "dropped" or name in DROPPED:
+            why = "dropped"
+        elif name in MAIN:
+            if why == "layout" and _names(attributes, True) != "extra":
+                why = ""  # a page's frame that is named after its sidebar or menu
+            if main and _is_comment(attributes):
+                why = "extra"
+            elif not why:
+                main = True
+                self.mains += 1
+        elif name in SKIPPED and not (name == "header" and main):
+            # A form may be the frame of a whole page.
+            why = "extra" if name not in ("form", "menu") else why or "layout"
+        elif why != "extra" and name not in ("html", "body"):
+            named = _names(attributes, main)
+            if name not in BLOCK:
+                soft = soft or named in ("extra", "layout")
+            elif named == "doubt":
+                judged = (len(self.lines), self.chars, self.linked, self.mains)
+            else:
+                why = named or why
+        if len(self.stack) > DEPTH:
+            self._cut(DEPTH)
+        self.stack.append(_Element(name, why, main, soft, up.link or name == "a", judged))
+        self.open[name] += 1
+
+    def finish(self) -> list[tuple[int, str]]:
+        self.flush()
+        self._cut(1)
+        change = Counter()
+        for first, last in self.links:
+            change[first] += 1
+            change[last] -= 1
+        out, inside = [], 0
+        for at, (kind, text) in enumerate(self.lines):
+            inside += change[at]
+            out.append((MARKED if inside else kind, text))
+        return out
 
 
 def page_lines(html: str) -> list[tuple[int, str]]:
-    """(kind, text) of each block that has text, in page order."""
-    out: list[tuple[int, str]] = []
-    parts: list[str] = []
-    skipped: list[str] = []  # the marked element that is open, and same-named ones in it
-    main, at, why = 0, 0, ""
-
-    def flush() -> None:
-        if parts:
-            if text := " ".join(unescape("".join(parts)).split()):
-                out.append((MARKED if skipped else TEXT if main else PLAIN, text))
-            parts.clear()
-
-    while at <= len(html):
-        tag = _TAG.search(html, at)
-        parts.append(html[at : tag.start() if tag else len(html)])
+    """(kind, text) of each block that has text, in page order; one pass over the html."""
+    page = _Page()
+    at, quoted = 0, True
+    endless: set[str] = set()
+    while start := _START.search(html, at):
+        page.text(html[at : start.start()])
+        at = start.start()
+        if start[0] == "<!--":
+            end = html.find("-->", at + 2)
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        if start[0] in ("<!", "<?"):
+            end = html.find(">", at)
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        tag = _TAG.match(html, at) if quoted else None
+        if not tag:
+            # All that could end this tag is quoted: from here on the first ">" ends a tag.
+            quoted, tag = False, _BARE.match(html, at)
         if not tag:
             break
         at = tag.end()
-        if tag[2] is None:
-            continue  # a comment or declaration
-        name, closing = tag[2].lower(), bool(tag[1])
-        if name in RAW:
-            if not closing:
-                end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
-            continue
-        if name == "br":
-            parts.append(" ")
-            continue
-        opens = not closing and name not in VOID and not tag[3].endswith("/")
-        if skipped and why == "layout" and opens and name in MAIN and not _has(_EXTRA, tag[3]):
-            flush()
-            skipped.clear()  # a page's frame that is named after its sidebar or menu
-        if skipped:
-            if name == skipped[0] and name not in VOID:
-                if closing:
-                    if len(skipped) == 1:
-                        flush()
-                    skipped.pop()
-                elif opens:
-                    skipped.append(name)
-            if name in BLOCK:
-                flush()
+        name = tag[2].lower()
+        if tag[1]:
+            page.close(name)
             continue
-        mark = _mark(name, tag[3], main) if opens else ""
-        if name in BLOCK or mark:
-            flush()
-        if mark:
-            skipped.append(name)
-            why = mark
-        elif name in MAIN:
-            main = max(0, main + (-1 if closing else 1 if opens else 0))
-    flush()
-    return out
+        if name in RAW and name not in endless:
+            end = _RAW_END[name].search(html, at)
+            if end or name in ("script", "style"):
+                close = html.find(">", end.end()) if end else -1
+                at = close + 1 if close >= 0 else len(html)
+                continue
+            endless.add(name)
+        page.start(name, tag[3])
+    page.text(html[at:])
+    return page.finish()
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
@@ -153,8 +315,20 @@ def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
     return "\n".join(kept)
 
 
+def _prefix_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of ``a`` and each prefix of ``b``."""
+    length = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        length[1:] = np.maximum.accumulate(np.maximum(length[1:], np.where(b == x, length[:-1] + 1, 0)))
+    return length
+
+
 def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
-    """Places in ``one`` of a longest common subsequence of two lists of line hashes (earliest on ties)."""
+    """Places in ``one`` of a longest common subsequence of two lists of line hashes.
+
+    Above ``LCS_CELLS`` pairs of lines, the first list is halved and the second one split where both halves give most
+    (Hirschberg), so memory is linear in the lines.
+    """
     lo = 0
     while lo < min(len(one), len(two)) and one[lo] == two[lo]:
         lo += 1
@@ -165,8 +339,12 @@ def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
     # Lines that the other page lacks can't be common.
     near = np.flatnonzero(np.isin(a, b))
     a, b = a[near], b[np.isin(b, a)]
-    middle: list[int] = []
-    if len(a) and len(b):
+    places: list[int] = []
+    if len(a) > 1 and len(a) * len(b) > LCS_CELLS:
+        half = len(a) // 2
+        split = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+        places = [*common_lines(a[:half], b[:split]), *(half + i for i in common_lines(a[half:], b[split:]))]
+    elif len(a) and len(b):
         # length[i, j]: of the longest common subsequence of a[i:] and b[j:].
         length = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
         for i in range(len(a) - 1, -1, -1):
@@ -175,12 +353,13 @@ def common_lines(one: np.ndarray, two: np.ndarray) -> list[int]:
         i = j = 0
         while i < len(a) and j < len(b):
             if a[i] == b[j] and length[i, j] == length[i + 1, j + 1] + 1:
-                middle.append(lo + int(near[i]))
+                places.append(i)
                 i, j = i + 1, j + 1
             elif length[i + 1, j] >= length[i, j + 1]:
                 i += 1
             else:
                 j += 1
+    middle = (lo + int(near[i]) for i in places)
     return [*range(lo), *middle, *range(len(one) - hi, len(one))]
 
 
