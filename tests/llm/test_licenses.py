@@ -1,4 +1,5 @@
 import re
+import time
 
 from helpers import SCHEMA, by_id, documents, prose
 
@@ -88,3 +89,22 @@ def test_many_notices_in_one_document_match_brute_force_over_all_words(spark):
     got = by_id(scan_licenses(docs, weight), "labels")
     assert got[0] == ("apache,apache-2.0,bsd,cc-by,cc-by-sa,mit,mpl-2.0",)
     assert set(got[1][0].split(",")) == {label for label, _, _ in TEMPLATES} | {"apache"}
+
+
+def test_headers_of_source_files(spark):
+    texts = ["// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "# SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: unknown", "gpl 2.0 or later"]
+    docs = documents(spark, texts)
+    got = by_id(scan_licenses(docs, learn_weights(docs)), "labels")
+    assert [got[i][0] for i in range(4)] == ["gpl-2.0", "bsd-3-clause", "", ""]
+
+
+def test_very_long_texts_take_linear_time(spark):
+    texts = ["cc by " * 80_000, "the software is provided under the license " * 20_000 + "SPDX-License-Identifier: MIT"]
+    docs = documents(spark, texts)
+    weight = learn_weights(docs)
+    start = time.perf_counter()
+    labels = [LicenseIndex(weight).labels(scan_words(t))[0] for t in texts]
+    assert time.perf_counter() - start < 10
+    got = by_id(scan_licenses(docs, weight), "n_base", "first_word", "last_word", "base_labels")
+    assert got == {0: (80_000, 0, 159_998, "cc-by"), 1: (0, None, None, "")}
+    assert labels[1] == {"mit"}

@@ -1,6 +1,6 @@
 """License scans with a positional index of rare license words.
 
-Templates of license notices are indexed by word. Every document is reduced to its license words, with
+Templates of license notices are posted under their words, and found by the rarest word of their key phrases. Every document is reduced to its license words, with
 their places. An alignment is a template and an offset (place in the document minus place in the template);
 it gathers the weight (inverse document frequency over all documents) of the template's words that are in
 place. Each template looks up its own rarest words, so many that what is left of its weight is below
@@ -18,6 +18,7 @@ whole; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -56,8 +57,53 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc0", "to the extent possible under law the author has dedicated all copyright to the public domain cc0", ["public domain"]),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ["cc by nc sa"]),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ["cc by nc nd"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["creative commons attribution noncommercial sharealike"]),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("odbl-1.0", "made available under the open database license any rights in individual contents of the database are licensed under the database contents license", ["open database license"]),
+    ("eupl-1.2", "licensed under the european union public licence version 1 2", ["european union public licence"]),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    ("artistic-2.0", "you may use modify and distribute this package under the terms of the artistic license version 2 0", ["artistic license"]),
+    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want"]),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("psf-2.0", "licensed under the python software foundation license version 2", ["python software foundation license"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", ["gnu affero general public license"]),
+    ("gfdl-1.3", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", ["gnu free documentation license"]),
+    # Whole paragraphs of short licenses.
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included", "portions of the software"]),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["without restriction including without limitation", "sell copies of the software"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee", "appear in all copies"]),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code", "this list of conditions"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products", "prior written permission"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["must not be misrepresented"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy", "by any means"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["unless required by applicable law", "on an as is basis"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["gnu general public license", "in the hope that it will be useful"]),
 ]
 
+# Public identifiers of licenses in source file headers; the label is the identifier without its last word, if that is "only" or "or later".
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0"
+    " CDDL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later"
+    " LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 OFL-1.1 Unlicense WTFPL Zlib"
+).split()
+
+
+def _identifier(name: str) -> tuple[str, str, list[str]]:
+    line = "spdx license identifier " + " ".join(re.split("[-.]", name.lower()))
+    return re.sub("-(only|or-later)$", "", name.lower()), line, [line]
+
+
+TEMPLATES += [_identifier(name) for name in SPDX]
+
 # Everything but letters, digits and non-ASCII bytes parts words; A-Z becomes a-z.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -87,6 +133,7 @@ class LicenseIndex:
     min_share: float = 0.6
     templates: list[list[bytes]] = field(default_factory=list)
     needed: list[frozenset[bytes]] = field(default_factory=list)  # the words of a template's key phrases
+    asking: dict[bytes, list[int]] = field(default_factory=dict)  # word -> templates whose rarest key word it is
     rarest: list[list[tuple[bytes, list[int], float]]] = field(default_factory=list)  # word, positions, weight at all of them
 
     def __post_init__(self):
@@ -94,6 +141,8 @@ class LicenseIndex:
             words = template.encode().split()
             self.templates.append(words)
             self.needed.append(frozenset(" ".join(phrases).encode().split()))
+            rarest = min(self.needed[-1], key=lambda w: (-self.weight[w], w))
+            self.asking.setdefault(rarest, []).append(len(self.needed) - 1)
             at: dict[bytes, list[int]] = {}
             for place, word in enumerate(words):
                 at.setdefault(word, []).append(place)
@@ -103,11 +152,11 @@ class LicenseIndex:
     def alignments(self, words: list[bytes], places: dict[bytes, list[int]]) -> dict[tuple[int, int], float]:
         """(template, offset) -> share of the template's weight in place, where it is ``min_share`` or more.
 
-        Templates whose key phrases have a word that the document lacks are left out at once.
+        A template is looked at only if the document has the rarest word of its key phrases, and then their other words.
         """
         out = {}
-        for number, needed in enumerate(self.needed):
-            if not needed <= places.keys():
+        for number in (number for word in self.asking.keys() & places.keys() for number in self.asking[word]):
+            if not self.needed[number] <= places.keys():
                 continue
             template = self.templates[number]
             whole = sum(self.weight[w] for w in template)
