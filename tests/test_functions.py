@@ -126,6 +126,7 @@ def test_expand_index(spark):
     assert apply(spark, list(EXPANDED), expand_index(F.col("v"))) == list(EXPANDED.values())
 
 
+# The acceptance vectors of splitting at the first delimiter.
 @pytest.mark.parametrize(
     "text, delimiter, parts",
     [
@@ -140,6 +141,7 @@ def test_split_first(spark, text, delimiter, parts):
     assert apply(spark, [text], *split_first(F.col("v"), delimiter)) == [parts]
 
 
+# The acceptance vectors of splitting at the last delimiter.
 @pytest.mark.parametrize(
     "text, delimiter, parts",
     [
