@@ -30,7 +30,7 @@ from weblake.plans.mask import mask_created, mask_files, mask_lines
 from weblake.plans.reports import daily_page_views, decode_star, page_totals, refresh_page_views, result_mix
 from weblake.plans.resort import sort_overlapping
 from weblake.schema import CDN_FIELDS, DIMENSIONS, FACT_NOT_NULL, STAGE_COLUMNS
-from weblake.session import rename_into, scratch_path
+from weblake.session import rename_all, run_together, scratch_path, stage_table
 from weblake.sources.logfiles import read_lines
 from weblake.sources.masked import (
     as_masked, commit_batch, export_days, read_commits, read_days_tsv, read_masked, read_message_rejects, read_rejects,
@@ -190,8 +190,9 @@ def mask_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flat_files(spark: SparkSession, sf_dir: str) -> str:
     """The raw files as objects named after their sources: ``{src}.gz``."""
     spread, root = _raw_files(spark, sf_dir), scratch_path(spark, "objects")
-    for file in file_listing(spark, spread).select("path").toLocalIterator():
-        rename_into(spark, file.path, f"{root}/{file.path.rsplit('/src=', 1)[1].split('/')[0]}.gz")
+    # Dealt to few parts: each of the iterator's parts is a job.
+    files = (r.path for r in file_listing(spark, spread).select("path").repartition(16).toLocalIterator())
+    rename_all(spark, ((path, f"{root}/{path.rsplit('/src=', 1)[1].split('/')[0]}.gz") for path in files))
     return root
 
 
@@ -205,7 +206,7 @@ def _stream_notices(spark: SparkSession, sf_dir: str) -> str:
     """A layer masked by a stream of notifications: each is delivered three times, in three orders, the last time late,
     among test messages and messages about another bucket."""
     raw, masked, table = _flat_files(spark, sf_dir), scratch_path(spark, "masked"), scratch_path(spark, "messages")
-    names = _object_names(spark, sf_dir)
+    names = stage_table(_object_names(spark, sf_dir), scratch_path(spark, "names"))
     good = names.select(F.concat(F.lit("good "), "key").alias("message_id"), F.expr(oracle.KEY_MESSAGE).alias("body"))
     test = names.select(F.concat(F.lit("test "), "key").alias("message_id"), F.lit('{"Event":"s3:TestEvent"}').alias("body"))
     other = good.select(F.concat(F.lit("other "), "message_id").alias("message_id"), F.replace("body", F.lit('"logs"'), F.lit('"other"')).alias("body"))

@@ -7,10 +7,13 @@ from logs import head, row, write
 from pyspark.sql import functions as F
 
 from weblake.plans.mask import mask_keys
+from weblake import session
+from weblake.session import rename_all
 from weblake.sources import masked
+from weblake.sources.logfiles import read_lines
 from weblake.sources.masked import read_commits, read_masked, read_message_rejects
-from weblake.sources.notices import created_keys, finished_sources, manifest, message_rejects, object_events
-from weblake.streaming.ingest import start_masking_notified, stream_messages
+from weblake.sources.notices import created_keys, file_listing, finished_sources, manifest, message_rejects, object_events
+from weblake.streaming.ingest import start_masking, start_masking_notified, stream_messages
 
 
 def notice(*entries):
@@ -156,3 +159,45 @@ def test_a_killed_batch_is_finished_by_the_next_start(spark, tmp_path, monkeypat
     rows = read_masked(spark, out).groupBy("src_file", "log_date").count()
     assert rows.count() == 8 and rows.where("count = 1").count() == 8
     assert read_commits(spark, out).count() == 4
+
+
+def test_a_streams_batch_writes_a_file_for_each_day(spark, tmp_path):
+    days = [f"2022-11-0{d}" for d in range(1, 4)]
+    for i in range(12):
+        write(tmp_path / "raw" / f"{i}.gz", head() + [row(date=d) for d in days])
+    deliver(spark, tmp_path / "messages", created(*[f"{i}.gz" for i in range(12)]))
+    start(spark, tmp_path).awaitTermination()
+    start_masking(spark, str(tmp_path / "raw"), str(tmp_path / "layer"), str(tmp_path / "checkpoint2")).awaitTermination()
+    for out in ("masked", "layer"):
+        assert read_masked(spark, str(tmp_path / out)).count() == 36
+        assert [len(list((tmp_path / out).glob(f"log_date={d}/batch_id=0/*.parquet"))) for d in days] == [1, 1, 1]
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "LISTING_TASKS", 3)
+    paths = [write(tmp_path / "raw" / f"f{i}" / "part", [row()], compress=False) for i in range(40)]
+    context = spark.sparkContext
+    context.setJobGroup("listing", "")
+    files, lines = file_listing(spark, str(tmp_path / "raw")), read_lines(spark, *paths)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 3
+    assert files.count() == lines.count() == 40
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_a_message_batch_without_keys_lists_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "object_key string")
+    assert mask_keys(none, str(tmp_path / "absent"), str(tmp_path / "masked"), "keys") == []
+
+
+def test_files_are_renamed_side_by_side(spark, tmp_path):
+    names = [f"a b%20{i}" for i in range(1100)]
+    for name in names:
+        (tmp_path / name).write_text(name)
+    pairs = ((str(tmp_path / n), str(tmp_path / "new" / n[-1] / n)) for n in names)
+    assert rename_all(spark, pairs) == 1100
+    assert all((tmp_path / "new" / n[-1] / n).read_text() == n and not (tmp_path / n).exists() for n in names)
+    with pytest.raises(Exception, match="gone"):
+        rename_all(spark, [(str(tmp_path / "gone"), str(tmp_path / "new" / "gone"))])

@@ -111,6 +111,8 @@ def mask_keys(
     paths of one batch come to the driver, as they do for any read.
     """
     spark = keys.sparkSession
+    if keys.isEmpty():
+        return []
     done = read_commits(spark, masked_path).select("src_file")
     with scratch(spark, "manifest") as staging:
         files = stage_table(manifest(keys, root).join(done, "src_file", "left_anti"), f"{staging}/files")

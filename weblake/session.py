@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tasks that list many folders or files. Spark's own bound is 10,000: a task for each of them.
+LISTING_TASKS = 64
+# Files renamed at the same time.
+RENAMERS = 16
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings of the session that hold meanwhile."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def few_listing_tasks(spark: SparkSession):
+    """What is listed meanwhile takes few tasks of many paths each; a smaller bound of the session stays."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    return settings(spark, {name: str(min(LISTING_TASKS, int(spark.conf.get(name))))})
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; the setting wins over a folder that was set
@@ -106,11 +131,27 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
-def rename_into(spark: SparkSession, old: str, new: str) -> None:
-    """:func:`rename` that makes the folder of the new path first."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(new)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target.getParent())
-    rename(spark, old, new)
+def rename_all(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> int:
+    """:func:`rename` of many (old, new) side by side, into folders that are made first; returns how many.
+
+    Pairs are taken a batch at a time, so the list is never held whole.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def move(pair: tuple[str, str]) -> None:
+        old = path_of(pair[0])
+        if not old.getFileSystem(conf).rename(old, path_of(pair[1])):
+            raise OSError(f"cannot rename {pair[0]} to {pair[1]}")
+
+    moved = 0
+    with ThreadPoolExecutor(max_workers=RENAMERS) as pool:
+        for batch in itertools.batched(pairs, 1000):
+            for folder in {new.rsplit("/", 1)[0] for _, new in batch}:
+                target = path_of(folder)
+                target.getFileSystem(conf).mkdirs(target)
+            moved += len(list(pool.map(move, batch)))
+    return moved
 
 
 def run_together(jobs: Iterable[Callable[[], object]]) -> list:

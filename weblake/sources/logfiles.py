@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weblake.functions import log_date, mask_field
 from weblake.schema import CDN_FIELDS, COMMENT_MARK, FIELDS_MARK, RAW_COLUMNS
-from weblake.session import stage_table
+from weblake.session import few_listing_tasks, stage_table
 
 # A per-file header table of up to this many bytes is broadcast; beyond it the rows are joined by file,
 # spread over SALTS tasks per file.
@@ -28,7 +28,9 @@ def read_lines(spark: SparkSession, *paths: str, glob: str = "*", recursive: boo
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", str(recursive).lower())
     )
-    return _with_origin(reader.text(list(paths)))
+    with few_listing_tasks(spark):
+        lines = reader.text(list(paths))
+    return _with_origin(lines)
 
 
 def stream_lines(

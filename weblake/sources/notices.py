@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblake.functions import source_key
-from weblake.session import qualified
+from weblake.session import few_listing_tasks, qualified
 
 # The event kind that counts, and the name of an entry without one.
 CREATED = "ObjectCreated:"
@@ -88,7 +88,8 @@ def file_listing(spark: SparkSession, root: str) -> DataFrame:
 
     The listing is a scan whose tasks look files up; their contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    with few_listing_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = qualified(spark, root).rstrip("/") + "/"
     key = F.substring(F.col("path"), F.length(F.lit(base)) + 1, F.length("path"))
     return files.select("path", F.col("_metadata.file_path").alias("src_file"), F.col("length").alias("bytes"), key.alias("object_key"))
