@@ -105,3 +105,15 @@ def test_empty_table_and_no_training_documents(spark):
     only = hmm_scores(spark.createDataFrame([(held, "a b", None, None, None)], SCHEMA)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in only] == [(3, 0, 0)]
     assert math.isfinite(only[0]["score"]) and math.isfinite(only[0]["base_score"])
+
+
+def test_states_scaled_now_and_then_give_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    c, sequences = chain(4, 6), [rng.integers(0, 6, n) for n in (1, 7, 8, 9, 16, 3000, 40)]
+    c.emit[3] *= 1e-9
+    monkeypatch.setattr(hmm, "RESCALE", 1)
+    counts, scores = expected_counts(sequences, c), log_likelihood(sequences, c)
+    for steps in (3, 8):
+        monkeypatch.setattr(hmm, "RESCALE", steps)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(counts, expected_counts(sequences, c)))
+        assert np.allclose(scores, log_likelihood(sequences, c), rtol=1e-12)

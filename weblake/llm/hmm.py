@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,6 +46,8 @@ SORTED = 8_000_000
 GAIN = 0.01
 MOST_PASSES = 50
 SMOOTH = 0.1
+# Steps after which forward states are scaled; unscaled ones lose under 12 digits of range in a step, of 300.
+RESCALE = 8
 # The end's hash: no word has it, as words' hashes end in a class below CLASSES.
 END = 63
 
@@ -81,9 +84,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
             keys, counts = [], []
             for at in range(0, batch.num_rows, 512):
                 found = [_HASHES.of(lower_words(t)) for t in batch.slice(at, 512).column(0).to_pylist()]
-                own, n = np.unique(np.concatenate([*found, np.full(len(found), END)]), return_counts=True)
+                places, own = pd.factorize(np.concatenate([*found, np.full(len(found), END)]))
                 keys.append(own)
-                counts.append(n)
+                counts.append(np.bincount(places))
             if keys:
                 sums = _summed(np.concatenate(keys), np.concatenate(counts))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums], schema=schema)
@@ -164,7 +167,7 @@ def encode(texts: DataFrame, words: Vocabulary) -> DataFrame:
             found = [np.append(_HASHES.of(lower_words(t)), END) for t in cols["text"]]
             ends = np.cumsum([len(f) for f in found])
             h = np.concatenate(found)
-            unique, back = np.unique(h, return_inverse=True)
+            back, unique = pd.factorize(h)
             hot, count, symbol = (x[back] for x in table.look_up(unique))
             symbol, count = np.where(h == END, CLASSES, symbol), np.where(h == END, table.ends, count)
             base = np.log10(count + SMOOTH) - scale
@@ -237,16 +240,33 @@ def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return flat[starts[within] + step], order, running
 
 
+def _unit_rows(chain: Chain) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions of each symbol that sum to 1 over the states, and the sums."""
+    sums = chain.emit.sum(1)
+    return chain.emit / sums[:, None], sums
+
+
+def _scaled_from(running: np.ndarray) -> list[int]:
+    """The row of each step from which on states are scaled: all of every ``RESCALE``th step, else what ends there."""
+    ends = np.append(running[1:], 0)
+    ends[RESCALE - 1 :: RESCALE] = 0
+    return ends.tolist()
+
+
 def log_likelihood(sequences: list[np.ndarray], chain: Chain) -> np.ndarray:
     """log10 probability of each sequence by the scaled forward recursion."""
     symbols, order, running = _by_step(sequences)
+    unit, sums = _unit_rows(chain)
+    emit, logs = unit[symbols], np.log10(sums)[symbols]
     total = np.zeros(len(sequences))
     state, at = np.broadcast_to(chain.start, (len(sequences), len(chain.start))), 0
-    for t, n in enumerate(running):
-        state = (state[:n] if t == 0 else state[:n] @ chain.move) * chain.emit[symbols[at : at + n]]
-        scale = state.sum(1)
-        state = state / scale[:, None]
-        total[:n] += np.log10(scale)
+    for t, (n, scaled) in enumerate(zip(running.tolist(), _scaled_from(running))):
+        state = (state[:n] if t == 0 else state[:n] @ chain.move) * emit[at : at + n]
+        total[:n] += logs[at : at + n]
+        if scaled < n:
+            scale = state[scaled:].sum(1)
+            state[scaled:] /= scale[:, None]
+            total[scaled:n] += np.log10(scale)
         at += n
     out = np.empty(len(sequences))
     out[order] = total
@@ -269,22 +289,31 @@ def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarr
     symbols, _, running = _by_step(sequences)
     edges, states = np.concatenate([[0], np.cumsum(running)]), len(chain.start)
     blocks = _blocks(running)
-    used, back = np.unique(symbols, return_inverse=True)
+    unit, sums = _unit_rows(chain)
+    seen = np.bincount(symbols, minlength=len(unit))
+    used, back = np.flatnonzero(seen), (np.cumsum(seen > 0) - 1)[symbols]
     moves, emissions = np.zeros_like(chain.move), np.zeros((len(used), states))
+    scaled = _scaled_from(running)
 
-    def forward(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Emissions, scaled forward states and scales of the steps, from the state before them."""
-        base = edges[first]
-        emit = chain.emit[symbols[base : edges[last]]]
-        alpha, scale = np.empty_like(emit), np.empty(len(emit))
+    def forward(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Emissions over scales and scaled forward states of the steps, from the state before them; the sum of log10 scales."""
+        base, logs = edges[first], 0.0
+        emit = unit[symbols[base : edges[last]]]
+        alpha = np.empty_like(emit)
         for t in range(first, last):
-            lo, hi = edges[t] - base, edges[t + 1] - base
-            ahead = chain.start if state is None else state[: running[t]] @ chain.move
-            state = ahead * emit[lo:hi]
-            scale[lo:hi] = state.sum(1)
-            state /= scale[lo:hi, None]
-            alpha[lo:hi] = state
-        return emit, alpha, scale
+            here, own = alpha[edges[t] - base : edges[t + 1] - base], emit[edges[t] - base : edges[t + 1] - base]
+            if state is None:
+                np.multiply(chain.start, own, out=here)
+            else:
+                np.matmul(state[: len(here)], chain.move, out=here)
+                here *= own
+            if scaled[t] < len(here):
+                scale = here[scaled[t] :].sum(1)
+                here[scaled[t] :] /= scale[:, None]
+                own[scaled[t] :] /= scale[:, None]
+                logs += float(np.log10(scale).sum())
+            state = here
+        return emit, alpha, logs
 
     # The state before each block; the last block's forward states are used as they are.
     before: list[np.ndarray | None] = [None]
@@ -292,12 +321,11 @@ def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarr
         alpha = forward(first, last, before[-1])[1]
         before.append(alpha[edges[last - 1] - edges[first] :].copy())
     beta = np.ones((running[-1], states))  # of the step at hand, without what ends there
-    likelihood = 0.0
+    likelihood = float((seen[used] * np.log10(sums[used])).sum())
     for (first, last), state in zip(reversed(blocks), reversed(before)):
         base = edges[first]
-        emit, gamma, scale = forward(first, last, state)
-        likelihood += float(np.log10(scale).sum())
-        emit /= scale[:, None]
+        emit, gamma, logs = forward(first, last, state)
+        likelihood += logs
         for t in range(last - 1, -1 if first == 0 else first - 1, -1):
             n, lo = running[t], edges[t] - base
             # A step's forward states were used for the moves from it; now they become its posterior.
@@ -307,8 +335,9 @@ def expected_counts(sequences: list[np.ndarray], chain: Chain) -> tuple[np.ndarr
             next_ = emit[lo : lo + n] * beta
             ahead = gamma[edges[t - 1] - base :][:n] if t > first else state[:n]
             moves += ahead.T @ next_
-            beta = np.ones((running[t - 1], states))
-            beta[:n] = next_ @ chain.move.T
+            beta = np.empty((running[t - 1], states))
+            np.matmul(next_, chain.move.T, out=beta[:n])
+            beta[n:] = 1.0
         here = back[base : edges[last]]
         for s in range(states):
             emissions[:, s] += np.bincount(here, gamma[:, s], len(used))
