@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
+import functools
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -353,8 +354,7 @@ def load_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = _masked_layer(spark, sf_dir)
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
     load_previous_day(warehouse, masked, "2024-01-02T02:00:00Z")
-    for name in DIMENSIONS:
-        compact_dimension(warehouse, name, file_bytes=2_000, index_bytes=0)
+    run_together([functools.partial(compact_dimension, warehouse, name, file_bytes=2_000, index_bytes=0) for name in DIMENSIONS])
     load_days(warehouse, masked.where(F.col("log_date") > F.lit(datetime.date(2024, 1, 1))))
     return warehouse.dimensions()
 

@@ -1,10 +1,12 @@
 """Numbering, key assignment and lookups against brute force, with the scale paths forced."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from event_log import masked_view
 from weblake.operators.keys import assign_ids, known_keys, new_keys, split_keys, stage_keys
 from weblake.operators.lookup import resolve
 from weblake.operators.numbering import chunk_of, dense_ids, number_rows
@@ -35,6 +37,20 @@ def test_number_rows_plan_has_one_shuffle_of_the_rows(spark):
     assert "Join" not in plan
 
 
+def test_the_count_before_numbering_makes_no_other_fields(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i % 48), i % 9, "view", 1.5, '{"k": 3}') for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(3)
+    view = masked_view(events, 4)
+    assert view._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+    want, seen = {}, {}
+    for i, ts, user, *_ in rows:
+        group = user % 7, ts.date()
+        want[i] = seen[group] = seen.get(group, 0) + 1
+    got = sorted((r.src_file, r.log_date, r.row_num) for r in view.collect())
+    assert got == sorted((f"E{rows[i][2] % 7:02d}.gz", rows[i][1].date(), n) for i, n in want.items())
+
+
 def test_dense_ids_continue_per_scope(spark):
     rng = random.Random(1)
     keys = sorted({(rng.choice("xxxxyz"), f"k{rng.randrange(10_000):05d}") for _ in range(3000)})
