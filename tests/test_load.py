@@ -6,13 +6,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from logs import head, row, write
 from weblake.operators.quality import duplicate_keys, orphan_ids
 from weblake.plans.load import load_affected, load_days, load_previous_day, load_rejects, stage_rows
 from weblake.plans.maintain import compact_all, compact_fact, compact_table
 from weblake.plans.mask import mask_files
 from weblake.plans.reports import daily_page_views, decode_star, result_mix
-from weblake.schema import STAGE_COLUMNS
+from weblake.schema import DIMENSIONS, STAGE_COLUMNS
 from weblake.sources.masked import as_masked, export_days, read_days_tsv, read_masked
 from weblake.warehouse import TABLES, Warehouse
 
@@ -223,6 +224,36 @@ def test_a_failed_compaction_is_a_status(lake):
     assert compact_table(lake.warehouse, "page", []) == "FAILED"
 
 
+def test_a_table_that_cannot_be_compacted_is_an_error_once_the_others_are_done(lake, tmp_path):
+    for _ in range(3):
+        load_days(lake.warehouse, lake.add(*day(9, "2022-11-01")), mode="append")
+    fact, folder = contents(lake.warehouse.fact()), tmp_path / "warehouse" / "access_log" / "log_date=2022-11-01"
+    files = len(list(folder.glob("*.parquet")))
+    (tmp_path / "warehouse" / "page" / "v=000001" / "part-broken.parquet").write_bytes(b"no table")
+    with pytest.raises(RuntimeError, match="^compaction failed: page$"):
+        compact_all(lake.warehouse, [D1])
+    assert {d: lake.warehouse.version(d) for d in DIMENSIONS} == {d: "v=000001" if d == "page" else "v=000002" for d in DIMENSIONS}
+    assert len(list(folder.glob("*.parquet"))) < files
+    assert contents(lake.warehouse.fact()) == fact
+
+
+@pytest.mark.parametrize(
+    "query, broken, failed",
+    [
+        ("compact_fact", "compact_fact", "access_log"),
+        ("compact_dims", "compact_dimension", ", ".join(DIMENSIONS)),
+        ("unsorted_files", "compact_fact", "access_log"),
+    ],
+)
+def test_a_query_gives_no_rows_of_a_compaction_that_failed(spark, tmp_path, monkeypatch, query, broken, failed):
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 2, i), i, "view", 1.5, f'{{"k": {i}}}') for i in range(9)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(f"weblake.plans.maintain.{broken}", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(RuntimeError, match=f"^compaction failed: {failed}$"):
+        entry.queries()[query](spark, str(tmp_path))
+
+
 def test_a_compaction_that_dies_leaves_the_dimension(lake, monkeypatch):
     load_days(lake.warehouse, lake.add(*day(9, "2022-11-01")))
     before = contents(lake.warehouse.table("page"))

@@ -96,8 +96,16 @@ def compact_table(warehouse: Warehouse, table: str, days: Sequence[datetime.date
 
 
 def compact_all(warehouse: Warehouse, days: Sequence[datetime.date]) -> dict[str, str]:
-    """Compact the six tables one after another, the fact table for ``days``, those that were loaded."""
-    return {table: compact_table(warehouse, table, days) for table in TABLES}
+    """Compact the six tables one after another, the fact table for ``days``, those that were loaded.
+
+    A table that fails doesn't keep the others from their turn; after that it is an error, so that what was left
+    as it was is never taken for compacted. The log has the causes.
+    """
+    statuses = {table: compact_table(warehouse, table, days) for table in TABLES}
+    failed = [table for table, status in statuses.items() if status != "FINISHED"]
+    if failed:
+        raise RuntimeError(f"compaction failed: {', '.join(failed)}")
+    return statuses
 
 
 def source_status(lines: DataFrame, commits: DataFrame) -> DataFrame:
